@@ -184,6 +184,27 @@ def identify(docs: DataFrame, learn=None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(score, "doc_id long, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, learn=None, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with their columns, whose language is identified with a posterior of at least ``least``."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, F.lit(True) if learn is None else learn))
+    column = docs.columns.index("text")
+
+    def run(batches):
+        m = model.value
+        for batch in batches:
+            for part, data, off in pieces(batch, limit=1 << 20):
+                ok = has_letter(data, off) & ~np.asarray(part.column(column).is_null())
+                if m is None:
+                    ok[:] = False
+                else:
+                    c = m.lengths(data, off)
+                    with np.errstate(under="ignore"):
+                        ok &= 1 / np.exp(np.clip(c.min(1)[:, None] - c, -700, 0)).sum(1) >= least
+                yield part.filter(pa.array(ok))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
