@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontaminate, language_id, license_scan, mixing, quality
+from . import ann, chat_format, decontaminate, language_id, license_scan, mixing, quality
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_decontaminate": decontaminate.query,
     "op3_quality_ranker": quality.query,
+    "op5_ann_search": ann.query,
     "op7_mix_sources": mixing.query,
     "op8_license_scan": license_scan.query,
     "op10_language_id": language_id.query,
