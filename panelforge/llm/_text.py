@@ -105,9 +105,9 @@ def shingles(data: np.ndarray, off: np.ndarray, k: int, stop: np.ndarray = SPACE
             s = np.sort(acc[a : b - k + 1])
             yield s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) > 1 else s
         elif b > a:
-            t = np.uint64(b - a)
+            t = np.array([b - a], np.uint64)
             for j in range(b - a):
-                t = t * np.uint64(3) + h[a + j] * c[j]
-            yield mix(np.array([t], np.uint64))
+                t = t * np.uint64(3) + h[a + j : a + j + 1] * c[j]
+            yield mix(t)
         else:
             yield np.zeros(0, np.uint64)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, decontaminate, language_id, license_scan, mixing, quality
+from . import ann, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op2_decontaminate": decontaminate.query,
     "op3_quality_ranker": quality.query,
+    "op4_jaccard_join": jaccard_join.query,
     "op5_ann_search": ann.query,
     "op7_mix_sources": mixing.query,
     "op8_license_scan": license_scan.query,
+    "op9_line_dedup": line_dedup.query,
     "op10_language_id": language_id.query,
 }
 ORACLES = {
