@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality
+from . import ann, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, suffix_dedup
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality_ranker": quality.query,
     "op4_jaccard_join": jaccard_join.query,
     "op5_ann_search": ann.query,
+    "op6_suffix_dedup": suffix_dedup.query,
     "op7_mix_sources": mixing.query,
     "op8_license_scan": license_scan.query,
     "op9_line_dedup": line_dedup.query,
