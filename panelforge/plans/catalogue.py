@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import factor_queries
+from . import evaluation, factor_queries, market
 
-MODULES = (factor_queries,)
+MODULES = (factor_queries, evaluation, market)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

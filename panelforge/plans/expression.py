@@ -35,7 +35,7 @@ class Node:
 
 
 # s: window over symbol, x: over date, g: over (date, group), r: recursion over symbol
-KINDS = {k: "s" for k in "sum avg sd ts_min ts_max corr cov ts_rank ts_argmax ts_argmin decay product lag ma psd pvar rsum rmean rmax rmin rcorr rskew rkurt mad age_max age_min mdd cumsum slope ffill rmedian".split()}
+KINDS = {k: "s" for k in "sum avg sd ts_min ts_max corr cov ts_rank ts_argmax ts_argmin decay product lag lead ma psd pvar rsum rmean rmax rmin rcorr rskew rkurt mad age_max age_min mdd cumsum slope ffill rmedian".split()}
 KINDS |= {"rank": "x", "scale": "x", "xmean": "x", "xsum": "x", "rank_desc": "x", "indneu": "g", "ema": "r", "wilder": "r", "dma": "r"}
 
 
@@ -175,14 +175,14 @@ class Plan:
 
 
 def clean(c: Column, digits: int = 6) -> Column:
-    """Values rounded for comparison: ``digits`` decimals, fewer beyond 1e5; null from 1e15 on, where nothing but overflow is left."""
+    """Values rounded for comparison: ``digits`` decimals, whole numbers (cut at .63, off the ties of means of cents) beyond 1e5; null from 1e15 on, where nothing but overflow is left."""
     r = lambda d: F.floor(c * 10**d + 0.5) / 10**d + 0.0
-    return F.when(F.abs(c) < 1e5, r(digits)).when(F.abs(c) < 1e9, r(2)).when(F.abs(c) < 1e15, F.floor(c / 1e4 + 0.5) * 1e4)
+    return F.when(F.abs(c) < 1e5, r(digits)).when(F.abs(c) < 1e9, F.floor(c + 0.37)).when(F.abs(c) < 1e15, F.floor(c / 1e4 + 0.5) * 1e4)
 
 
 def sql_clean(c: str, digits: int = 6) -> str:
     r = lambda d: f"floor({c} * {10**d} + 0.5) / {10**d} + 0.0"
-    return f"CASE WHEN abs({c}) < 1e5 THEN {r(digits)} WHEN abs({c}) < 1e9 THEN {r(2)} WHEN abs({c}) < 1e15 THEN floor({c} / 1e4 + 0.5) * 1e4 END"
+    return f"CASE WHEN abs({c}) < 1e5 THEN {r(digits)} WHEN abs({c}) < 1e9 THEN floor({c} + 0.37) WHEN abs({c}) < 1e15 THEN floor({c} / 1e4 + 0.5) * 1e4 END"
 
 
 def _ref(n: Node, j: int, a: Node) -> str:
@@ -324,6 +324,8 @@ def _window(n: Node, a: list[Column]) -> Column:
         return F.when(F.col("t") >= w - 1, F.product(x).over(o))
     if n.op == "lag":
         return F.lag(x, w).over(by)
+    if n.op == "lead":
+        return F.lead(x, w).over(by)
     if n.op == "cumsum":
         return F.sum(F.coalesce(x, F.lit(0.0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
     if n.op == "ffill":
@@ -386,6 +388,8 @@ def _sql_window(n: Node, a: list[str]) -> str:
         return f"CASE WHEN t >= {w - 1} THEN product({x}) {o} END"
     if n.op == "lag":
         return f"lag({x}, {w}) OVER ({by})"
+    if n.op == "lead":
+        return f"lead({x}, {w}) OVER ({by})"
     if n.op == "cumsum":
         return f"sum(coalesce({x}, 0)) OVER ({by} ROWS UNBOUNDED PRECEDING)"
     if n.op == "ffill":
