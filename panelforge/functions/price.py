@@ -141,4 +141,13 @@ CANDIDATE = {
     "low_deposit": "rmedian(C,24)/dma((coalesce(O,C)+coalesce(H,C)+coalesce(L,C)+C)/4,min2(turn/100,0.95))",
     "holding_ret": "C/dma((coalesce(O,C)+coalesce(H,C)+coalesce(L,C)+C)/4,min2(turn/100,0.95))-1",
 }
-FAMILIES = {"emotion": EMOTION, "momentum": MOMENTUM, "risk": RISK, "short": SHORT, "technical": TECHNICAL, "extra": EXTRA, "candidate": CANDIDATE}
+# Style descriptors and their weights; windows in sessions of the panel (months here).
+STYLE = {
+    "style_size": "log(cap)",
+    "style_momentum": "rsum(lag(log(1+R),1),11)",
+    "style_liquidity": "0.35*log(turn)+0.35*log(rmean(turn,3))+0.30*log(rmean(turn,12))",
+    "style_dastd": "psd(R,12)",
+    "style_cmra": "rmax(rsum(log(1+R),1),12)-rmin(rsum(log(1+R),1),12)",
+    "style_leverage_market": "1+log(cap)/log(A)",
+}
+FAMILIES = {"emotion": EMOTION, "momentum": MOMENTUM, "risk": RISK, "short": SHORT, "technical": TECHNICAL, "extra": EXTRA, "candidate": CANDIDATE, "style": STYLE}
