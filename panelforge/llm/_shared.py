@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from ._stage import shuffles
 from ._text import pieces
 
-RUN = 3_000_000  # tokens of a run
+RUN = 1_000_000  # tokens of a run
 HOT = 256  # items of a run that make a token frequent there
 
 _SENT = "r int, run long, kind int, n int, a binary, b binary, c binary"

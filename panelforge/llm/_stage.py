@@ -22,11 +22,17 @@ def shared_dir(spark: SparkSession) -> str:
     return here
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet into the shared folder and read again: survives lost executors and cuts the lineage."""
+def staged(df: DataFrame, release: bool = False) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: survives lost executors and cuts the lineage.
+
+    ``release``: the exchanges behind it are large and not needed any more; Spark's cleaner deletes shuffle files once the
+    driver's garbage collector has found them unused, so it is asked to look now.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelforge-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -40,7 +46,7 @@ def lower_ascii(c):
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """Distributed union-find: (a, b) links -> (id, root) with the smallest id of each component, for ids that have a link.
+    """Distributed union-find: (a, b) links -> (id, root) with the smallest id of each component, for linked ids other than the roots.
 
     Alternating large-star and small-star steps; each is one shuffle that pre-aggregates, no group
     is gathered.  Null ends are ignored; no links give an empty result.

@@ -23,17 +23,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._stage import components, shuffles, staged, table
+from ._shared import shared
+from ._stage import components, staged, table
 from ._text import mix, pieces, shingles
 
 K = 3
 PERCENT = 90
-RUN = 3_000_000  # shingles of a run
-HOT = 256  # sets of a run that make a shingle frequent there
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -55,140 +53,28 @@ def _print(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(m + np.uint64(0x632BE59BD9B4E019))).view(np.int64))
 
 
-def _pack(t: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers as differences, in 4 bytes each where they fit."""
-    d = np.diff(t, prepend=np.uint64(0))
-    first, rest = d[:1].tobytes(), d[1:]
-    return first + (rest.astype(np.uint32).tobytes() if not len(rest) or rest.max() < 1 << 32 else rest.tobytes())
-
-
-def _unpack(b: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint64)
-    rest = np.frombuffer(b, np.uint32 if len(b) == 8 + 4 * (n - 1) else np.uint64, offset=8)
-    return np.cumsum(np.concatenate((np.frombuffer(b, np.uint64, 1), rest.astype(np.uint64))))
-
-
-def _small(a: np.ndarray) -> bytes:
-    return (a.astype(np.uint16) if not len(a) or a.max() < 1 << 16 else a.astype(np.uint32)).tobytes()
-
-
-def _large(b: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(b, np.uint16 if len(b) == 2 * n else np.uint32).astype(np.int64)
-
-
-_SENT = "r int, run long, kind int, n int, a binary, b binary, c binary"
-_NAMES = ["r", "run", "kind", "n", "a", "b", "c"]
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(kinds)], _NAMES)
-
-
-def shared(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Sets that have a shared shingle in their prefix: n, f1, f2, prefix (array), place (of its first), tokens (all shared shingles, sorted, 8 bytes each)."""
-    ranges = shuffles(docs.sparkSession)
-
-    def send(batches):
-        seen: dict[tuple, int] = {}
-        sets: list[np.ndarray] = []
-        size = turn = 0
-        task = TaskContext.get().partitionId()
-
-        def flush():
-            nonlocal seen, sets, size, turn
-            run = (task << 32) | turn
-            tok = np.concatenate(sets)
-            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            o = np.argsort(tok, kind="stable")
-            tok, own = tok[o], own[o]
-            edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
-            count = np.diff(edge)
-            hot = np.repeat(count >= HOT, count)
-            keys = np.array(list(seen), np.int64)
-            rows = [(ranges + turn % ranges, run, 0, len(keys), *(keys[:, j].tobytes() for j in range(3)))]
-            if hot.any():
-                rows.append((ranges + turn % ranges, run, 1, int(hot.sum()), tok[hot].tobytes(), own[hot].astype(np.uint32).tobytes(), None))
-            width = np.uint64((1 << 48) // ranges + 1)
-            heads, hn = tok[edge[:-1]][count >= HOT], count[count >= HOT]
-            tok, own = tok[~hot], own[~hot]
-            at = np.searchsorted(tok // width, np.arange(ranges + 1).astype(np.uint64))
-            hat = np.searchsorted(heads // width, np.arange(ranges + 1).astype(np.uint64))
-            for r in range(ranges):
-                t, h = slice(at[r], at[r + 1]), slice(hat[r], hat[r + 1])
-                if t.stop > t.start:
-                    rows.append((r, run, 2, t.stop - t.start, _pack(tok[t]), _small(own[t]), None))
-                if h.stop > h.start:
-                    rows.append((r, run, 3, h.stop - h.start, heads[h].tobytes(), hn[h].astype(np.int64).tobytes(), None))
-            seen, sets, size, turn = {}, [], 0, turn + 1
-            return _batch(rows)
 
-        for batch in batches:
-            for _, data, off in pieces(batch):
-                for s in shingles(data, off, k):
-                    key = _print(s)
-                    if key[0] and key not in seen:
-                        seen[key] = len(sets)
-                        sets.append(s >> np.uint64(16))
-                        size += len(s)
-                        if size >= RUN:
-                            yield flush()
-        if sets:
-            yield flush()
-
-    def count(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        out = [tuple(r[c] for c in _NAMES) for r in rows if r["kind"] < 2]
-        lists = [(r["run"], _unpack(r["a"], r["n"]), _large(r["b"], r["n"])) for r in rows if r["kind"] == 2]
-        heads = [(r["run"], np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.int64)) for r in rows if r["kind"] == 3]
-        if lists or heads:
-            tok = np.concatenate([x[1] for x in lists] + [x[1] for x in heads])
-            num = np.concatenate([np.ones(len(x[1]), np.int64) for x in lists] + [x[2] for x in heads])
-            o = np.argsort(tok, kind="stable")
-            s = tok[o]
-            edge = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-            df = np.empty(len(tok), np.int64)
-            df[o] = np.repeat(np.add.reduceat(num[o], edge), np.diff(np.append(edge, len(s))))
-            at = 0
-            for run, a, own in lists:
-                d = df[at : at + len(a)]
-                at += len(a)
-                if (d > 1).any():
-                    out.append((0, run, 2, int((d > 1).sum()), a[d > 1].tobytes(), own[d > 1].astype(np.uint32).tobytes(), d[d > 1].tobytes()))
-            for run, a, _ in heads:
-                out.append((0, run, 3, len(a), a.tobytes(), df[at : at + len(a)].tobytes(), None))
-                at += len(a)
-        return pa.Table.from_batches([_batch(out)])
-
-    def prefixes(t: pa.Table) -> pa.Table:
-        rows = t.to_pylist()
-        n, f1, f2 = (np.frombuffer(next(r[c] for r in rows if r["kind"] == 0), np.int64) for c in "abc")
-        heads = sorted((int(x), int(y)) for r in rows if r["kind"] == 3 for x, y in zip(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.int64), strict=True))
-        parts = [(np.frombuffer(r["a"], np.uint64), np.frombuffer(r["b"], np.uint32).astype(np.int64), np.frombuffer(r["c"], np.int64)) for r in rows if r["kind"] == 2]
-        hk, hv = np.array([h[0] for h in heads], np.uint64), np.array([h[1] for h in heads], np.int64)
-        for r in rows:
-            if r["kind"] == 1:
-                a = np.frombuffer(r["a"], np.uint64)
-                parts.append((a, np.frombuffer(r["b"], np.uint32).astype(np.int64), hv[np.searchsorted(hk, a)]))
+    def kernel(data, off):
+        for s in shingles(data, off, k):
+            yield _print(s), s
+
+    def finish(keys, own, tok, df):
+        n, f1, f2 = keys
+        at = np.searchsorted(own, np.arange(len(n) + 1))
         got = {c: [] for c in ("n", "f1", "f2", "prefix", "place", "tokens")}
-        if parts:
-            tok, own, df = (np.concatenate([p[j] for p in parts]) for j in range(3))
-            o = np.lexsort((tok, df, own))
-            tok, own = tok[o], own[o]
-            at = np.searchsorted(own, np.arange(len(n) + 1))
-            for d in range(len(n)):
-                mine = tok[at[d] : at[d + 1]]
-                alone = int(n[d]) - len(mine)
-                left = int(n[d]) - (percent * int(n[d]) + 99) // 100 + 1 - alone
-                if left > 0 and len(mine):
-                    for c, v in zip(got, (n[d], f1[d], f2[d], mine[:left].astype(np.int64), alone, np.sort(mine).tobytes()), strict=True):
-                        got[c].append(v)
+        for d in range(len(n)):
+            mine = tok[at[d] : at[d + 1]]
+            alone = int(n[d]) - len(mine)
+            left = int(n[d]) - (percent * int(n[d]) + 99) // 100 + 1 - alone
+            if left > 0 and len(mine):
+                for c, v in zip(got, (n[d], f1[d], f2[d], mine[:left].astype(np.int64), alone, np.sort(mine).tobytes()), strict=True):
+                    got[c].append(v)
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(got.items(), kinds, strict=True)})
 
-    sent = docs.select("text").mapInArrow(send, _SENT)
-    return sent.groupBy("r").applyInArrow(count, _SENT).groupBy("run").applyInArrow(prefixes, "n long, f1 long, f2 long, prefix array<long>, place long, tokens binary")
+    return shared(docs, kernel, finish, "n long, f1 long, f2 long, prefix array<long>, place long, tokens binary")
 
 
 def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -211,28 +97,33 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between class representatives that connect every component; ``sets`` as from sets_of."""
     rep = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("sid"))
-    found = shared(docs, k, percent).dropDuplicates(["n", "f1", "f2"])
-    found = staged(found.join(rep, ["n", "f1", "f2"]).select("sid", "n", "prefix", "place", "tokens"))
+    found = shared_prefixes(docs, k, percent).dropDuplicates(["n", "f1", "f2"])
+    found = staged(found.join(rep, ["n", "f1", "f2"]).select("sid", "n", "prefix", "place", "tokens"), release=True)
     tokens = found.select("sid", "n", "tokens")
     groups = found.groupBy("n", "prefix").agg(F.min("sid").alias("gid"), F.min("place").alias("place"))
     member = staged(found.select("sid", "n", "prefix").join(groups, ["n", "prefix"]).select("gid", "sid"))
-    lists = groups.select("gid", "n", "place", F.posexplode("prefix").alias("at", "tok"))
+    lists = groups.select("gid", "n", "place", "prefix", F.posexplode("prefix").alias("at", "tok")).withColumn("pre", F.slice("prefix", 1, F.col("at"))).drop("prefix")
     low = lists.groupBy("tok").agg(F.min(F.struct("n", "gid")).alias("low"), F.count("*").alias("c")).where("c > 1").select("tok", F.col("low.gid").alias("low"), F.col("low.n").alias("low_n"))
     lists = staged(lists.join(low, "tok"))
 
     fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
     star = lists.where("gid <> low").where(fits("n", "low_n")).select(F.col("low").alias("a"), F.col("gid").alias("b"))
     star = star.union(member.where("gid <> sid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))).distinct()
-    near = staged(_verify(star, tokens, percent))
+    near = staged(_verify(star, tokens, percent), release=True)
     label = components(near)
 
     named = member.join(label, member["sid"] == label["id"], "left").select("gid", "sid", F.coalesce("root", "sid").alias("c"))
     kinds = named.groupBy("gid", "c").count().select("gid", "c")  # a group once for each component in it
-    marked = lists.join(kinds, "gid").select("tok", "gid", "n", "place", "at", "c")
-    mixed = marked.select("tok", "c").distinct()
-    apart = mixed.select("tok", F.col("c").alias("ca")).join(mixed.select("tok", F.col("c").alias("cb")), "tok").where("ca < cb")
-    side = lambda s: marked.select("tok", *(F.col(x).alias(x + s) for x in ("c", "gid", "n", "place", "at")))
-    pairs = apart.join(side("a"), ["tok", "ca"]).join(side("b"), ["tok", "cb"]).where(fits("na", "nb"))
+    marked = lists.join(kinds, "gid").select("tok", "gid", "n", "place", "at", "pre", "c")
+    # components of a shingle that can hold a fitting pair, by the bounds of size and place of their groups
+    part = marked.groupBy("tok", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("at").alias("at"), F.max(F.expr("n - place - at - 1")).alias("rest"), F.when(F.count("*") == 1, F.max("pre")).alias("pre"))
+    end = lambda s: part.select("tok", *(F.col(x).alias(x + s) for x in ("c", "n0", "n1", "at", "rest", "pre")))
+    apart = end("a").join(end("b"), "tok").where(f"ca < cb and 100 * n1a >= {percent} * n0b and 100 * n1b >= {percent} * n0a")
+    apart = apart.where(f"(100 + {percent}) * (least(ata, atb) + 1 + least(resta, restb)) >= {percent} * (n0a + n0b)")
+    # a pair is met once, at its first common shingle
+    apart = apart.where("coalesce(not arrays_overlap(prea, preb), true)").select("tok", "ca", "cb")
+    side = lambda s: marked.select("tok", *(F.col(x).alias(x + s) for x in ("c", "gid", "n", "place", "at", "pre")))
+    pairs = apart.join(side("a"), ["tok", "ca"]).join(side("b"), ["tok", "cb"]).where(fits("na", "nb")).where("not arrays_overlap(prea, preb)")
     bound = "least(ata, atb) + 1 + least(na - placea - ata - 1, nb - placeb - atb - 1)"
     pairs = pairs.where(F.expr(f"(100 + {percent}) * ({bound}) >= {percent} * (na + nb)")).select("gida", "ca", "gidb", "cb").distinct()
     inside = kinds.select("gid", F.col("c").alias("ca")).join(kinds.select("gid", F.col("c").alias("cb")), "gid").where("ca < cb").select(F.col("gid").alias("gida"), "ca", F.col("gid").alias("gidb"), "cb")
