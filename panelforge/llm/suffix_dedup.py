@@ -34,7 +34,7 @@ from ._stage import shuffles, staged, table
 from ._text import PIECE, mix, pieces, powers, prefix_hash
 
 LENGTH = 50
-K = 20
+K = 32
 RUN = 8 << 20  # bytes of suffixes that a task sorts at once
 
 
@@ -320,7 +320,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     copy, open_ = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)), F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()
     # of copies no text, of the rest with something to compare the text and the tokens
     d = staged(d.select("doc_id", F.col("i1").alias("tie"), F.col("n").alias("n_bytes"), copy.alias("copy"), F.when(~copy, F.col("text")).alias("text"), F.when(~copy & open_, F.col("tokens")).alias("tokens")), release=True)
-    cut = spans(d.where("tokens is not null").select("doc_id", "tie", "text", "tokens").dropDuplicates(["doc_id", "tie"]), length)
+    cut = spans(d.where("tokens is not null").select("doc_id", "tie", "text", "tokens"), length)
     cut = cut.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cut"))
     # merged spans: (lo, hi) pairs, ascending, apart
     fold = F.aggregate(
