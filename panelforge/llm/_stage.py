@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,7 +34,10 @@ def staged(df: DataFrame, release: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/panelforge-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     if release:
-        spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # what the first pass finalises, the second one finds unused
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
     return spark.read.schema(df.schema).parquet(path)
 
 
