@@ -1,6 +1,6 @@
 """Line dedup by MinHash, DataFrame operations only.
 
-Lines (split at line feeds) are sets of K-character shingles.  Two lines are near when the Jaccard
+Lines (split at line feeds) are sets of shingles of K characters (UTF-16 units).  Two lines are near when the Jaccard
 similarity of their sets is at least SIMILARITY; of each connected component the line with the
 smallest (doc_id, line number) stays.  Blank lines always stay.
 
@@ -40,9 +40,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def _shingles(line: Column) -> Column:
     """Distinct shingle hashes of one line, for the exact comparison."""
-    b = F.encode(line, "UTF-32")
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 4 * K + 1), F.lit(4))
-    return F.array_distinct(F.transform(at, lambda i: F.xxhash64(F.substring(b, i, F.lit(4 * K)))))
+    at = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 2 * K + 1), F.lit(2))
+    # the outer transform binds the encoded line, which would else be encoded anew for every shingle
+    one = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * K)))))
+    return F.array_distinct(F.element_at(one, 1))
 
 
 def _mask(j: int) -> Column:
@@ -53,21 +54,23 @@ def _mask(j: int) -> Column:
 
 def bands(unique: DataFrame) -> DataFrame:
     """unique(h1, h2, line) -> h1, h2, key: one row a band."""
-    b = unique.select("h1", "h2", F.encode("line", "UTF-32").alias("b"))
-    n = F.greatest(F.lit(1), F.floor(F.octet_length("b") / 4).cast("int") - K + 1)
+    b = unique.select("h1", "h2", F.encode("line", "UTF-16BE").alias("b"))
+    n = F.greatest(F.lit(1), F.floor(F.octet_length("b") / 2).cast("int") - K + 1)
     b = b.select("h1", "h2", "b", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("c"))
-    b = b.select("h1", "h2", F.substring("b", F.col("c") * (4 * CHUNK) + 1, F.lit(4 * (CHUNK + K - 1))).alias("b"))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("b") - 4 * K + 1), F.lit(4))
-    s = b.select("h1", "h2", "b", F.explode(at).alias("i")).select("h1", "h2", F.xxhash64(F.substring("b", F.col("i"), F.lit(4 * K))).alias("h"))
+    b = b.select("h1", "h2", F.substring("b", F.col("c") * (2 * CHUNK) + 1, F.lit(2 * (CHUNK + K - 1))).alias("b"))
+    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("b") - 2 * K + 1), F.lit(2))
+    s = b.select("h1", "h2", "b", F.explode(at).alias("i")).select("h1", "h2", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * K))).alias("h"))
     sig = s.groupBy("h1", "h2").agg(*(F.min(F.col("h").bitwiseXOR(_mask(j))).alias(f"m{j}") for j in range(BANDS * ROWS)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
     return sig.select(F.struct("h1", "h2").alias("id"), F.explode(keys).alias("key"))
 
 
 def _near(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines have at least the similarity."""
+    """The pairs (a, b) whose lines have at least the similarity; sizes are compared before any text is joined."""
+    n = lambda x: lines.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
+    fit = pairs.join(n("a"), "a").join(n("b"), "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).select("a", "b")
     a, b = lines.select(F.col("id").alias("a"), F.col("line").alias("la")), lines.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    p = pairs.join(a, "a").join(b, "b").select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
+    p = fit.join(a, "a").join(b, "b").select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
     p = p.withColumn("o", F.size(F.array_intersect("sa", "sb"))).select("a", "b", "o", (F.size("sa") + F.size("sb") - F.col("o")).alias("u"))
     return p.where(F.col("o") >= F.lit(similarity) * F.col("u") - 1e-9).select("a", "b")
 
@@ -76,12 +79,12 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id, root) of the lines that have a near line; lines without one are not listed."""
     lines = lines_of(docs)
     unique = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    member = bands(unique)
+    member = bands(unique).repartition("key")  # one exchange for both uses
     least = member.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    member = staged(member.join(least.select("key", "low"), "key"))
+    member = staged(member.join(least.select("key", "low"), "key"), release=True)
     asked = member.select("id").distinct()
     text = lines.select(F.struct("h1", "h2").alias("id"), "line").join(asked, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    text = staged(text)
+    text = staged(text.withColumn("n", F.size(_shingles(F.col("line")))), release=True)
     star = member.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
     near = staged(_near(star, text, similarity))
     found = components(near)
