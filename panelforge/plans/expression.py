@@ -80,7 +80,7 @@ class Plan:
                 return self.make("const", value=None)
             if e.id in self.defs:
                 return self.parse(self.defs[e.id])
-            return self.make("field", value=FIELDS[e.id])
+            return self.make("field", value=FIELDS.get(e.id, e.id))  # other names are columns of the frame
         if isinstance(e, ast.UnaryOp):
             return self.make("not" if isinstance(e.op, (ast.Not, ast.Invert)) else "neg", self._node(e.operand))
         if isinstance(e, ast.BinOp):
@@ -169,9 +169,9 @@ class Plan:
         ctes.append("factors AS (SELECT symbol, trade_date, t, close, " + ", ".join(f"{_sql_num(r)} AS {k}" for k, r in self.roots.items()) + f" FROM {last})")
         return ctes
 
-    def long_sql(self, panel_sql: str, digits: int = 6) -> str:
+    def long_sql(self, panel_sql: str, digits: int = 6, source: str = "panel") -> str:
         parts = " UNION ALL ".join(f"SELECT symbol, trade_date, '{k}' AS factor, {sql_clean(k, digits)} AS value FROM factors WHERE close IS NOT NULL" for k in self.roots)
-        return f"WITH {panel_sql}, {', '.join(self.sql())} SELECT * FROM ({parts}) WHERE value IS NOT NULL"
+        return f"WITH {panel_sql}, {', '.join(self.sql(source))} SELECT * FROM ({parts}) WHERE value IS NOT NULL"
 
 
 def clean(c: Column, digits: int = 6) -> Column:

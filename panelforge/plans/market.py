@@ -14,7 +14,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 
+from panelforge.functions import financial
 from panelforge.plans.evaluation import R, pearson
+from panelforge.plans.expression import Plan
 from panelforge.sources.panel import PANEL_SQL, dense, read
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -175,5 +177,26 @@ def oracle(name: str) -> str:
     return _with([PANEL_SQL.strip(), f"st AS ({ST['duck']})"], forms(TEXTS[name], "duck"))
 
 
+# a stand-in for a vendor's indicator table: every indicator is a ratio of the four statement fields, fixed by its place in the list
+INDICATOR_SQL = ", ".join(f"(revenue * {1 + i % 5} + cost * {i % 7}) / nullif(equity * {2 + i % 3} + debt * {1 + i % 4}, 0e0) AS {name}" for i, name in enumerate(financial.INDICATORS))
+FINANCIAL = f"WITH {ASOF} SELECT p.*, {INDICATOR_SQL} FROM panel p LEFT JOIN (SELECT symbol AS s_, d, revenue, cost, equity, debt FROM pit WHERE is_day = 1) a ON a.s_ = p.symbol AND a.d = p.trade_date"
+_FAMILIES = {"factors_statement_plain": Plan(financial.PLAIN, financial.DEFS), "factors_statement": Plan(financial.COMPUTED, financial.DEFS)}
+
+
+def statement_factors(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    text = forms(FINANCIAL, "spark")
+    got = relations(spark, sf_dir, text)
+    return _FAMILIES[name].long(spark.sql(_with([f"{n} AS (SELECT * FROM {{{n}}})" for n in got], text), **got))
+
+
+def statement_oracle(name: str) -> str:
+    relation = forms(FINANCIAL, "duck").removeprefix("WITH ")
+    pit, _, select = relation.partition(" SELECT p.*")
+    head = f"{PANEL_SQL.strip()}, st AS ({ST['duck']}), {pit}, fin AS (SELECT p.*{select})"
+    return _FAMILIES[name].long_sql(head, source="fin")
+
+
 QUERIES = {k: (lambda spark, sf_dir, k=k: run(spark, sf_dir, k)) for k in TEXTS}
 ORACLES = {k: oracle(k) for k in TEXTS}
+QUERIES |= {k: (lambda spark, sf_dir, k=k: statement_factors(spark, sf_dir, k)) for k in _FAMILIES}
+ORACLES |= {k: statement_oracle(k) for k in _FAMILIES}
