@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from ._stage import shuffles
 from ._text import pieces
 
-RUN = 1_000_000  # tokens of a run
+RUN = 500_000  # tokens of a run
 HOT = 256  # items of a run that make a token frequent there
 
 _SENT = "r int, run long, kind int, n int, a binary, b binary, c binary"
@@ -25,18 +25,25 @@ _NAMES = ["r", "run", "kind", "n", "a", "b", "c"]
 _KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
 
 
+_WIDE = np.uint64((1 << 32) - 1)
+
+
 def pack(t: np.ndarray) -> bytes:
-    """Sorted 48-bit numbers as differences, in 4 bytes each where they fit."""
-    d = np.diff(t, prepend=np.uint64(0))
-    first, rest = d[:1].tobytes(), d[1:]
-    return first + (rest.astype(np.uint32).tobytes() if not len(rest) or rest.max() < 1 << 32 else rest.tobytes())
+    """Sorted 48-bit numbers as differences of 4 bytes; wide ones are marked and follow in 8 bytes."""
+    d = np.diff(t)
+    return t[:1].tobytes() + np.minimum(d, _WIDE).astype(np.uint32).tobytes() + d[d >= _WIDE].tobytes()
 
 
 def unpack(b: bytes, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, np.uint64)
-    rest = np.frombuffer(b, np.uint32 if len(b) == 8 + 4 * (n - 1) else np.uint64, offset=8)
-    return np.cumsum(np.concatenate((np.frombuffer(b, np.uint64, 1), rest.astype(np.uint64))))
+    out = np.zeros(n, np.uint64)
+    if n:
+        out[0] = np.frombuffer(b, np.uint64, 1)[0]
+        out[1:] = np.frombuffer(b, np.uint32, n - 1, 8)
+        wide = np.frombuffer(b, np.uint64, offset=8 + 4 * (n - 1)) if len(b) > 8 + 4 * (n - 1) else None
+        if wide is not None:
+            out[1:][out[1:] == _WIDE] = wide
+        np.cumsum(out, out=out)
+    return out
 
 
 def _small(a: np.ndarray) -> bytes:
@@ -61,15 +68,16 @@ def shared(docs: DataFrame, kernel: Callable, finish: Callable, schema: str) ->
 
     def send(batches):
         seen: dict[tuple, int] = {}
-        sets: list[np.ndarray] = []
+        held = np.empty(RUN * 5 // 4, np.uint64)  # one block, so that small arrays don't pin freed memory between large ones
+        sizes: list[int] = []
         size = turn = 0
         task = TaskContext.get().partitionId()
 
         def flush():
-            nonlocal seen, sets, size, turn
+            nonlocal seen, sizes, size, turn
             run = (task << 32) | turn
-            tok = np.concatenate(sets)
-            own = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            tok = held[:size]
+            own = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
             o = np.argsort(tok, kind="stable")
             tok, own = tok[o], own[o]
             edge = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1], [True])))
@@ -91,20 +99,22 @@ def shared(docs: DataFrame, kernel: Callable, finish: Callable, schema: str) ->
                     rows.append((r, run, 2, int(t.stop - t.start), pack(tok[t]), _small(own[t]), None))
                 if h.stop > h.start:
                     rows.append((r, run, 3, int(h.stop - h.start), heads[h].tobytes(), hn[h].astype(np.int64).tobytes(), None))
-            seen, sets, size, turn = {}, [], 0, turn + 1
+            seen, sizes, size, turn = {}, [], 0, turn + 1
             return _batch(rows)
 
         for batch in batches:
             for _, data, off in pieces(batch):
                 for key, s in kernel(data, off):
                     if len(s) and key not in seen:
-                        seen[key] = len(sets)
-                        s = s >> np.uint64(16)
-                        sets.append(s)
+                        seen[key] = len(sizes)
+                        if size + len(s) > len(held):
+                            held = np.concatenate((held[:size], np.empty(len(s) + RUN // 4, np.uint64)))
+                        np.right_shift(s, np.uint64(16), out=held[size : size + len(s)])
+                        sizes.append(len(s))
                         size += len(s)
                         if size >= RUN:
                             yield flush()
-        if sets:
+        if sizes:
             yield flush()
 
     def count(t: pa.Table) -> pa.Table:

@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 19  # bytes of text handled at once (a longer text is one piece)
+PIECE = 1 << 18  # bytes of text handled at once (a longer text is one piece)
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 LOWER = np.arange(256, dtype=np.uint8)
