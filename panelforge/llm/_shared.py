@@ -58,13 +58,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(_KINDS)], _NAMES)
 
 
-def shared(docs: DataFrame, kernel: Callable, finish: Callable, schema: str) -> DataFrame:
+def shared(docs: DataFrame, kernel: Callable, finish: Callable, schema: str, spread: int = 1) -> DataFrame:
     """``kernel(data, off)`` yields for each text (key of three integers, sorted distinct 64-bit tokens); equal keys of a run are one item.
 
     ``finish(keys, item, token, count)`` gets the items of a run (three arrays) and, sorted by item, count, token, what
-    they hold that two or more items of the corpus hold; it returns an Arrow table.
+    they hold that two or more items of the corpus hold; it returns an Arrow table.  ``spread``: hash ranges a shuffle
+    partition; more of them keep what one range counts at a time smaller.
     """
-    ranges = shuffles(docs.sparkSession)
+    ranges = spread * shuffles(docs.sparkSession)
 
     def send(batches):
         seen: dict[tuple, int] = {}

@@ -310,7 +310,7 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         a = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]))
         return pa.table({"i1": t.column("i1")[:1], "i2": t.column("i2")[:1], "tokens": pa.array([a.tobytes()], pa.binary())})
 
-    tokens = shared(d, kernel, finish, "i1 long, i2 long, n long, tokens binary")
+    tokens = shared(d, kernel, finish, "i1 long, i2 long, n long, tokens binary", spread=4)
     # a text's tokens from all runs that hold a copy or a segment of it
     # staged, so that its exchanges are gone before texts are exchanged
     tokens = staged(tokens.groupBy("i1", "i2").applyInArrow(unite, "i1 long, i2 long, tokens binary"), release=True)
