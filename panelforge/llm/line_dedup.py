@@ -5,9 +5,9 @@ similarity of their sets is at least SIMILARITY; of each connected component the
 smallest (doc_id, line number) stays.  Blank lines always stay.
 
 1. Equal lines are one line (128 hash bits), with no list of its places.
-2. MinHash: every shingle is hashed once; hash i is that hash XOR a fixed mask, its minimum over the line is
-   one signature value (the shingle nearest to a random point).  BANDS bands of ROWS values are the keys:
-   a pair at similarity 0.8 meets in at least one with probability 0.997.
+2. MinHash: every shingle is hashed once; hash i is a second 64-bit hash of that hash XOR a fixed mask (a masked value
+   alone is not an independent order), its minimum over the line is one signature value.  BANDS bands of ROWS values
+   are the keys: a pair at similarity 0.8 meets in at least one with probability 0.997, however short its lines are.
 3. Lines that share a key: each is first compared with the least line of the key (a star, not all pairs),
    exactly, and linked by distributed union-find.  Lines of a key that are then still in different
    components are compared pair by pair, so no pair that meets in a band goes unseen.
@@ -48,8 +48,8 @@ def _shingles(line: Column) -> Column:
 
 def _mask(j: int) -> Column:
     x = (0x9E3779B97F4A7C15 * (2 * j + 1)) % (1 << 64)
-    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) % (1 << 63)
-    return F.lit(x).cast("long")
+    x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) % (1 << 64)
+    return F.lit(x - (1 << 64) if x >> 63 else x).cast("long")
 
 
 def bands(unique: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def bands(unique: DataFrame) -> DataFrame:
     b = b.select("h1", "h2", F.substring("b", F.col("c") * (2 * CHUNK) + 1, F.lit(2 * (CHUNK + K - 1))).alias("b"))
     at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("b") - 2 * K + 1), F.lit(2))
     s = b.select("h1", "h2", "b", F.explode(at).alias("i")).select("h1", "h2", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * K))).alias("h"))
-    sig = s.groupBy("h1", "h2").agg(*(F.min(F.col("h").bitwiseXOR(_mask(j))).alias(f"m{j}") for j in range(BANDS * ROWS)))
+    sig = s.groupBy("h1", "h2").agg(*(F.min(F.xxhash64(F.col("h").bitwiseXOR(_mask(j)))).alias(f"m{j}") for j in range(BANDS * ROWS)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
     return sig.select(F.struct("h1", "h2").alias("id"), F.explode(keys).alias("key"))
 

@@ -150,6 +150,19 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedup(none).count() == 0
 
 
+def test_line_bands_meet_short_lines(spark):
+    rng = np.random.default_rng(6)
+    for shared in (8, 16):
+        pairs = []
+        for i in range(4000):
+            t = "".join(rng.choice(list("abcdefghijklmnop"), shared + 7))
+            tail = shared // 8  # shingles of each line alone: similarity 0.8
+            pairs += [(i, 0, t + "x" * tail), (i, 1, t + "y" * tail)]
+        keys = line_dedup.bands(spark.createDataFrame(pairs, "h1 long, h2 long, line string")).select("id.h1", "id.h2", "key")
+        met = keys.groupBy("h1", "key").count().where("count = 2").select("h1").distinct().count()
+        assert met / 4000 >= 0.993
+
+
 def test_chat_format(spark):
     turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a\\b### c</turn>\n### user: x"), (1, 2, "user", None), (2, 0, "assistant", ""), (2, 0, "assistant", "same"), (3, 5, None, "only"), (4, 0, "ro:le: x", "t\\"), (4, None, "assistant", "null turn first"), (None, 0, "assistant", "z"), (5, 0, "assistant", "ok" * 40000)]
     df = spark.createDataFrame([(*t, "x") for t in turns], "conv_id long, turn long, role string, text string, formatted string")
