@@ -1,6 +1,7 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a document.  Block and template are sets of words
+A block is a line of a document, or any ``ceil(words of the template / THRESHOLD)`` consecutive words of it: a notice
+wrapped over lines is found wherever the breaks are.  Block and template are sets of words
 (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z).  A block carries a template when
 |block and template| >= THRESHOLD * |template| (containment).  Words have one global order: rarest in
 the corpus first.  Filters, all exact: of a template only the first
@@ -67,6 +68,7 @@ class Scanner:
         order = lambda i: (freq.get(int(self.vocab[i]), 0), int(self.vocab[i]))
         self.sets = [np.array(sorted(np.searchsorted(self.vocab, _hashes(s)), key=order), np.int64) for s in sets]
         self.need = [int(np.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
+        self.span = [int(np.ceil(len(words_of(templates[k])) / threshold - 1e-9)) for k in self.names]
         self.phrases = [(_hashes(words_of(p)), label) for p, label in phrases.items()]
 
     def ids(self, h: np.ndarray) -> np.ndarray:
@@ -129,8 +131,40 @@ class Scanner:
                 d = doc[where[x]]
                 labels[d].add(self.names[t])
                 score[d] = max(score[d], over[x] / len(s))
+            for d, most in self.windows(t, i, doc, block):
+                labels[d].add(self.names[t])
+                score[d] = max(score[d], most / len(s))
         return np.diff(first), places, base, labels, score
 
+    def windows(self, t: int, i: np.ndarray, doc: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+        """(document, common words) of each document whose windows over a line break hold enough of template ``t``; the largest of a document."""
+        s, need = self.sets[t], self.need[t]
+        rank = np.full(len(self.vocab) + 1, len(s))  # the last place is for words of no template
+        rank[s] = np.arange(len(s))
+        at = np.flatnonzero(rank[i] < len(s))
+        if not len(at):
+            return []
+        # a window from a template word to the last one in reach; no window leaves its document
+        end = np.minimum(np.searchsorted(at, at + self.span[t]), np.searchsorted(doc[at], doc[at], "right"))
+        rare = np.concatenate(([0], np.cumsum(rank[i[at]] <= len(s) - need)))
+        a = np.arange(len(at))
+        # bounds: words with repeats, and one word of the prefix; a window inside one line is part of its block
+        a = a[(end - a >= need) & (rare[end] > rare[a]) & (block[at] != block[at[end - 1]])]
+        if not len(a):
+            return []
+        order = np.argsort(i[at], kind="stable")
+        last = np.full(len(at), -1)
+        same = i[at[order[1:]]] == i[at[order[:-1]]]
+        last[order[1:][same]] = order[:-1][same]
+        over = np.zeros(len(a), np.int64)
+        for j in range(int((end[a] - a).max())):
+            x = np.minimum(a + j, len(at) - 1)
+            over += (a + j < end[a]) & (last[x] < a)
+        best: dict[int, int] = {}
+        for d, n in zip(doc[at[a]][over >= need], over[over >= need], strict=True):
+            best[int(d)] = max(best.get(int(d), 0), int(n))
+        return list(best.items())
+
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text, …) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score (largest containment, 1 for a phrase)."""

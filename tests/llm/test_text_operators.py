@@ -189,6 +189,32 @@ def test_license_scan(spark, docs, none):
     assert license_scan.scan(none).count() == 0
 
 
+def test_license_scan_of_wrapped_notices(spark):
+    rows, want = [], {}
+    for width in (3, 5, 8):
+        for name, text in license_scan.TEMPLATES.items():
+            w = text.split()
+            want[len(rows)] = name
+            rows.append((len(rows), "some code\n" + "\n".join(" * " + " ".join(w[i : i + width]) for i in range(0, len(w), width)) + "\nmore code"))
+    w = license_scan.TEMPLATES["bsd"].split()
+    rows.append((len(rows), "\n".join(x + " filler" * 6 for x in w)))  # too far apart
+    rows += [(len(rows), "\n".join(w[:11])), (len(rows) + 1, "\n".join(w[11:]))]  # two documents
+    got = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), phrases={}).collect()}
+    assert all(k in got[d].labels.split(",") and got[d].score == 1 for d, k in want.items())
+    assert all(got[d].labels == "" for d in range(len(want), len(rows)))
+    rng = np.random.default_rng(8)
+    t = {"a": "p q r s t p", "b": "q u v"}
+    texts = ["".join(rng.choice(list("pqrstuvxyz")) + rng.choice([" ", "\n"]) for _ in range(n)) for n in rng.integers(1, 30, 300)]
+    found = {r.doc_id: r for r in license_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), t, {}).collect()}
+    for d, x in enumerate(texts):
+        best = {}
+        for k, v in t.items():
+            s, n, w = set(v.split()), -(-len(v.split()) * 5 // 4), x.split()
+            best[k] = max([len(set(b) & s) / len(s) for b in [line.split() for line in x.split("\n")] + [w[i : i + n] for i in range(len(w))]])
+        ok = {k: c for k, c in best.items() if c >= 0.8}
+        assert found[d].labels == ",".join(sorted(ok)) and abs(found[d].score - max(ok.values(), default=0)) < 1e-12
+
+
 def test_language_id(spark, docs, none):
     rng = np.random.default_rng(0)
     words = {"xx": ["the", "and", "thing", "other", "with"], "yy": ["die", "und", "schön", "zwei", "nicht"]}
