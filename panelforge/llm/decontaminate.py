@@ -1,13 +1,15 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word seeds, then Smith-Waterman alignment.
 
 A document leaks an item when a local alignment of its words with the item's words (match 2,
-mismatch and gap -1) pairs at least SIMILARITY of the item's words with equal words.
+mismatch and gap -1; the best one of some end) pairs at least SIMILARITY of the item's words with equal words.
 
-Seeds are the item's runs of N words.  Their number in the corpus orders them, rarest first.  A
-copy with at most ``edits = floor((1 - SIMILARITY) * words)`` changed words keeps all but N * edits
-seeds, so by the pigeonhole principle the rarest ``seeds - kept + 1`` of them meet every such copy and the
-frequent ones need not be looked up.  Each hit opens a window around its diagonal; a window
-with too few of the item's words is left out (an upper bound, so exact); the rest are aligned.
+Seeds are single words: an insertion between any two words of a copy breaks every longer run without costing it
+a paired word, so no bound over longer runs is exact.  Their number in the corpus orders an item's words, rarest first.
+A leak leaves at most ``words - need`` of them unpaired, so by the pigeonhole principle it meets at least HITS of
+the rarest ``words - need + HITS``, and the frequent ones need not be looked up.  The cost of an
+alignment is below twice its pairs, so its insertions move it by less than two item lengths from the diagonal of
+a hit: that far a window reaches, and hits that near are in one window.  A window with too few hits or too
+few of the item's words is left out (upper bounds, so exact); the rest are aligned.
 
 Items are handled in blocks of BLOCK, so what is shipped to the executors has a fixed bound.
 
@@ -29,6 +31,7 @@ from ._text import ALNUM, LOWER, mix, pieces, prefix_hash, span_hash, word_spans
 N = 3
 SIMILARITY = 0.7
 BLOCK = 20_000
+HITS = 3  # rare words of an item that a window must hold
 _K = np.int64(1 << 20)
 _C = mix(np.arange(1, N + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -46,8 +49,8 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out + np.uint64(n))
 
 
-def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
-    """(score, pairs of equal words, end in the window) of the best local alignment; of equal scores the one with more pairs, then the first."""
+def align(item: np.ndarray, window: np.ndarray, need: int = 0) -> tuple[int, int, int]:
+    """(score, pairs of equal words, end in the window) of the best local alignment with ``need`` pairs; of equal scores the one with more pairs, then the first."""
     h = np.zeros(len(window) + 1, np.int64)
     ramp = np.arange(len(window) + 1, dtype=np.int64) * _K
     best = np.zeros(len(window) + 1, np.int64)
@@ -58,7 +61,7 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
         np.maximum(new, 0, out=new)
         h = np.maximum.accumulate(new + ramp) - ramp
         h[h < _K] = 0
-        np.maximum(best, h, out=best)
+        np.maximum(best, np.where(h % _K >= need, h, 0) if need else h, out=best)
     at = int(best.argmax())
     return int(best[at] // _K), int(best[at] % _K), at
 
@@ -74,10 +77,12 @@ class Items:
             if len(h):
                 self.ids.append(i)
                 self.words.append(h)
-        self.sets = [np.unique(h) for h in self.words]
+        self.sets = [np.unique(h, return_counts=True) for h in self.words]
+        self.need = [int(np.ceil(similarity * len(h) - 1e-9)) for h in self.words]
+        self.hits = [min(HITS, n) if len(h) >= N else 1 for n, h in zip(self.need, self.words, strict=True)]
         self.seeds = {}
-        for n in range(1, N + 1):
-            own = [(k, grams(h, n)) for k, h in enumerate(self.words) if min(len(h), N) == n]
+        for n in range(1, N):
+            own = [(k, grams(h, n)) for k, h in enumerate(self.words) if (len(h) if len(h) < N else 1) == n]
             self.seeds[n] = [(k, g) for k, g in own]
         self.all = {n: np.unique(np.concatenate([g for _, g in s])) if s else np.zeros(0, np.uint64) for n, s in self.seeds.items()}
 
@@ -96,11 +101,8 @@ class Items:
         for n, s in self.seeds.items():
             rows = []
             for k, g in s:
-                u = np.unique(g)
-                edits = int((1 - self.similarity) * len(self.words[k]) + 1e-9)
-                kept = max(1, len(u) - (len(g) - max(len(g) - n * edits, 0)))
-                order = sorted(u, key=lambda x: (freq.get((n, int(np.uint64(x).view(np.int64))), 0), int(x)))[: len(u) - kept + 1]
-                pos = np.flatnonzero(np.isin(g, np.array(order, np.uint64)))
+                most = len(g) if len(self.words[k]) < N else len(g) - self.need[k] + self.hits[k]
+                pos = sorted(range(len(g)), key=lambda p: (freq.get((n, int(g[p].view(np.int64))), 0), int(g[p]), p))[:most]
                 rows += [(int(g[p]), k, int(p)) for p in pos]
             rows.sort()
             self.index[n] = (np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64))
@@ -121,31 +123,33 @@ class Items:
             row = np.repeat(lo[hit], reps) + np.arange(len(at)) - np.repeat(np.cumsum(reps) - reps, reps)
             doc = np.searchsorted(first, at, "right") - 1
             fits = at + n <= first[doc + 1]
-            doc, k, diag = doc[fits], item[row[fits]], at[fits] - pos[row[fits]]
+            doc, k, p, diag = doc[fits], item[row[fits]], pos[row[fits]], at[fits] - pos[row[fits]]
             if not len(doc):
                 continue
             o = np.lexsort((diag, k, doc))
-            doc, k, diag = doc[o], k[o], diag[o]
-            size = np.array([len(w) for w in self.words])
-            slack = ((1 - self.similarity) * size[k] + 1e-9).astype(np.int64)
-            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (diag[1:] - diag[:-1] > 2 * slack[1:] + 1)))
+            doc, k, p, diag = doc[o], k[o], p[o], diag[o]
+            size, least = np.array([len(w) for w in self.words]), np.array(self.hits)
+            new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (k[1:] != k[:-1]) | (diag[1:] - diag[:-1] > 4 * size[k[1:]] + 1)))
             begin = np.flatnonzero(new)
             end = np.concatenate((begin[1:], [len(doc)])) - 1
-            for a, b in zip(begin, end, strict=True):
+            places = np.unique((np.cumsum(new) - 1) * np.int64(size.max()) + p) // size.max()  # a row a hit place of the item
+            alive = np.bincount(places, minlength=len(begin)) >= least[k[begin]]
+            for a, b in zip(begin[alive], end[alive], strict=True):
                 d, i = int(doc[a]), int(k[a])
-                length, s = int(size[i]), int(slack[a])
+                length, need = int(size[i]), self.need[i]
+                s = 2 * length
                 left, right = max(int(diag[a]) - s, int(first[d])), min(int(diag[b]) + length + s, int(first[d + 1]))
                 step = 4 * length  # a long row of hits is cut into overlapping windows
                 for x in range(left, max(right - length - 2 * s, left) + 1, step):
                     window = h[x : min(x + step + length + 2 * s, right)]
-                    need = int(np.ceil(self.similarity * length - 1e-9))
-                    own = self.sets[i]
-                    p = np.minimum(np.searchsorted(own, window), len(own) - 1)
-                    if int((own[p] == window).sum()) < need:
+                    own, times = self.sets[i]
+                    at_own = np.minimum(np.searchsorted(own, window), len(own) - 1)
+                    if int(np.minimum(np.bincount(at_own[own[at_own] == window], minlength=len(own)), times).sum()) < need:
                         continue
-                    score, pairs, e = align(self.words[i], window)
+                    score, pairs, e = align(self.words[i], window, need)
                     if pairs >= need and (score, pairs) > best.get((d, i), (0, 0))[:2]:
-                        best[d, i] = (score, pairs, pairs / length, x - int(first[d]))
+                        slack = int((1 - self.similarity) * length + 1e-9)
+                        best[d, i] = (score, pairs, pairs / length, max(x + e - length - slack, int(first[d])) - int(first[d]))
         return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
 

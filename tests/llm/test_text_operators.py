@@ -264,6 +264,31 @@ def test_decontaminate(spark, docs, none):
     assert sorted(r.doc_id for r in decontaminate.clean(df, bench, 0.8).collect()) == [3, 4, 5, 7]
 
 
+def test_decontaminate_finds_every_leak(spark):
+    rng = np.random.default_rng(7)
+    lengths = [50, 50, 20, 17, 20, 11, 14, 12, 40]
+    items = [[f"i{k}x{j}" for j in range(n)] for k, n in enumerate(lengths)]
+    other = lambda n: [f"o{x}" for x in rng.integers(0, 500, n)]
+    copies = [items[0][:25] + other(32) + items[0][25:], items[1][:25] + other(49) + items[1][25:], items[2][:10] + other(17) + items[2][10:]]
+    copies += [[w if j % 3 != 2 or j >= 3 * int(0.3 * len(t) + 1e-9) else "zz" for j, w in enumerate(t)] for t in items[3:7]]  # every third word changed
+    copies += [[x for w in t for x in (w, "ins")] for t in items[7:]]  # a word put in after every word
+    docs = [other(60) + c + other(60) for c in copies] + [items[0][:34] + other(300) + items[0][34:36]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.pairs for r in decontaminate.leaks(df, bench).collect()}
+    assert set(got) == {(i, i) for i in range(len(items))} and got[0, 0] == got[1, 1] == 50 and got[2, 2] == 20
+    words = [f"v{i}" for i in range(12)]
+    items = [list(rng.choice(words, n)) for n in rng.integers(3, 12, 12)]
+    docs = [list(rng.choice(words, n)) for n in rng.integers(1, 60, 60)]
+    code = {w: np.uint64(j) for j, w in enumerate(words)}
+    num = lambda t: np.array([code[w] for w in t], np.uint64)
+    need = lambda t: int(np.ceil(0.7 * len(t) - 1e-9))
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if decontaminate.align(num(x), num(t), need(x))[1] >= need(x)}
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()} == want
+
+
 def test_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(30):
