@@ -72,17 +72,19 @@ def simulation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of every allocator on the same return window (24 sessions of the 12 largest)."""
-    p = dense(spark, sf_dir).where("t between 30 and 54")
-    top = p.where("t = 54 and mv is not null").orderBy(F.desc("mv"), "symbol").limit(12).select("symbol")
-    rows = p.join(F.broadcast(top), "symbol", "left_semi").select("symbol", "t", (F.coalesce("ret", F.lit(0.0)) / 100).alias("ret"), F.explode(F.array(*map(F.lit, allocators.ALLOCATORS))).alias("allocator"))
+    """Weights of every allocator on each rebalance date, over the returns of all symbols with a value then (that session and the 24 before)."""
+    p = dense(spark, sf_dir)
+    member = p.where("t >= 24 and mv is not null and (month(trade_date) % 3 = 0 or t % 5 = 0)").select("trade_date", "symbol", F.explode(F.sequence(F.col("t") - 24, F.col("t"))).alias("t"))
+    rows = member.join(p.select("symbol", "t", (F.coalesce("ret", F.lit(0.0)) / 100).alias("ret")), ["symbol", "t"])
+    rows = rows.select("trade_date", "symbol", "t", "ret", F.explode(F.array(*map(F.lit, allocators.ALLOCATORS))).alias("allocator"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         name = pdf["allocator"].iloc[0]
         wide = pdf.pivot_table(index="t", columns="symbol", values="ret").sort_index().fillna(0.0)
-        return pd.DataFrame({"allocator": name, "symbol": wide.columns, "weight": allocators.ALLOCATORS[name](wide.to_numpy(float), 0.3)})
+        return pd.DataFrame({"trade_date": pdf["trade_date"].iloc[0], "allocator": name, "symbol": wide.columns, "weight": allocators.ALLOCATORS[name](wide.to_numpy(float), 0.3)})
 
-    return rows.groupBy("allocator").applyInPandas(kernel, "allocator string, symbol long, weight double")
+    day = p.schema["trade_date"].dataType.simpleString()
+    return rows.groupBy("trade_date", "allocator").applyInPandas(kernel, f"trade_date {day}, allocator string, symbol long, weight double")
 
 
 def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:

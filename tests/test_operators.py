@@ -85,6 +85,19 @@ def test_efficient_targets():
     assert np.sqrt(w @ s @ w) <= 0.015 + 1e-6
 
 
+def test_allocation_covers_every_rebalance_date(spark):
+    from panelforge.plans import kernels
+    from panelforge.sources.panel import dense
+
+    sf = "/root/testdata/sf0.001"
+    want = {(r.trade_date, r.symbol) for r in dense(spark, sf).where("t >= 24 and mv is not null and (month(trade_date) % 3 = 0 or t % 5 = 0)").collect()}
+    got = kernels.allocation(spark, sf).toPandas()
+    assert set(got["allocator"]) == set(allocators.ALLOCATORS) and {"efficient_return", "efficient_risk"} <= set(allocators.ALLOCATORS)
+    for _, g in got.groupby("allocator"):
+        assert len(g) == len(want) and set(zip(g["trade_date"], g["symbol"], strict=True)) == want
+    np.testing.assert_allclose(got.groupby(["trade_date", "allocator"])["weight"].sum(), 1, atol=1e-8)
+
+
 def test_fill_rules():
     nan = np.nan
     shares, cash, trades = backtest.fill(np.array([1000.0, 500.0, 0.0]), 0.0, np.array([0.0, 0.5, 0.5]), np.array([10.0, 20.0, nan]), np.array([nan] * 3), np.array([nan] * 3))
