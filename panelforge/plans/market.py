@@ -121,6 +121,9 @@ TEXTS: dict[str, str] = {
     "attr_brinson_fachler": f"WITH {LINK} SELECT t, grp, {R('allocation', 9)} AS allocation, {R('selection', 9)} AS selection FROM eff",
     "attr_carino": f"WITH {LINK}, k AS (SELECT t, rp, rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per WHERE t <= 12), tot AS (SELECT exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k) SELECT e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON 1 = 1 GROUP BY e.grp",
     "attr_wealth_link": f"WITH {LINK}, later AS (SELECT t, coalesce(sum(ln(1 + rp)) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS g FROM per WHERE t <= 12) SELECT e.grp, {R('sum((e.allocation + e.selection) * exp(g))', 8)} AS effect FROM eff e JOIN later l ON l.t = e.t GROUP BY e.grp",
+    # linking over every session, a calendar year each; the two above are held to t <= 12 by their SQL
+    "attr_carino_year": f"WITH {LINK}, k AS (SELECT p.t, c.y, p.rp, p.rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per p JOIN (SELECT DISTINCT t, year(trade_date) AS y FROM panel) c ON c.t = p.t), tot AS (SELECT y, exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k GROUP BY y) SELECT k.y, e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT y, CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON z.y = k.y GROUP BY k.y, e.grp",
+    "attr_wealth_link_year": f"WITH {LINK}, later AS (SELECT p.t, c.y, coalesce(sum(ln(1 + p.rp)) OVER (PARTITION BY c.y ORDER BY p.t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS g FROM per p JOIN (SELECT DISTINCT t, year(trade_date) AS y FROM panel) c ON c.t = p.t) SELECT l.y, e.grp, {R('sum((e.allocation + e.selection) * exp(g))', 8)} AS effect FROM eff e JOIN later l ON l.t = e.t GROUP BY l.y, e.grp",
     "attr_onion": f"WITH {LINK} SELECT t, {R('sum(allocation)', 9)} AS allocation, {R('sum(selection)', 9)} AS selection, {R('sum(allocation + selection)', 9)} AS total FROM eff GROUP BY t",
     "attr_factor": f"SELECT a.t, {R('sum(a.x * f.f)', 8)} AS explained, {R('avg(a.ret)', 8)} AS total, {R('avg(a.ret) - avg(a.x) * avg(f.f)', 8)} AS residual FROM (SELECT symbol, t, ret, ln(lag(mv) OVER ({S})) AS x FROM panel) a JOIN (SELECT t, regr_slope(ret, lx) AS f FROM (SELECT t, ret, ln(lag(mv) OVER ({S})) AS lx FROM panel) b WHERE ret IS NOT NULL AND lx IS NOT NULL GROUP BY t) f ON f.t = a.t WHERE a.ret IS NOT NULL AND a.x IS NOT NULL GROUP BY a.t",
     "attr_bond": f"SELECT l_orderkey, l_linenumber, {R('carry + curve + spread + convexity', 8)} AS explained, {R('l_discount - carry - curve - spread - convexity', 8)} AS residual FROM (SELECT *, l_tax / 12 AS carry, -l_quantity / 10 * 0.001e0 AS curve, -l_quantity / 20 * 0.0005e0 AS spread, 0.5e0 * l_quantity * 0.000001e0 AS convexity FROM lineitem) x",

@@ -37,5 +37,13 @@ def test_matches_sql(spark, duck, name):
     pd.testing.assert_frame_equal(got, want, check_dtype=False, rtol=1e-9, atol=2e-6)
 
 
+@pytest.mark.parametrize("name", ["attr_carino_year", "attr_wealth_link_year"])
+def test_linking_covers_every_year(spark, duck, name):
+    test_matches_sql(spark, duck, name)
+    got = catalogue.queries()[name](spark, SF).toPandas()
+    sides = catalogue.queries()["attr_bhb"](spark, SF).toPandas()
+    assert set(got["y"]) == {d.year for d in sides["trade_date"]}
+
+
 def test_every_oracle_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
