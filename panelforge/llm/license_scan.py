@@ -4,10 +4,9 @@ A block is a line of a document, or any ``ceil(words of the template / THRESHOLD
 wrapped over lines is found wherever the breaks are.  Block and template are sets of words
 (``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z).  A block carries a template when
 |block and template| >= THRESHOLD * |template| (containment).  Words have one global order: rarest in
-the corpus first.  Filters, all exact: of a template only the first
-``|T| - need + 1`` words in that order (the prefix) can be a block's first common word; a block of
-fewer than ``need`` distinct words is out; when the first common word stands at position i of the
-template, at most ``|T| - i`` words can be common.  Survivors are counted exactly.
+the corpus first.  Filter, exact: of a template only the first
+``|T| - need + 1`` words in that order (the prefix) can be a block's first common word.  Length and position
+filters would add nothing to it and every block meets every template (they are few).  Survivors are counted exactly.
 
 Besides, phrases whose words stand consecutively give base labels (these may cross lines).
 
@@ -124,8 +123,8 @@ class Scanner:
                 continue
             low = np.full(len(ids), len(s))
             np.minimum.at(low, group[in_t], pos[w[in_t]])
-            # prefix and positional filter, then the exact overlap; the length filter follows from overlap <= size
-            alive = (low <= len(s) - need) & (len(s) - low >= need)
+            # prefix filter, then the exact overlap
+            alive = low <= len(s) - need
             over = np.bincount(group[in_t & alive[group]], minlength=len(ids))
             for x in np.flatnonzero(alive & (over >= need)):
                 d = doc[where[x]]
