@@ -2,43 +2,58 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark removes the shuffle files of a query when it ends, not when the driver's garbage collector finds them unused.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where the setting is unset (tests, one machine) a local temporary one is made and set."""
+    """The cluster's checkpoint folder; where the setting is unset, a local run makes a temporary one and a cluster is an error."""
     here = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not here:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         here = "file://" + tempfile.mkdtemp(prefix="panelforge-")
         spark.sparkContext.setCheckpointDir(here)
     return here
 
 
-def staged(df: DataFrame, release: bool = False) -> DataFrame:
+def staged(df: DataFrame, done: tuple[DataFrame, ...] = ()) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: survives lost executors and cuts the lineage.
 
-    ``release``: the exchanges behind it are large and not needed any more; Spark's cleaner deletes shuffle files once the
-    driver's garbage collector has found them unused, so it is asked to look now.
+    ``done``: staged tables that nothing reads once this one is written; their folders go, and so do the shuffle files of this
+    write.  The folders that a returned result still reads stay until the caller empties the shared folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/panelforge-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    if release:
-        for _ in range(2):  # what the first pass finalises, the second one finds unused
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    for frame in done:
+        discard(frame)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(frame: DataFrame) -> None:
+    """Deletes the folder of a staged table."""
+    spark = frame.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(frame.staged_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffles(spark: SparkSession) -> int:
@@ -53,26 +68,23 @@ def lower_ascii(c):
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Distributed union-find: (a, b) links -> (id, root) with the smallest id of each component, for linked ids other than the roots.
 
-    Alternating large-star and small-star steps; each is one shuffle that pre-aggregates, no group
-    is gathered.  Null ends are ignored; no links give an empty result.
+    Alternating large-star and small-star steps until every component is one star; each step is a shuffle that pre-aggregates, no
+    group is gathered.  Null ends are ignored; no links give an empty result.
     """
-    spark = edges.sparkSession
     e = staged(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    if e.isEmpty():
-        return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
-    last = None
     for _ in range(rounds):
+        # a star forest: every id has one link to a smaller one at most, and none that others link to has one
+        ends = e.select(F.col("a").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        loose = ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up = 1 and down = 1)")
+        if loose.isEmpty():
+            out = e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+            out.staged_path = e.staged_path
+            return out
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("x"), "m").where("x <> m").select(F.greatest("x", "m").alias("a"), F.least("x", "m").alias("b"))
-        e = staged(small.union(down.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if now == last:
-            break
-        last = now
-    else:
-        raise RuntimeError("union-find did not settle")
-    return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        e = staged(small.union(down.select("a", F.col("m").alias("b"))).distinct(), done=(e,))
+    raise RuntimeError("union-find did not settle")

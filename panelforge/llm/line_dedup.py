@@ -5,18 +5,22 @@ similarity of their sets is at least SIMILARITY; of each connected component the
 smallest (doc_id, line number) stays.  Blank lines always stay.
 
 1. Equal lines are one line (128 hash bits), with no list of its places.
-2. MinHash: every shingle is hashed once; hash i is a second 64-bit hash of that hash XOR a fixed mask (a masked value
-   alone is not an independent order), its minimum over the line is one signature value.  BANDS bands of ROWS values
-   are the keys: a pair at similarity 0.8 meets in at least one with probability 0.997, however short its lines are.
+2. MinHash: a shingle's hash XOR each of HASHES masks is hashed again; three disjoint ranges of the result's bits are three
+   independent orders, and the minimum of an order over the line is one signature value.  BANDS bands of ROWS values are the
+   keys: a pair at similarity 0.8 meets in at least one with probability 0.997, however short its lines are.
 3. Lines that share a key: each is first compared with the least line of the key (a star, not all pairs),
-   exactly, and linked by distributed union-find.  Lines of a key that are then still in different
-   components are compared pair by pair, so no pair that meets in a band goes unseen.
+   exactly, and linked by distributed union-find.  In a key that then still holds lines of several components, the lines outside its
+   largest component are compared with the rest inside the join, which puts out true links only; a key of many lines is dealt
+   over several tasks.  So no pair that meets in a band goes unseen.
 4. Union-find over all links, and one line is kept per component.
 
 Defined results: null text is empty; empty and blank lines are kept; lines of fewer than K characters
-are one shingle; rows with the same doc_id and text are treated alike; a document from which every non-blank
-line went keeps its row with the blank lines that are left (``dedup``) or goes (``drop_empty``).  Other
-columns of the input are kept as they are.
+are one shingle; rows with the same doc_id and text are treated alike; a row without doc_id comes after all others, so it
+never takes a line from one that has an id; a document from which every non-blank line went keeps its row with the blank lines that
+are left (``dedup``) or goes (``drop_empty``).  Other columns of the input are kept as they are.
+
+Lines are told apart by 128 hash bits; near links go by 64, so two different lines that both have near lines and the same
+64 bits would be one (expected once for 6e9 such lines).
 """
 
 from __future__ import annotations
@@ -28,12 +32,15 @@ from ._stage import components, staged, table
 
 K = 8
 BANDS, ROWS = 8, 3
+HASHES = BANDS  # each gives three orders
 SIMILARITY = 0.8
 CHUNK = 4096  # characters of a line whose shingles are listed at once
+PACK = 2  # shingles of a row
+SHARE = 1024  # lines of a key that a task compares with others
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, rk, line_no, line, id; without blank lines."""
+    """docs(doc_id, text) -> doc_id, rk, line_no, line, h1, h2; without blank lines."""
     d = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("rk"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return d.where(F.trim("line") != "").withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit("line"), "line"))
 
@@ -53,64 +60,95 @@ def _mask(j: int) -> Column:
 
 
 def bands(unique: DataFrame) -> DataFrame:
-    """unique(h1, h2, line) -> h1, h2, key: one row a band."""
-    b = unique.select("h1", "h2", F.encode("line", "UTF-16BE").alias("b"))
+    """unique(id, line) -> id, key: one row a band."""
+    b = unique.select("id", F.encode("line", "UTF-16BE").alias("b"))
     n = F.greatest(F.lit(1), F.floor(F.octet_length("b") / 2).cast("int") - K + 1)
-    b = b.select("h1", "h2", "b", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("c"))
-    b = b.select("h1", "h2", F.substring("b", F.col("c") * (2 * CHUNK) + 1, F.lit(2 * (CHUNK + K - 1))).alias("b"))
-    at = F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length("b") - 2 * K + 1), F.lit(2))
-    s = b.select("h1", "h2", "b", F.explode(at).alias("i")).select("h1", "h2", F.xxhash64(F.substring("b", F.col("i"), F.lit(2 * K))).alias("h"))
-    sig = s.groupBy("h1", "h2").agg(*(F.min(F.xxhash64(F.col("h").bitwiseXOR(_mask(j)))).alias(f"m{j}") for j in range(BANDS * ROWS)))
+    b = b.select("id", "b", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))).alias("c"))
+    b = b.select("id", F.substring("b", F.col("c") * (2 * CHUNK) + 1, F.lit(2 * (CHUNK + K - 1))).alias("b"))
+    last = F.greatest(F.lit(1), F.octet_length("b") - 2 * K + 1)
+    b = b.select("id", "b", last.alias("last"), F.explode(F.sequence(F.lit(1), last, F.lit(2 * PACK))).alias("i"))
+    # a row has PACK shingles (past the end the last one again), so that the aggregate is reached less often
+    b = b.select("id", *(F.xxhash64(F.substring("b", F.least(F.col("i") + 2 * p, "last"), F.lit(2 * K))).alias(f"s{p}") for p in range(PACK)))
+    b = b.select("id", *(F.xxhash64(F.col(f"s{p}").bitwiseXOR(_mask(j))).alias(f"x{j}_{p}") for j in range(HASHES) for p in range(PACK)))
+    sig = b.groupBy("id").agg(*(F.min(F.least(*(F.shiftleft(f"x{j}_{p}", 21 * part) for p in range(PACK)))).alias(f"m{3 * j + part}") for j in range(HASHES) for part in range(3)))
     keys = F.array(*(F.xxhash64(F.lit(b), *(F.col(f"m{b * ROWS + r}") for r in range(ROWS))) for b in range(BANDS)))
-    return sig.select(F.struct("h1", "h2").alias("id"), F.explode(keys).alias("key"))
+    return sig.select("id", F.explode(keys).alias("key"))
 
 
-def _near(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose lines have at least the similarity; sizes are compared before any text is joined."""
-    n = lambda x: lines.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"))
-    fit = pairs.join(n("a"), "a").join(n("b"), "b").where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9).select("a", "b")
-    a, b = lines.select(F.col("id").alias("a"), F.col("line").alias("la")), lines.select(F.col("id").alias("b"), F.col("line").alias("lb"))
-    p = fit.join(a, "a").join(b, "b").select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
-    p = p.withColumn("o", F.size(F.array_intersect("sa", "sb"))).select("a", "b", "o", (F.size("sa") + F.size("sb") - F.col("o")).alias("u"))
-    return p.where(F.col("o") >= F.lit(similarity) * F.col("u") - 1e-9).select("a", "b")
+def _fit(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id, root) of the lines that have a near line; lines without one are not listed."""
-    lines = lines_of(docs)
-    unique = lines.groupBy("h1", "h2").agg(F.first("line").alias("line"))
+def _near(a: str, b: str, similarity: float) -> Column:
+    """Exact test of two sets of shingles."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both) - 1e-9
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """(id, h2, line, n, keys) of the lines that share a band with another one; keys: (key, low, m) with the least id and the lines of the key."""
+    unique = lines_of(docs).groupBy(F.col("h1").alias("id")).agg(F.first(F.struct("h2", "line")).alias("v")).select("id", "v.h2", "v.line")
     member = bands(unique).repartition("key")  # one exchange for both uses
-    least = member.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1")
-    member = staged(member.join(least.select("key", "low"), "key"), release=True)
-    asked = member.select("id").distinct()
-    text = lines.select(F.struct("h1", "h2").alias("id"), "line").join(asked, "id", "left_semi").groupBy("id").agg(F.first("line").alias("line"))
-    text = staged(text.withColumn("n", F.size(_shingles(F.col("line")))), release=True)
-    star = member.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    near = staged(_near(star, text, similarity))
-    found = components(near)
-
-    labelled = member.join(found, "id", "left").select("key", "id", "low", F.coalesce("root", "id").alias("c"))
-    parts = labelled.select("key", "c").distinct()
-    apart = parts.select("key", F.col("c").alias("ca")).join(parts.select("key", F.col("c").alias("cb")), "key").where("ca < cb")
-    x, y = labelled.select("key", F.col("id").alias("a"), F.col("c").alias("ca"), "low"), labelled.select("key", F.col("id").alias("b"), F.col("c").alias("cb"))
-    rest = apart.join(x, ["key", "ca"]).join(y, ["key", "cb"]).where("a <> low and b <> low").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = staged(_near(rest, text, similarity))
-    return components(near.unionByName(more)) if not more.isEmpty() else found
-
-
-def flags(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, rk, line_no, keep) of every non-blank line."""
+    least = member.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).where("m > 1")
+    keys = member.join(least, "key").groupBy("id").agg(F.collect_list(F.struct("key", "low", "m")).alias("keys"))  # BANDS at most
+    return unique.join(keys, "id").select("id", "h2", "line", F.size(_shingles(F.col("line"))).alias("n"), "keys")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, h2, root) of the lines that have a near line."""
+    lines = staged(candidates(docs))
+    # the star of each key: its least line against all others
+    spoke = lines.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("line").alias("lb"), F.explode(F.array_distinct(F.transform("keys", lambda k: k["low"]))).alias("a")).where("a <> b")
+    hub = lines.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("line").alias("la"))
+    near = spoke.join(hub, "a").where(_fit("na", "nb", similarity)).select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
+    found = components(near.where(_near("sa", "sb", similarity)).select("a", "b"))
+
+    named = staged(lines.join(found, "id", "left").select("id", "h2", "line", "n", "keys", F.coalesce("root", "id").alias("c")), done=(lines, found))
+    places = named.select("id", "c", F.explode("keys").alias("k")).select("id", "c", "k.*")
+    # keys with lines of several components, and the component that most of their lines are in
+    main = places.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(F.max(F.struct("s", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_ = places.join(main.select("key", F.col("main.c").alias("main")), "key").groupBy("id").agg(F.collect_list(F.struct("key", "low", "m", "main")).alias("open"))
+    rows = named.join(open_, "id").select("id", "line", "n", "c", F.explode("open").alias("k")).select("id", "line", "n", "c", "k.*").withColumn("deal", F.ceil(F.col("m") / SHARE).cast("int"))
+
+    def side(rows: DataFrame, s: str) -> DataFrame:
+        d = rows.repartition("key", "share").withColumn("s", _shingles(F.col("line"))).select("key", "share", "main", "low", *(F.col(c).alias(c + s) for c in ("id", "n", "c", "s")))
+        return d if s == "a" else d.drop("main", "low")
+
+    minor = side(rows.where("c <> main").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "a")
+    rest = side(rows.withColumn("share", F.pmod(F.hash("id"), F.col("deal"))), "b")
+    apart = (minor["ca"] != rest["cb"]) & ((rest["cb"] == minor["main"]) | (minor["ca"] < rest["cb"])) & (minor["ida"] != minor["low"]) & (rest["idb"] != minor["low"])
+    same = (minor["key"] == rest["key"]) & (minor["share"] == rest["share"])
+    more = minor.join(rest, same & apart & _fit("na", "nb", similarity) & _near("sa", "sb", similarity)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    joined = components(more)  # links of components
+    root = named.select(F.col("id").alias("h1"), "h2", "c").join(joined, F.col("c") == joined["id"], "left").select("h1", "h2", F.coalesce("root", "c").alias("root"))
+    single = root.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
+    return staged(root.join(single, "root").select("h1", "h2", "root"), done=(named, joined))
+
+
+def firsts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(h1, h2, first) of the lines that occur more than once or have a near line; ``first`` is the place that stays (doc_id, then line_no; no id comes last)."""
     root = classes(docs, similarity)
-    lines = lines_of(docs).select("doc_id", "rk", "line_no", F.struct("h1", "h2").alias("id"))
-    lines = lines.join(root, "id", "left").select("doc_id", "rk", "line_no", F.coalesce("root", "id").alias("c"))
-    first = lines.groupBy("c").agg(F.min(F.struct("doc_id", "line_no")).alias("first"))
-    return lines.join(first, "c").select("doc_id", "rk", "line_no", F.struct("doc_id", "line_no").eqNullSafe(F.col("first")).alias("keep"))
+    lines = lines_of(docs).select("h1", "h2", _place().alias("place")).groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count("*").alias("n"))
+    lines = staged(lines.join(root, ["h1", "h2"], "left").where("n > 1 or root is not null").select("h1", "h2", "place", "root"), done=(root,))
+    least = lines.where("root is not null").groupBy("root").agg(F.min("place").alias("first"))
+    linked = lines.join(least, "root").select("h1", "h2", "first")
+    return lines.where("root is null").select("h1", "h2", F.col("place").alias("first")).union(linked)
+
+
+def _place() -> Column:
+    """(doc_id, line_no) as one number, so that its minimum is a hash aggregate."""
+    return F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 31).cast("decimal(10,0)") + F.col("line_no")
+
+
+def removed(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, rk, line_no) of the lines that go."""
+    lines = lines_of(docs).select("doc_id", "rk", "line_no", "h1", "h2", _place().alias("place"))
+    return lines.join(firsts(docs, similarity), ["h1", "h2"]).where("place <> first").select("doc_id", "rk", "line_no")
 
 
 def dedup(docs: DataFrame, similarity: float = SIMILARITY, drop_empty: bool = False) -> DataFrame:
     """The rows of ``docs`` with the repeated lines taken out of ``text``, and n_lines, n_removed (blank lines count as lines)."""
-    keep = flags(docs, similarity)
-    gone = keep.groupBy("doc_id", "rk").agg(F.collect_set(F.when(~F.col("keep"), F.col("line_no"))).alias("gone")).where(F.size("gone") > 0)
+    gone = removed(docs, similarity).groupBy("doc_id", "rk").agg(F.collect_set("line_no").alias("gone"))
     gone = gone.select(F.col("doc_id").alias("_d"), F.col("rk").alias("_k"), F.sort_array("gone").alias("_g"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     d = docs.select(*columns, F.xxhash64(F.coalesce("text", F.lit(""))).alias("_rk"))

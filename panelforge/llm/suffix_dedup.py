@@ -277,7 +277,7 @@ def spans(texts: DataFrame, length: int) -> DataFrame:
             close(block)
         return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
 
-    sent = staged(texts.mapInArrow(sort_runs, _RUN), release=True)
+    sent = staged(texts.mapInArrow(sort_runs, _RUN))
     done = sent.where("r is null").select("doc_id", "tie", "lo", "hi")
     return sent.where("r is not null").groupBy("r").applyInArrow(combine, _SPAN).union(done)
 
@@ -313,13 +313,13 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     tokens = shared(d, kernel, finish, "i1 long, i2 long, n long, tokens binary", spread=4)
     # a text's tokens from all runs that hold a copy or a segment of it
     # staged, so that its exchanges are gone before texts are exchanged
-    tokens = staged(tokens.groupBy("i1", "i2").applyInArrow(unite, "i1 long, i2 long, tokens binary"), release=True)
+    tokens = staged(tokens.groupBy("i1", "i2").applyInArrow(unite, "i1 long, i2 long, tokens binary"))
     known = first.join(tokens, ["i1", "i2"], "left").select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), F.col("n").alias("kn"), "first", "tokens")
     d = d.select("doc_id", "text", i1.alias("i1"), i2.alias("i2"), n.alias("n"))
     d = d.join(known, (F.col("i1") == F.col("k1")) & (F.col("i2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
     copy, open_ = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)), F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()
     # of copies no text, of the rest with something to compare the text and the tokens
-    d = staged(d.select("doc_id", F.col("i1").alias("tie"), F.col("n").alias("n_bytes"), copy.alias("copy"), F.when(~copy, F.col("text")).alias("text"), F.when(~copy & open_, F.col("tokens")).alias("tokens")), release=True)
+    d = staged(d.select("doc_id", F.col("i1").alias("tie"), F.col("n").alias("n_bytes"), copy.alias("copy"), F.when(~copy, F.col("text")).alias("text"), F.when(~copy & open_, F.col("tokens")).alias("tokens")))
     cut = spans(d.where("tokens is not null").select("doc_id", "tie", "text", "tokens"), length)
     cut = cut.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cut"))
     # merged spans: (lo, hi) pairs, ascending, apart
