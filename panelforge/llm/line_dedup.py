@@ -9,9 +9,10 @@ smallest (doc_id, line number) stays.  Blank lines always stay.
    independent orders, and the minimum of an order over the line is one signature value.  BANDS bands of ROWS values are the
    keys: a pair at similarity 0.8 meets in at least one with probability 0.997, however short its lines are.
 3. Lines that share a key: each is first compared with the least line of the key (a star, not all pairs),
-   exactly, and linked by distributed union-find.  In a key that then still holds lines of several components, the lines outside its
-   largest component are compared with the rest inside the join, which puts out true links only; a key of many lines is dealt
-   over several tasks.  So no pair that meets in a band goes unseen.
+   exactly, and linked by distributed union-find.  In a key that still holds lines of several components, the lines outside its
+   largest one are compared with two lines inside that have most links, then with all lines of other components, inside the join,
+   which puts out true links only; bitmaps of the shingle hashes refute nearly all other pairs (an exact bound), and a key of many
+   lines is dealt over several tasks.  So no pair that meets in a band goes unseen.
 4. Union-find over all links, and one line is kept per component.
 
 Defined results: null text is empty; empty and blank lines are kept; lines of fewer than K characters
@@ -25,6 +26,9 @@ Lines are told apart by 128 hash bits; near links go by 64, so two different lin
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +40,7 @@ HASHES = BANDS  # each gives three orders
 SIMILARITY = 0.8
 CHUNK = 4096  # characters of a line whose shingles are listed at once
 PACK = 2  # shingles of a row
+WORDS = 16  # 64-bit words of a line's bitmap
 SHARE = 1024  # lines of a key that a task compares with others
 
 
@@ -79,50 +84,89 @@ def _fit(a: str, b: str, similarity: float) -> Column:
     return F.least(a, b) >= F.lit(similarity) * F.greatest(a, b) - 1e-9
 
 
+def _bits(a: str, b: str, similarity: float) -> Column:
+    """Bound by bitmaps: every bit that differs is a shingle of one set alone, so near sets have few."""
+    differ = reduce(add, (F.bit_count(F.col(f"w{j}{a}").bitwiseXOR(F.col(f"w{j}{b}"))) for j in range(WORDS)))
+    return differ * (1 + similarity) <= (F.col(f"n{a}") + F.col(f"n{b}")) * (1 - similarity) + 1e-9
+
+
 def _near(a: str, b: str, similarity: float) -> Column:
     """Exact test of two sets of shingles."""
-    both = F.size(F.array_intersect(a, b))
-    return both >= F.lit(similarity) * (F.size(a) + F.size(b) - both) - 1e-9
+    return F.size(F.array_intersect(f"s{a}", f"s{b}")) * (1 + similarity) + 1e-9 >= (F.col(f"n{a}") + F.col(f"n{b}")) * similarity
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(id, h2, line, n, keys) of the lines that share a band with another one; keys: (key, low, m) with the least id and the lines of the key."""
+    """(id, h2, line, keys) of the lines that share a band with another one; keys: (key, low, m) with the least id and the lines of the key."""
     unique = lines_of(docs).groupBy(F.col("h1").alias("id")).agg(F.first(F.struct("h2", "line")).alias("v")).select("id", "v.h2", "v.line")
     member = bands(unique).repartition("key")  # one exchange for both uses
     least = member.groupBy("key").agg(F.min("id").alias("low"), F.count("*").alias("m")).where("m > 1")
     keys = member.join(least, "key").groupBy("id").agg(F.collect_list(F.struct("key", "low", "m")).alias("keys"))  # BANDS at most
-    return unique.join(keys, "id").select("id", "h2", "line", F.size(_shingles(F.col("line"))).alias("n"), "keys")
+    return unique.join(keys, "id").select("id", "h2", "line", "keys")
+
+
+def sketched(lines: DataFrame) -> DataFrame:
+    """``lines`` with n, the number of distinct shingles, and w0, w1, …: a bitmap of their hashes."""
+    s = lines.select("id", F.explode(_shingles(F.col("line"))).alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    word = F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}")
+    return lines.join(s.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS))), "id")
+
+
+def _relabel(named: DataFrame, links: DataFrame) -> DataFrame:
+    """``named`` with the components that ``links`` (a, b: components) join."""
+    joined = components(links)
+    out = named.join(joined.withColumnRenamed("id", "c"), "c", "left").withColumn("c", F.coalesce("root", "c")).select(*named.columns)
+    return staged(out, done=(named, joined))
+
+
+def _open(named: DataFrame) -> DataFrame:
+    """(key, low, m, id, c, d, main) of the keys that hold lines of several components; main: the component with most of a key's lines."""
+    places = named.select("id", "c", "d", F.explode("keys").alias("k")).select("id", "c", "d", "k.*")
+    main = places.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(F.max_by("c", "s").alias("main"), F.count("*").alias("parts"))
+    return places.join(main.where("parts > 1").select("key", "main"), "key")
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(h1, h2, root) of the lines that have a near line."""
     lines = staged(candidates(docs))
+    lines = staged(sketched(lines), done=(lines,))
+    words = [f"w{j}" for j in range(WORDS)]
+    end = lambda t, s: t.select(*(F.col(c).alias(c + s) for c in ("id", "n", "line", "c", *words) if c in t.columns))
+
+    def verified(pairs: DataFrame, t: DataFrame) -> DataFrame:
+        """Of the pairs (ida, idb) of ``t`` the near ones."""
+        p = pairs.join(end(t, "a"), "ida").join(end(t, "b"), "idb").where(_fit("na", "nb", similarity) & _bits("a", "b", similarity))
+        return p.withColumn("sa", _shingles(F.col("linea"))).withColumn("sb", _shingles(F.col("lineb"))).where(_near("a", "b", similarity))
+
     # the star of each key: its least line against all others
-    spoke = lines.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("line").alias("lb"), F.explode(F.array_distinct(F.transform("keys", lambda k: k["low"]))).alias("a")).where("a <> b")
-    hub = lines.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("line").alias("la"))
-    near = spoke.join(hub, "a").where(_fit("na", "nb", similarity)).select("a", "b", _shingles(F.col("la")).alias("sa"), _shingles(F.col("lb")).alias("sb"))
-    found = components(near.where(_near("sa", "sb", similarity)).select("a", "b"))
-
-    named = staged(lines.join(found, "id", "left").select("id", "h2", "line", "n", "keys", F.coalesce("root", "id").alias("c")), done=(lines, found))
-    places = named.select("id", "c", F.explode("keys").alias("k")).select("id", "c", "k.*")
-    # keys with lines of several components, and the component that most of their lines are in
-    main = places.groupBy("key", "c").agg(F.count("*").alias("s")).groupBy("key").agg(F.max(F.struct("s", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_ = places.join(main.select("key", F.col("main.c").alias("main")), "key").groupBy("id").agg(F.collect_list(F.struct("key", "low", "m", "main")).alias("open"))
-    rows = named.join(open_, "id").select("id", "line", "n", "c", F.explode("open").alias("k")).select("id", "line", "n", "c", "k.*").withColumn("deal", F.ceil(F.col("m") / SHARE).cast("int"))
+    spoke = lines.select(F.col("id").alias("idb"), F.explode(F.array_distinct(F.transform("keys", lambda k: k["low"]))).alias("ida")).where("ida <> idb")
+    near = staged(verified(spoke, lines).select(F.col("ida").alias("a"), F.col("idb").alias("b")))
+    found = components(near)
+    degree = near.select(F.col("a").alias("id")).union(near.select("b")).groupBy("id").agg(F.count("*").alias("d"))
+    named = lines.join(found, "id", "left").join(degree, "id", "left").select(*lines.columns, F.coalesce("d", F.lit(0)).alias("d"), F.coalesce("root", "id").alias("c"))
+    named = staged(named, done=(lines, found, near))
+    # a second star: the lines outside a key's largest component against two lines inside that have most links
+    places = _open(named)
+    centre = places.where("c = main and id <> low").groupBy("key", F.pmod(F.hash("id"), F.lit(2)).alias("half")).agg(F.max_by("id", "d").alias("ida"))
+    pairs = places.where("c <> main").select("key", F.col("id").alias("idb")).join(centre, "key").select("ida", "idb").distinct()
+    named = _relabel(named, verified(pairs, named).select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+
+    open_ = _open(named).groupBy("id").agg(F.collect_list(F.struct("key", "low", "m", "main")).alias("open"))
+    rows = named.join(open_, "id").select("id", "line", "n", "c", *words, F.transform("open", lambda k: k["key"]).alias("keys"), F.explode("open").alias("k")).select("id", "line", "n", "c", "keys", *words, "k.*").withColumn("deal", F.ceil(F.col("m") / SHARE).cast("int"))
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        d = rows.repartition("key", "share").withColumn("s", _shingles(F.col("line"))).select("key", "share", "main", "low", *(F.col(c).alias(c + s) for c in ("id", "n", "c", "s")))
+        d = rows.repartition("key", "share").withColumn("s", _shingles(F.col("line"))).select("key", "share", "main", "low", *(F.col(c).alias(c + s) for c in ("id", "n", "c", "s", "keys", *words)))
         return d if s == "a" else d.drop("main", "low")
 
     minor = side(rows.where("c <> main").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "a")
     rest = side(rows.withColumn("share", F.pmod(F.hash("id"), F.col("deal"))), "b")
     apart = (minor["ca"] != rest["cb"]) & ((rest["cb"] == minor["main"]) | (minor["ca"] < rest["cb"])) & (minor["ida"] != minor["low"]) & (rest["idb"] != minor["low"])
     same = (minor["key"] == rest["key"]) & (minor["share"] == rest["share"])
-    more = minor.join(rest, same & apart & _fit("na", "nb", similarity) & _near("sa", "sb", similarity)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-    joined = components(more)  # links of components
-    root = named.select(F.col("id").alias("h1"), "h2", "c").join(joined, F.col("c") == joined["id"], "left").select("h1", "h2", F.coalesce("root", "c").alias("root"))
-    single = root.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root")
-    return staged(root.join(single, "root").select("h1", "h2", "root"), done=(named, joined))
+    once = F.array_min(F.array_intersect("keysa", "keysb")) == minor["key"]  # a pair is tested in its first common key
+    more = minor.join(rest, same & apart & _fit("na", "nb", similarity) & once & _bits("a", "b", similarity) & _near("a", "b", similarity)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    named = _relabel(named, more)
+    single = named.groupBy(F.col("c").alias("root")).agg(F.count("*").alias("n")).where("n > 1").select("root")
+    return staged(named.select(F.col("id").alias("h1"), "h2", F.col("c").alias("root")).join(single, "root").select("h1", "h2", "root"), done=(named,))
 
 
 def firsts(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
