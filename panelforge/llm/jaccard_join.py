@@ -12,8 +12,12 @@ A-Z lower-cased; fewer words than K: the whole sequence as one shingle).  Two do
 3. Prefix: of n shingles the first n - ceil(PERCENT n / 100) + 1 in the order; a pair that shares none cannot link.
    Classes with the same size and prefix are one group.
 4. Groups that share a prefix shingle are filtered by size and position, first against the smallest group of the
-   shingle (a star), then, for groups not yet connected, pair by pair; surviving group pairs are expanded to
-   members and verified by exact set overlap.  Links join by distributed union-find.
+   shingle (a star).  Groups are then expanded to members; those outside a shingle's largest component meet two members inside that
+   have most links, and at last all members of other components.  Pairs pass the bounds of size, position and bitmap inside the join, once
+   each at their first common shingle, and the rest is verified by exact set overlap.  Links join by distributed union-find.
+
+Bounds of hashing: sets are told apart by their size and 128 bits; shared shingles go by 48 bits, so of two sets with m shared
+shingles each a false common one is expected m * m / 2.8e14 times.
 
 Defined results: null text or no words -> empty set, linked with nothing; repeated rows are copies; a null doc_id
 takes the component of its copies; an empty table gives no rows; other columns are ignored.
@@ -27,11 +31,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import shared
-from ._stage import components, staged, table
+from ._stage import components, discard, staged, table
 from ._text import mix, pieces, shingles
 
 K = 3
 PERCENT = 90
+WORDS = 16  # 64-bit words of a set's bitmap
+SHARE = 1024  # members of a shingle that a task compares with others
 
 
 def sets_of(docs: DataFrame, k: int) -> DataFrame:
@@ -54,7 +60,7 @@ def _print(s: np.ndarray) -> tuple[int, int, int]:
 
 
 def shared_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Sets that have a shared shingle in their prefix: n, f1, f2, prefix (array), place (of its first), tokens (all shared shingles, sorted, 8 bytes each)."""
+    """Sets that have a shared shingle in their prefix: n, f1, f2, prefix (array), place (of its first), tokens (all shared shingles, sorted, 8 bytes each), bits (their bitmap)."""
 
     def kernel(data, off):
         for s in shingles(data, off, k):
@@ -63,22 +69,34 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     def finish(keys, own, tok, df):
         n, f1, f2 = keys
         at = np.searchsorted(own, np.arange(len(n) + 1))
-        got = {c: [] for c in ("n", "f1", "f2", "prefix", "place", "tokens")}
+        got = {c: [] for c in ("n", "f1", "f2", "prefix", "place", "tokens", "bits")}
         for d in range(len(n)):
             mine = tok[at[d] : at[d + 1]]
             alone = int(n[d]) - len(mine)
             left = int(n[d]) - (percent * int(n[d]) + 99) // 100 + 1 - alone
             if left > 0 and len(mine):
-                for c, v in zip(got, (n[d], f1[d], f2[d], mine[:left].astype(np.int64), alone, np.sort(mine).tobytes()), strict=True):
+                bits = np.zeros(64 * WORDS, bool)
+                bits[(mine % np.uint64(64 * WORDS)).astype(np.int64)] = True
+                for c, v in zip(got, (n[d], f1[d], f2[d], mine[:left].astype(np.int64), alone, np.sort(mine).tobytes(), np.packbits(bits).view(np.int64)), strict=True):
                     got[c].append(v)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(got.items(), kinds, strict=True)})
 
-    return shared(docs, kernel, finish, "n long, f1 long, f2 long, prefix array<long>, place long, tokens binary")
+    return shared(docs, kernel, finish, "n long, f1 long, f2 long, prefix array<long>, place long, tokens binary, bits array<long>")
+
+
+def _fits(percent: int) -> str:
+    return f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
 
 
-def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link; ``tokens``: sid, n, tokens."""
+def _bits(percent: int) -> str:
+    """Bound by bitmaps: a bit that differs is a shingle of one set alone, as are those that no other set holds (``place``)."""
+    differ = " + ".join(f"bit_count(bitsa[{j}] ^ bitsb[{j}])" for j in range(WORDS))
+    return f"{100 + percent} * (placea + placeb + {differ}) <= {100 - percent} * (na + nb)"
+
+
+def _verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link; ``found``: sid, n, place, bits, tokens."""
 
     def run(batches):
         for batch in batches:
@@ -89,8 +107,9 @@ def _verify(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
                 keep[i] = 100 * over >= percent * (int(na[i]) + int(nb[i]) - over)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    t = lambda x: tokens.select(F.col("sid").alias(x), F.col("n").alias(f"n{x}"), F.col("tokens").alias(f"t{x}"))
-    p = pairs.join(t("b"), "b").join(t("a"), "a").select("a", "b", "na", "ta", "nb", "tb")
+    end = lambda x, *columns: found.select(F.col("sid").alias(x), *(F.col(c).alias(c + x) for c in columns))
+    p = pairs.join(end("b", "n", "place", "bits"), "b").join(end("a", "n", "place", "bits"), "a").where(_fits(percent)).where(_bits(percent)).select("a", "b", "na", "nb")
+    p = p.join(end("b", "tokens"), "b").join(end("a", "tokens"), "a").select("a", "b", "na", "tokensa", "nb", "tokensb")
     return p.mapInArrow(run, "a long, b long")
 
 
@@ -98,46 +117,55 @@ def links(docs: DataFrame, sets: DataFrame, k: int = K, percent: int = PERCENT)
     """Links (a, b) between class representatives that connect every component; ``sets`` as from sets_of."""
     rep = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("sid"))
     found = shared_prefixes(docs, k, percent).dropDuplicates(["n", "f1", "f2"])
-    found = staged(found.join(rep, ["n", "f1", "f2"]).select("sid", "n", "prefix", "place", "tokens"))
-    tokens = found.select("sid", "n", "tokens")
-    groups = found.groupBy("n", "prefix").agg(F.min("sid").alias("gid"), F.min("place").alias("place"))
-    member = staged(found.select("sid", "n", "prefix").join(groups, ["n", "prefix"]).select("gid", "sid"))
-    lists = groups.select("gid", "n", "place", "prefix", F.posexplode("prefix").alias("at", "tok")).withColumn("pre", F.slice("prefix", 1, F.col("at"))).drop("prefix")
-    low = lists.groupBy("tok").agg(F.min(F.struct("n", "gid")).alias("low"), F.count("*").alias("c")).where("c > 1").select("tok", F.col("low.gid").alias("low"), F.col("low.n").alias("low_n"))
-    lists = staged(lists.join(low, "tok"))
-
-    fits = lambda x, y: F.expr(f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})")
-    star = lists.where("gid <> low").where(fits("n", "low_n")).select(F.col("low").alias("a"), F.col("gid").alias("b"))
+    found = staged(found.join(rep, ["n", "f1", "f2"]).select("sid", "n", "prefix", "place", "tokens", "bits"))
+    groups = found.groupBy("n", "prefix").agg(F.min("sid").alias("gid"), F.min("place").alias("place"), F.count("*").alias("size"))
+    member = found.select("sid", "n", "prefix").join(groups, ["n", "prefix"]).select("gid", "sid")
+    lists = groups.select("gid", "n", "size", F.posexplode("prefix").alias("at", "tok"))
+    low = lists.groupBy("tok").agg(F.min(F.struct("n", "gid")).alias("low"), F.sum("size").alias("members")).where("members > 1").select("tok", F.col("low.gid").alias("low"), F.col("low.n").alias("low_n"))
+    lists = staged(lists.select("gid", "n", "tok", "at").join(low, "tok"))
+
+    star = lists.where("gid <> low").where(_fits(percent).replace("na", "n").replace("nb", "low_n")).select(F.col("low").alias("a"), F.col("gid").alias("b"))
     star = star.union(member.where("gid <> sid").select(F.col("gid").alias("a"), F.col("sid").alias("b"))).distinct()
-    near = staged(_verify(star, tokens, percent))
+    near = staged(_verify(star, found, percent))
     label = components(near)
-
-    named = member.join(label, member["sid"] == label["id"], "left").select("gid", "sid", F.coalesce("root", "sid").alias("c"))
-    kinds = named.groupBy("gid", "c").count().select("gid", "c")  # a group once for each component in it
-    marked = lists.join(kinds, "gid").select("tok", "gid", "n", "place", "at", "pre", "c")
-    # components of a shingle that can hold a fitting pair, by the bounds of size and place of their groups
-    part = marked.groupBy("tok", "c").agg(F.min("n").alias("n0"), F.max("n").alias("n1"), F.max("at").alias("at"), F.max(F.expr("n - place - at - 1")).alias("rest"), F.when(F.count("*") == 1, F.max("pre")).alias("pre"))
-    end = lambda s: part.select("tok", *(F.col(x).alias(x + s) for x in ("c", "n0", "n1", "at", "rest", "pre")))
-    apart = end("a").join(end("b"), "tok").where(f"ca < cb and 100 * n1a >= {percent} * n0b and 100 * n1b >= {percent} * n0a")
-    apart = apart.where(f"(100 + {percent}) * (least(ata, atb) + 1 + least(resta, restb)) >= {percent} * (n0a + n0b)")
-    # a pair is met once, at its first common shingle
-    apart = apart.where("coalesce(not arrays_overlap(prea, preb), true)").select("tok", "ca", "cb")
-    side = lambda s: marked.select("tok", *(F.col(x).alias(x + s) for x in ("c", "gid", "n", "place", "at", "pre")))
-    pairs = apart.join(side("a"), ["tok", "ca"]).join(side("b"), ["tok", "cb"]).where(fits("na", "nb")).where("not arrays_overlap(prea, preb)")
-    bound = "least(ata, atb) + 1 + least(na - placea - ata - 1, nb - placeb - atb - 1)"
-    pairs = pairs.where(F.expr(f"(100 + {percent}) * ({bound}) >= {percent} * (na + nb)")).select("gida", "ca", "gidb", "cb").distinct()
-    inside = kinds.select("gid", F.col("c").alias("ca")).join(kinds.select("gid", F.col("c").alias("cb")), "gid").where("ca < cb").select(F.col("gid").alias("gida"), "ca", F.col("gid").alias("gidb"), "cb")
-    expand = lambda s: named.select(F.col("gid").alias("gid" + s), F.col("c").alias("c" + s), F.col("sid").alias(s))
-    rest = pairs.union(inside).join(expand("a"), ["gida", "ca"]).join(expand("b"), ["gidb", "cb"]).select("a", "b").distinct()
-    rest = rest.join(near, (rest["a"] == near["a"]) & (rest["b"] == near["b"]), "left_anti")
-    return near.union(_verify(rest, tokens, percent))
+    degree = near.select(F.col("a").alias("id")).union(near.select("b")).groupBy("id").agg(F.count("*").alias("d"))
+    named = member.join(label.withColumnRenamed("id", "sid"), "sid", "left").join(degree.withColumnRenamed("id", "sid"), "sid", "left")
+    named = staged(named.select("gid", "sid", F.coalesce("root", "sid").alias("c"), F.coalesce("d", F.lit(0)).alias("d")), done=(label,))
+
+    def open_(named: DataFrame) -> DataFrame:
+        """(tok, at, m, sid, c, d, main) of the shingles whose m members are of several components; main: the component with most of them."""
+        rows = lists.select("tok", "gid", "at").join(named, "gid")
+        main = rows.groupBy("tok", "c").agg(F.count("*").alias("s")).groupBy("tok").agg(F.max_by("c", "s").alias("main"), F.sum("s").alias("m"), F.count("*").alias("parts"))
+        return rows.join(main.where("parts > 1").select("tok", "main", "m"), "tok")
+
+    # a second star: members outside a shingle's largest component against two members inside that have most links
+    rows = open_(named)
+    centre = rows.where("c = main").groupBy("tok", F.pmod(F.hash("sid"), F.lit(2)).alias("half")).agg(F.max_by("sid", "d").alias("a"))
+    pairs = rows.where("c <> main").select("tok", F.col("sid").alias("b")).join(centre, "tok").select("a", "b").distinct()
+    more = staged(_verify(pairs, found, percent))
+    c = lambda x: named.select(F.col("sid").alias(x), F.col("c").alias("c" + x))
+    label = components(more.join(c("a"), "a").join(c("b"), "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    named = staged(named.join(label.withColumnRenamed("id", "c"), "c", "left").select("gid", "sid", F.coalesce("root", "c").alias("c"), "d"), done=(named, label))
+
+    rows = open_(named).select("tok", "at", "m", "sid", "c", "main").join(found.select("sid", "n", "place", "bits", "prefix"), "sid")
+    rows = rows.withColumn("pre", F.slice("prefix", 1, F.col("at"))).withColumn("deal", F.ceil(F.col("m") / SHARE).cast("int")).drop("prefix")
+    side = lambda d, x: d.select("tok", "share", *(F.col(y).alias(y + x) for y in ("at", "sid", "c", "n", "place", "bits", "pre")), *(["main"] if x == "a" else []))
+    minor = side(rows.where("c <> main").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "a")
+    rest = side(rows.withColumn("share", F.pmod(F.hash("sid"), F.col("deal"))), "b").withColumnRenamed("tok", "tokb").withColumnRenamed("share", "shareb")
+    place = f"{100 + percent} * (least(ata, atb) + 1 + least(na - placea - ata - 1, nb - placeb - atb - 1)) >= {percent} * (na + nb)"
+    tests = ["tok = tokb", "share = shareb", "ca <> cb", "(cb = main or ca < cb)", _fits(percent), place, _bits(percent), "not arrays_overlap(prea, preb)"]
+    pairs = minor.join(rest, F.expr(" and ".join(tests))).select(F.col("sida").alias("a"), F.col("sidb").alias("b")).distinct()
+    last = staged(_verify(pairs, found, percent), done=(lists, named))
+    return staged(near.union(more).union(last), done=(near, more, last, found))
 
 
 def join(docs: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """docs(doc_id, text, …) -> one row a document: doc_id, n_shingles, component_id (smallest doc_id reachable)."""
     docs = docs.select("doc_id", "text")
     sets = staged(sets_of(docs, k))
-    label = components(links(docs, sets, k, percent))
+    found = links(docs, sets, k, percent)
+    label = components(found)
+    discard(found)
     rep = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("sid"))
     rep = rep.join(label, rep["sid"] == label["id"], "left").select("n", "f1", "f2", F.coalesce("root", "sid").alias("root"))
     return sets.join(rep, ["n", "f1", "f2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
