@@ -18,6 +18,7 @@ from ._stage import shuffles
 from ._text import pieces
 
 RUN = 500_000  # tokens of a run
+RANGE = 4_000_000  # tokens that a range counts at a time
 HOT = 256  # items of a run that make a token frequent there
 
 _SENT = "r int, run long, kind int, n int, a binary, b binary, c binary"
@@ -58,14 +59,14 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate(_KINDS)], _NAMES)
 
 
-def shared(docs: DataFrame, kernel: Callable, finish: Callable, schema: str, spread: int = 1) -> DataFrame:
+def shared(docs: DataFrame, kernel: Callable, finish: Callable, schema: str, tokens: int = 0, spread: int = 1) -> DataFrame:
     """``kernel(data, off)`` yields for each text (key of three integers, sorted distinct 64-bit tokens); equal keys of a run are one item.
 
     ``finish(keys, item, token, count)`` gets the items of a run (three arrays) and, sorted by item, count, token, what
-    they hold that two or more items of the corpus hold; it returns an Arrow table.  ``spread``: hash ranges a shuffle
-    partition; more of them keep what one range counts at a time smaller.
+    they hold that two or more items of the corpus hold; it returns an Arrow table.  ``tokens``: about how many there are; a
+    range gets no more than RANGE of them.  ``spread``: hash ranges a shuffle partition at least.
     """
-    ranges = spread * shuffles(docs.sparkSession)
+    ranges = max(spread * shuffles(docs.sparkSession), tokens // RANGE)
 
     def send(batches):
         seen: dict[tuple, int] = {}

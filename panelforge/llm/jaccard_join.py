@@ -59,7 +59,7 @@ def _print(s: np.ndarray) -> tuple[int, int, int]:
     return len(s), int(m.sum(dtype=np.uint64).view(np.int64)), int(np.bitwise_xor.reduce(mix(m + np.uint64(0x632BE59BD9B4E019))).view(np.int64))
 
 
-def shared_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def shared_prefixes(docs: DataFrame, k: int, percent: int, tokens: int = 0) -> DataFrame:
     """Sets that have a shared shingle in their prefix: n, f1, f2, prefix (array), place (of its first), tokens (all shared shingles, sorted, 8 bytes each), bits (their bitmap)."""
 
     def kernel(data, off):
@@ -82,7 +82,7 @@ def shared_prefixes(docs: DataFrame, k: int, percent: int) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.list_(pa.int64()))
         return pa.table({c: pa.array(v, t) for (c, v), t in zip(got.items(), kinds, strict=True)})
 
-    return shared(docs, kernel, finish, "n long, f1 long, f2 long, prefix array<long>, place long, tokens binary, bits array<long>")
+    return shared(docs, kernel, finish, "n long, f1 long, f2 long, prefix array<long>, place long, tokens binary, bits array<long>", tokens)
 
 
 def _fits(percent: int) -> str:
@@ -116,7 +116,7 @@ def _verify(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def links(docs: DataFrame, sets: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """Links (a, b) between class representatives that connect every component; ``sets`` as from sets_of."""
     rep = sets.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("sid"))
-    found = shared_prefixes(docs, k, percent).dropDuplicates(["n", "f1", "f2"])
+    found = shared_prefixes(docs, k, percent, sets.agg(F.sum("n")).first()[0] or 0).dropDuplicates(["n", "f1", "f2"])
     found = staged(found.join(rep, ["n", "f1", "f2"]).select("sid", "n", "prefix", "place", "tokens", "bits"))
     groups = found.groupBy("n", "prefix").agg(F.min("sid").alias("gid"), F.min("place").alias("place"), F.count("*").alias("size"))
     member = found.select("sid", "n", "prefix").join(groups, ["n", "prefix"]).select("gid", "sid")

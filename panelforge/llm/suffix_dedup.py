@@ -11,7 +11,8 @@ The suffix order is built by a distributed merge sort that knows common prefixes
 3. Each task sorts the suffixes of its remaining anchors (by fingerprint, then bytes, as far as their windows reach), folds equal
    ones to the earliest document, and sends front-coded runs (common prefix with the one before, then the rest) to ranges.
 4. A range merges the runs with a loser tree that keeps for each run the common prefix with the last winner and compares
-   bytes only past it.  Neighbours that share their K-gram are a block; in a block each window belongs to its first document.
+   bytes only past it.  Neighbours that share their K-gram are a block; in a block each window belongs to its first document.  A block has
+   at most one entry of each distinct suffix from a run, however many documents hold it.
 5. The windows that start in an earlier document are united to spans, cut out and hashed.
 
 Texts equal to an earlier one are removed whole (if long enough) without being indexed.
@@ -35,6 +36,7 @@ from ._text import PIECE, mix, pieces, powers, prefix_hash
 
 LENGTH = 50
 K = 32
+RANGE = 64 << 20  # bytes of text to a range at most
 RUN = 8 << 20  # bytes of suffixes that a task sorts at once
 
 
@@ -161,8 +163,8 @@ def _lcp(a: bytes, b: bytes) -> int:
 
 
 def spans(texts: DataFrame, length: int) -> DataFrame:
-    """texts(doc_id, tie, text, tokens) -> removed spans [lo, hi) by (doc_id, tie); ``tokens``: fingerprints worth comparing."""
-    ranges = shuffles(texts.sparkSession)
+    """texts(doc_id, tie, text, tokens, n_bytes) -> removed spans [lo, hi) by (doc_id, tie), staged; ``tokens``: fingerprints worth comparing."""
+    ranges = max(shuffles(texts.sparkSession), (texts.agg(F.sum("n_bytes")).first()[0] or 0) // RANGE)
 
     def sort_runs(batches):
         entries: list[tuple] = []
@@ -279,7 +281,7 @@ def spans(texts: DataFrame, length: int) -> DataFrame:
 
     sent = staged(texts.mapInArrow(sort_runs, _RUN))
     done = sent.where("r is null").select("doc_id", "tie", "lo", "hi")
-    return sent.where("r is not null").groupBy("r").applyInArrow(combine, _SPAN).union(done)
+    return staged(sent.where("r is not null").groupBy("r").applyInArrow(combine, _SPAN).union(done), done=(sent,))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -310,17 +312,17 @@ def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         a = np.unique(np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in t.column("tokens")]))
         return pa.table({"i1": t.column("i1")[:1], "i2": t.column("i2")[:1], "tokens": pa.array([a.tobytes()], pa.binary())})
 
-    tokens = shared(d, kernel, finish, "i1 long, i2 long, n long, tokens binary", spread=4)
-    # a text's tokens from all runs that hold a copy or a segment of it
-    # staged, so that its exchanges are gone before texts are exchanged
+    size = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    tokens = shared(d, kernel, finish, "i1 long, i2 long, n long, tokens binary", 2 * size // (length - K + 1), spread=4)
+    # a text's tokens from all runs that hold a copy or a segment of it; staged, so that its exchanges are gone before texts are exchanged
     tokens = staged(tokens.groupBy("i1", "i2").applyInArrow(unite, "i1 long, i2 long, tokens binary"))
     known = first.join(tokens, ["i1", "i2"], "left").select(F.col("i1").alias("k1"), F.col("i2").alias("k2"), F.col("n").alias("kn"), "first", "tokens")
     d = d.select("doc_id", "text", i1.alias("i1"), i2.alias("i2"), n.alias("n"))
     d = d.join(known, (F.col("i1") == F.col("k1")) & (F.col("i2") == F.col("k2")) & (F.col("n") == F.col("kn")), "left")
     copy, open_ = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)), F.col("tokens").isNotNull() & F.col("doc_id").isNotNull()
     # of copies no text, of the rest with something to compare the text and the tokens
-    d = staged(d.select("doc_id", F.col("i1").alias("tie"), F.col("n").alias("n_bytes"), copy.alias("copy"), F.when(~copy, F.col("text")).alias("text"), F.when(~copy & open_, F.col("tokens")).alias("tokens")))
-    cut = spans(d.where("tokens is not null").select("doc_id", "tie", "text", "tokens"), length)
+    d = staged(d.select("doc_id", F.col("i1").alias("tie"), F.col("n").alias("n_bytes"), copy.alias("copy"), F.when(~copy, F.col("text")).alias("text"), F.when(~copy & open_, F.col("tokens")).alias("tokens")), done=(tokens,))
+    cut = spans(d.where("tokens is not null").select("doc_id", "tie", "text", "tokens", "n_bytes"), length)
     cut = cut.groupBy("doc_id", "tie").agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("cut"))
     # merged spans: (lo, hi) pairs, ascending, apart
     fold = F.aggregate(
