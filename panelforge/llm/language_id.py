@@ -3,7 +3,9 @@
 For each language a variable-order byte context tree is counted on a bounded sample of labelled
 texts and then frozen.  The probability of a byte in its context is the escape chain from the
 longest known context down to the uniform order, with exclusion of the symbols already offered,
-so the negative log is an exact code length.  A text gets the language with the shortest code.
+so the negative log is an exact code length over bytes (letters A-Z as a-z).  Exclusion shares the parent's probabilities out
+among the symbols not yet offered, without a recount.  Contexts seen fewer than LEAST times are no nodes: their bytes are
+coded in the next shorter context.  A text gets the language with the shortest code.
 
 Frozen trees are laid out as one dense table ``cost[node, symbol, language]``; scoring is a table
 look-up per byte in Arrow batches.
@@ -25,9 +27,8 @@ from ._text import LOWER, pieces
 
 ORDER = 3
 SAMPLE = 400  # labelled texts a language, whole texts, smallest hash of doc_id first
-SYMBOLS = 112  # most frequent bytes kept apart; the rest share the last symbol
-LEAST = 3  # occurrences that make a context a node
-LANGUAGES = 256  # most frequent labels learned
+BROADCAST = 1 << 20  # sampled rows whose keys are broadcast
+LEAST = 3  # occurrences, in any language, that make a context a node
 
 
 class Model:
@@ -41,12 +42,12 @@ class Model:
         langs = sorted(samples)
         streams = {k: [LOWER[np.frombuffer(t.encode(), np.uint8)] for t in samples[k]] for k in langs}
         freq = sum((np.bincount(a, minlength=256) for k in langs for a in streams[k]), np.zeros(256, np.int64))
-        top = np.sort(np.argsort(-freq, kind="stable")[: min(SYMBOLS, int((freq > 0).sum()))])
-        size = len(top) + 1
-        fold = np.full(256, size - 1, np.uint8)
+        top = np.flatnonzero(freq)  # every byte that occurs is a symbol; one more stands for bytes never seen, the last for the start of a text
+        size = len(top) + 2
+        fold = np.full(256, len(top), np.uint16)
         fold[top] = np.arange(len(top))
         fold = fold[LOWER]
-        pad = size - 1  # start of text
+        pad = size - 1
         grams = {k: [] for k in langs}
         for k in langs:
             for a in streams[k]:
@@ -81,7 +82,7 @@ class Model:
                 ok = (at < len(known[order])) & (known[order][np.minimum(at, len(known[order]) - 1)] == ctx)
                 m[at[ok], sym[ok].astype(np.int64)] = cnt[ok]
                 if order == 0:
-                    up = np.full((1, size), 1.0 / size)
+                    up = np.full((1, size), 1.0 / 256)
                 else:
                     up = parent[cls._down(known, order, size)]
                 n, d = m.sum(1, keepdims=True), (m > 0).sum(1, keepdims=True)
@@ -147,15 +148,18 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, learn) -> Model | None:
-    """Frozen model from at most SAMPLE whole texts of each of the LANGUAGES most frequent labels; ``learn`` says which rows may be read."""
+    """Frozen model from at most SAMPLE different whole texts of each label; ``learn`` says which rows may be read."""
     rows = docs.where(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    langs = [r[0] for r in rows.select("lang").distinct().collect()]  # one row a label
     if not langs:
         return None
-    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.where(F.col("lang").isin(langs)).select("lang", "doc_id").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE).select("doc_id").distinct()
+    key = ["lang", "doc_id", "_h"]
+    rows = rows.select("lang", "doc_id", "text", F.xxhash64("text").alias("_h"))
+    w = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_h")
+    ids = rows.select(*key).distinct().withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE).select(*key)
     text: dict[str, list[str]] = {k: [] for k in langs}
-    for r in rows.where(F.col("lang").isin(langs)).join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text").sort("doc_id").collect():  # SAMPLE rows a language at most
+    ids = F.broadcast(ids) if len(langs) * SAMPLE <= BROADCAST else ids  # three small columns, SAMPLE rows a label
+    for r in rows.join(ids, key, "left_semi").dropDuplicates(key).select("lang", "text").sort("doc_id", "_h").collect():  # SAMPLE rows a label at most
         text[r[0]].append(r[1])
     return Model.fit({k: v for k, v in text.items() if v})
 

@@ -7,7 +7,8 @@ slots each source is less than one block from its share, as long as it has block
 
 The schedule repeats every Q slots, so it is worked out once for Q slots (sources and weights alone)
 and block j stands in slot (j div w)*Q + slot_of[j mod w].  No row is dropped: a source that runs out
-leaves its later slots empty.
+leaves its later slots empty.  The number of sources is not bounded: one row a source and one a slot of the period
+pass through the driver, and are broadcast only up to SMALL slots.
 
 Numbering a hot source without one task for it: rows are dealt into 4096 hash ranges a source,
 numbered inside each, and shifted by the counts of the ranges before.
@@ -19,6 +20,8 @@ the input that clash with the new ones (``block``, ``slot``, ``pos``) are replac
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,16 +29,23 @@ from pyspark.sql import Window
 from ._stage import table
 
 BLOCK = 32
-TOTAL = 1 << 16  # largest sum of weights
+SMALL = 1 << 16  # largest sum of weights whose schedule is broadcast
 
 
 def schedule(weights: list[int]) -> list[list[int]]:
     """Slots of each source's blocks in one period of sum(weights) slots, earliest deadline first."""
     q = sum(weights)
     out: list[list[int]] = [[] for _ in weights]
+    later = [(0, i) for i in range(len(weights))]  # (release, source) of each source's next block
+    ready: list[tuple[int, int]] = []  # (deadline, source)
     for t in range(q):
-        ready = [(-(-(len(o) + 1) * q // w), i) for i, (o, w) in enumerate(zip(out, weights, strict=True)) if len(o) < w and len(o) * q // w <= t]
-        out[min(ready)[1]].append(t)
+        while later and later[0][0] <= t:
+            i = heappop(later)[1]
+            heappush(ready, (-(-(len(out[i]) + 1) * q // weights[i]), i))
+        i = heappop(ready)[1]
+        out[i].append(t)
+        if len(out[i]) < weights[i]:
+            heappush(later, (len(out[i]) * q // weights[i], i))
     return out
 
 
@@ -53,13 +63,14 @@ def mix(docs: DataFrame, weights: dict | Column, block: int = BLOCK, seed: int =
     else:
         got = [(r[0], int(r[1] if r[1] is not None else default)) for r in sources.select("source", weights.alias("w")).collect()]
     got.sort(key=lambda r: (r[0] is not None, r[0] or ""))
-    if any(w < 1 for _, w in got) or sum(w for _, w in got) > TOTAL:
-        raise ValueError("weights must be positive integers with a sum of at most %d" % TOTAL)
+    if any(w < 1 for _, w in got):
+        raise ValueError("weights must be positive integers")
     slots = schedule([w for _, w in got])
     total = sum(w for _, w in got)
     rows = [(s, w, k, t) for (s, w), ts in zip(got, slots, strict=True) for k, t in enumerate(ts)]
     plan = spark.createDataFrame(rows, "p_source string, p_w long, p_k long, p_slot long")
-    sizes = plan.select("p_source", "p_w").distinct()
+    sizes = spark.createDataFrame(got, "p_source string, p_w long")
+    small = F.broadcast if total <= SMALL else (lambda frame: frame)
 
     other = [c for c in keep if c not in ("doc_id", "source")]
     d = d.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))).withColumn("_r", F.substring("_h", 1, 3))
@@ -69,9 +80,9 @@ def mix(docs: DataFrame, weights: dict | Column, block: int = BLOCK, seed: int =
     d = d.withColumn("_n", F.row_number().over(w))
     d = d.join(before, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("_r") == F.col("o_r")))
     d = d.withColumn("_n", F.col("_o") + F.col("_n") - 1).withColumn("block", F.expr(f"_n div {block}")).withColumn("pos", F.col("_n") % block)
-    d = d.join(F.broadcast(sizes), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")  # at most TOTAL rows
+    d = d.join(small(sizes), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     d = d.withColumn("_k", F.col("block") % F.col("p_w")).withColumn("_c", F.expr("block div p_w"))
-    d = d.join(F.broadcast(plan.select("p_source", "p_k", "p_slot")), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("_k") == F.col("p_k")))
+    d = d.join(small(plan.select("p_source", "p_k", "p_slot")), F.col("source").eqNullSafe(F.col("p_source")) & (F.col("_k") == F.col("p_k")))
     return d.select(*keep, F.col("block").cast("long").alias("block"), (F.col("_c") * total + F.col("p_slot")).cast("long").alias("slot"), F.col("pos").cast("long").alias("pos"))
 
 

@@ -36,7 +36,7 @@ from ._text import PIECE, mix, pieces, powers, prefix_hash
 
 LENGTH = 50
 K = 32
-RANGE = 64 << 20  # bytes of text to a range at most
+RANGE = 4 << 20  # bytes of text to a range at most, so that a range's suffixes fit a worker
 RUN = 8 << 20  # bytes of suffixes that a task sorts at once
 
 
