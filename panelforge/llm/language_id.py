@@ -78,8 +78,8 @@ class Model:
             for order in range(ORDER + 1):
                 ctx, sym, cnt = total[order][j]
                 m = np.zeros((len(known[order]), size))
+                ok = np.isin(ctx, known[order])  # none at all in a very small sample
                 at = np.searchsorted(known[order], ctx)
-                ok = (at < len(known[order])) & (known[order][np.minimum(at, len(known[order]) - 1)] == ctx)
                 m[at[ok], sym[ok].astype(np.int64)] = cnt[ok]
                 if order == 0:
                     up = np.full((1, size), 1.0 / 256)
