@@ -74,7 +74,8 @@ def simulate(pdf: pd.DataFrame, cash: float = 1e6, lot: int = LOT) -> pd.DataFra
 def run(targets: DataFrame, panel: DataFrame, cash: float = 1e6, lot: int = LOT) -> DataFrame:
     """targets(strategy, t, symbol, weight), panel(symbol, t, open, …) -> (strategy, t, equity, cash, positions, fees, turnover)."""
     cols = ["symbol", "t", "open", *(c for c in ("up_limit", "down_limit") if c in panel.columns)]
-    rows = targets.select("strategy").distinct().join(panel.select(*cols)).join(targets, ["strategy", "symbol", "t"], "left")
+    # of the panel each strategy gets the symbols that it ever holds
+    rows = targets.select("strategy", "symbol").distinct().join(panel.select(*cols), "symbol").join(targets, ["strategy", "symbol", "t"], "left")
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         for c in ("up_limit", "down_limit"):

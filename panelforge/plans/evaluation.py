@@ -90,6 +90,22 @@ def expanding(c: str) -> str:
 # Cost rates of buying and selling (commission and stamp duty).
 BUY, SELL = 0.00031, 0.00081
 
+# Share of a quantile's symbols that were not in it the session before: one window, no self join.
+TURNOVER = (
+    "SELECT t, trade_date, factor, q, 1 - count(CASE WHEN t_ = t - 1 AND q_ = q THEN 1 END) / CAST(count(*) AS DOUBLE) AS turnover "
+    "FROM (SELECT *, lag(q) OVER w AS q_, lag(t) OVER w AS t_ FROM qt WINDOW w AS (PARTITION BY symbol, factor ORDER BY t)) x "
+    "WHERE q IS NOT NULL GROUP BY t, trade_date, factor, q"
+)
+
+
+def shifted(c: str, way: str, lags: tuple[int, ...]) -> str:
+    """Rows of ``rk`` once for each lag, with the value (y_) and session (t_) so many sessions on: the panel is dense, so one window has all lags."""
+    moved = ", ".join(f"{way}({x}, {n}) OVER w AS {x}_{n}" for n in lags for x in (c, "t"))
+    pick = ", ".join(f"CASE lag_n {' '.join(f'WHEN {n} THEN {x}_{n}' for n in lags)} END AS {y}_" for x, y in ((c, "y"), ("t", "t")))
+    values = ", ".join(f"({n})" for n in lags)
+    return f"SELECT trade_date, factor, t, fo, lag_n, {pick} FROM (SELECT *, {moved} FROM rk WINDOW w AS (PARTITION BY symbol, factor ORDER BY t)) v JOIN (VALUES {values}) AS g(lag_n) ON 1 = 1"
+
+
 METRICS: dict[str, str] = {
     "metric_ic": f"SELECT trade_date, factor, {R('ic')} AS ic FROM ics WHERE ic IS NOT NULL",
     "metric_rank_ic": f"SELECT trade_date, factor, {R('rank_ic')} AS rank_ic FROM ics WHERE rank_ic IS NOT NULL",
@@ -100,23 +116,23 @@ METRICS: dict[str, str] = {
     "metric_rolling_ic": f"SELECT trade_date, factor, {R(f'CASE WHEN t >= 11 THEN avg(rank_ic) {W(11)} END')} AS rolling_ic, {R(f'CASE WHEN count(rank_ic) {W(11)} = 12 THEN avg(rank_ic) {W(11)} END')} AS rolling_ic_full FROM ics",
     "metric_consistency": f"SELECT trade_date, factor, {R(f'avg(same) {O}')} AS consistency FROM (SELECT *, CASE WHEN short IS NOT NULL AND long IS NOT NULL THEN CASE WHEN sign(short) = sign(long) THEN 1e0 ELSE 0e0 END END AS same FROM (SELECT *, avg(rank_ic) {W(5)} AS short, avg(rank_ic) {W(23)} AS long FROM ics) x) y",
     "metric_weighted_ic": f"SELECT trade_date, factor, {R('ic * CASE WHEN n >= 10 AND m < 0 THEN -1e0 ELSE 1e0 END')} AS weighted_ic FROM (SELECT *, avg(rank_ic) {W(30, 1)} AS m, count(rank_ic) {W(30, 1)} AS n FROM ics) x",
-    "metric_ic_decay": f"SELECT x.trade_date, x.factor, lag_n, {R(pearson('fo', 'ral'))} AS rank_ic FROM (SELECT a.trade_date, a.factor, g.lag_n, a.fo, b.ra AS ral FROM rk a JOIN (VALUES (1), (2), (3), (4), (5), (10), (20)) AS g(lag_n) ON 1 = 1 JOIN rk b ON b.symbol = a.symbol AND b.factor = a.factor AND b.t = a.t + g.lag_n) x GROUP BY x.trade_date, x.factor, lag_n",
+    "metric_ic_decay": f"SELECT trade_date, factor, lag_n, {R(pearson('fo', 'y_'))} AS rank_ic FROM ({shifted('ra', 'lead', (1, 2, 3, 4, 5, 10, 20))}) x WHERE t_ = t + lag_n GROUP BY trade_date, factor, lag_n",
     "metric_mi_ic": f"SELECT trade_date, factor, {R('CASE WHEN hx > 0 AND hy > 0 THEN (hx + hy - hxy) / nullif(sqrt(hx * hy), 0e0) END')} AS mi FROM (SELECT j.trade_date, j.factor, min(hx) AS hx, min(hy) AS hy, -sum(p * ln(p)) AS hxy FROM (SELECT trade_date, factor, q, rq, count(*) / CAST(sum(count(*)) OVER (PARTITION BY trade_date, factor) AS DOUBLE) AS p FROM qt WHERE q IS NOT NULL AND rq IS NOT NULL GROUP BY trade_date, factor, q, rq) j JOIN (SELECT trade_date, factor, -sum(p * ln(p)) AS hx FROM (SELECT trade_date, factor, q, count(*) / CAST(sum(count(*)) OVER (PARTITION BY trade_date, factor) AS DOUBLE) AS p FROM qt WHERE q IS NOT NULL AND rq IS NOT NULL GROUP BY trade_date, factor, q) a GROUP BY trade_date, factor) x ON x.trade_date = j.trade_date AND x.factor = j.factor JOIN (SELECT trade_date, factor, -sum(p * ln(p)) AS hy FROM (SELECT trade_date, factor, rq, count(*) / CAST(sum(count(*)) OVER (PARTITION BY trade_date, factor) AS DOUBLE) AS p FROM qt WHERE q IS NOT NULL AND rq IS NOT NULL GROUP BY trade_date, factor, rq) a GROUP BY trade_date, factor) y ON y.trade_date = j.trade_date AND y.factor = j.factor GROUP BY j.trade_date, j.factor) z",
     "metric_quantile": f"SELECT trade_date, factor, q, {R('CASE WHEN n >= 2 THEN m END')} AS mean_ret, n FROM qr",
     "metric_quantile_spread": f"SELECT trade_date, factor, {R('sum(CASE WHEN q = ' + str(Q) + ' THEN m WHEN q = 1 THEN -m END)')} AS spread, {R(pearson('q', 'mr', 3))} AS monotonic FROM (SELECT *, row_number() OVER (PARTITION BY trade_date, factor ORDER BY m, q) AS mr, count(m) OVER (PARTITION BY trade_date, factor) AS bins FROM qr) x WHERE bins = {Q} {G}",
     "metric_quantile_nav": f"SELECT trade_date, factor, q, {R(f'sum(ln(1 + coalesce(m, 0e0))) OVER (PARTITION BY factor, q ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)')} AS log_nav FROM qr",
     "metric_quantile_ic": f"SELECT trade_date, factor, q, {R(pearson('f', 'r', 5))} AS ic, {R(pearson('fo', 'ra', 5))} AS rank_ic FROM qt WHERE q IS NOT NULL GROUP BY trade_date, factor, q",
     "metric_quantile_return_hit": f"SELECT trade_date, factor, q, {R('avg(CASE WHEN rq = ' + str(Q) + ' THEN 1e0 ELSE 0e0 END)')} AS top_hit, {R('avg(CASE WHEN rq = 1 THEN 1e0 ELSE 0e0 END)')} AS bottom_hit FROM qt WHERE q IS NOT NULL AND rq IS NOT NULL GROUP BY trade_date, factor, q",
-    "metric_quantile_turnover": f"SELECT a.trade_date, a.factor, a.q, {R('1 - count(b.symbol) / CAST(count(*) AS DOUBLE)')} AS turnover FROM qt a LEFT JOIN qt b ON b.factor = a.factor AND b.symbol = a.symbol AND b.t = a.t - 1 AND b.q = a.q WHERE a.q IS NOT NULL AND a.t > 0 GROUP BY a.trade_date, a.factor, a.q",
+    "metric_quantile_turnover": f"SELECT trade_date, factor, q, {R('turnover')} AS turnover FROM ({TURNOVER}) x WHERE t > 0",
     "metric_quantile_factor_mean": f"SELECT trade_date, factor, q, {R('avg(f)')} AS mean_f FROM qt WHERE q IS NOT NULL GROUP BY trade_date, factor, q",
-    "metric_quantile_after_cost": f"SELECT x.trade_date, x.factor, x.q, {R(f'm - CASE WHEN first_t = x.t THEN {BUY}e0 ELSE turnover * {BUY + SELL}e0 END')} AS net FROM (SELECT *, min(t) OVER (PARTITION BY factor, q) AS first_t FROM qr) x LEFT JOIN (SELECT a.t, a.factor, a.q, 1 - count(b.symbol) / CAST(count(*) AS DOUBLE) AS turnover FROM qt a LEFT JOIN qt b ON b.factor = a.factor AND b.symbol = a.symbol AND b.t = a.t - 1 AND b.q = a.q WHERE a.q IS NOT NULL GROUP BY a.t, a.factor, a.q) y ON y.t = x.t AND y.factor = x.factor AND y.q = x.q",
+    "metric_quantile_after_cost": f"SELECT x.trade_date, x.factor, x.q, {R(f'm - CASE WHEN first_t = x.t THEN {BUY}e0 ELSE turnover * {BUY + SELL}e0 END')} AS net FROM (SELECT *, min(t) OVER (PARTITION BY factor, q) AS first_t FROM qr) x LEFT JOIN ({TURNOVER}) y ON y.t = x.t AND y.factor = x.factor AND y.q = x.q",
     "metric_factor_returns": f"SELECT trade_date, factor, {R('CASE WHEN count(f) >= 10 AND var_samp(f) > 1e-15 THEN covar_samp(f, r) / nullif(var_samp(f), 0e0) END')} AS factor_return FROM ev WHERE f IS NOT NULL AND r IS NOT NULL {G}",
     "metric_long_only": f"SELECT trade_date, factor, {R('avg(CASE WHEN f > 0 THEN r END)')} AS long_ret, {R('avg(CASE WHEN f < 0 THEN r END)')} AS short_ret, count(CASE WHEN f > 0 THEN 1 END) AS long_n, count(CASE WHEN f < 0 THEN 1 END) AS short_n FROM ev {G}",
     "metric_weighted_pnl": f"SELECT trade_date, factor, {R('sum(f * r)')} AS pnl, {R('sum(CASE WHEN f > 0 THEN f * r END)')} AS long_pnl, {R('sum(CASE WHEN f < 0 THEN f * r END)')} AS short_pnl FROM ev {G}",
     "metric_style_correlation": " UNION ALL ".join(f"SELECT trade_date, factor, '{s}' AS style, {R(pearson('x_', 'y_'))} AS corr FROM {spearman('f', s, 'ev')} x_{s} {G}" for s in ("s_size", "s_mom", "s_vol")),
     "metric_quality": f"SELECT trade_date, factor, count(*) AS total, count(f) AS valid, count(*) - count(f) AS missing, {R('count(f) / CAST(count(*) AS DOUBLE)')} AS coverage, count(DISTINCT f) AS uniques, {R('count(DISTINCT f) / nullif(CAST(count(f) AS DOUBLE), 0e0)')} AS unique_rate, {R('avg(CASE WHEN f IS NOT NULL THEN CASE WHEN abs(f - mu) > 3 * sd THEN 1e0 ELSE 0e0 END END)')} AS extreme, {R('percentile_cont(0.75) WITHIN GROUP (ORDER BY f) - percentile_cont(0.25) WITHIN GROUP (ORDER BY f)')} AS iqr FROM (SELECT *, avg(f) OVER (PARTITION BY trade_date, factor) AS mu, stddev_samp(f) OVER (PARTITION BY trade_date, factor) AS sd FROM ev) x {G}",
     "metric_factor_stats": f"SELECT trade_date, factor, {R('avg(f)')} AS mean, {R('stddev_samp(f)')} AS std, {R('median(f)')} AS median, {R('min(f)')} AS min, {R('max(f)')} AS max, {R('CASE WHEN count(f) > 2 AND avg(d * d) > 1e-20 THEN avg(d * d * d) / nullif(pow(avg(d * d), 1.5e0), 0e0) * sqrt(count(f) * (count(f) - 1e0)) / nullif(count(f) - 2e0, 0e0) END')} AS skew, {R('CASE WHEN avg(d * d) > 1e-20 THEN avg(d * d * d * d) / nullif(avg(d * d) * avg(d * d), 0e0) - 3 END')} AS kurt FROM (SELECT *, f - avg(f) OVER (PARTITION BY trade_date, factor) AS d FROM ev) x {G}",
-    "metric_autocorr": f"SELECT a.trade_date, a.factor, g.lag_n, {R(pearson('a.fo', 'b.fo'))} AS autocorr FROM rk a JOIN (VALUES (1), (5), (10), (20)) AS g(lag_n) ON 1 = 1 JOIN rk b ON b.symbol = a.symbol AND b.factor = a.factor AND b.t = a.t - g.lag_n GROUP BY a.trade_date, a.factor, g.lag_n",
+    "metric_autocorr": f"SELECT trade_date, factor, lag_n, {R(pearson('fo', 'y_'))} AS autocorr FROM ({shifted('fo', 'lag', (1, 5, 10, 20))}) x WHERE t_ = t - lag_n GROUP BY trade_date, factor, lag_n",
     "metric_tail_hit_rate": f"SELECT trade_date, factor, q, {R('avg(CASE WHEN rq IN (1, ' + str(Q) + ') THEN 1e0 ELSE 0e0 END)')} AS tail_hit FROM qt WHERE q IS NOT NULL AND rq IS NOT NULL GROUP BY trade_date, factor, q",
     "metric_tail_weighted_ic": f"SELECT trade_date, factor, {R('CASE WHEN n >= 10 AND vx * vy > 1e-30 THEN cxy / nullif(sqrt(vx * vy), 0e0) END')} AS tail_ic FROM (SELECT trade_date, factor, count(*) AS n, sum(w * f * r) / sum(w) - sum(w * f) / sum(w) * sum(w * r) / sum(w) AS cxy, sum(w * f * f) / sum(w) - sum(w * f) / sum(w) * sum(w * f) / sum(w) AS vx, sum(w * r * r) / sum(w) - sum(w * r) / sum(w) * sum(w * r) / sum(w) AS vy FROM (SELECT *, 2 * abs(fo / CAST(fn AS DOUBLE) - 0.5e0) + 1e-9 AS w FROM rk WHERE f IS NOT NULL AND r IS NOT NULL) x {G}) y",
     "metric_tail_subsample_ic": f"SELECT trade_date, factor, {R(pearson('fo', 'ra', 5))} AS tail_ic FROM qt WHERE rq IN (1, {Q}) {G}",

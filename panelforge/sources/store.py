@@ -31,7 +31,7 @@ class FactorStore:
         stage = f"{self.path}.stage-{uuid.uuid4().hex}"
         df.write.parquet(stage)
         rows = self.spark.read.parquet(stage)
-        rows.repartition("factor").sortWithinPartitions("trade_date", "symbol").write.partitionBy("factor").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
+        rows.repartition("factor", F.substring(F.col("trade_date").cast("string"), 1, 4)).sortWithinPartitions("trade_date", "symbol").write.partitionBy("factor").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(self.path)
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(stage)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -67,7 +67,15 @@ class FactorStore:
         return self.spark.read.parquet(self.path).groupBy("factor").agg(F.max("trade_date").alias("last_date"))
 
     def trim_from(self, day) -> None:
-        self._publish(self._all().where(F.col("trade_date") < F.lit(day)))
+        """Takes out all rows from ``day`` on; a factor that has none before goes altogether."""
+        rows = self._all()
+        if rows is None:
+            return
+        first = rows.groupBy("factor").agg(F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
+        gone = [r[0] for r in first.where(F.col("first") >= F.lit(day)).select("factor").collect()]  # names of factors
+        cut = first.where((F.col("first") < F.lit(day)) & (F.col("last") >= F.lit(day))).select("factor")
+        self._publish(rows.join(cut, "factor", "left_semi").where(F.col("trade_date") < F.lit(day)).select(*COLUMNS))
+        self.purge(gone)
 
     def purge(self, factors: list[str]) -> None:
         for f in factors:

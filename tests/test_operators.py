@@ -129,3 +129,14 @@ def test_vendor_source(spark):
     assert spark.read.format("demo_vendor").load().groupBy("d").count().count() == 2
     assert spark.read.format("demo_vendor").load().count() == 14
     assert plan(Slice.BY_PANEL, [], list(range(5)), 2) == [(0, 1), (2, 3), (4,)]
+
+
+def test_store_trim(spark, tmp_path):
+    s = FactorStore(spark, f"file://{tmp_path}/store")
+    day = lambda m, d: pd.Timestamp(f"2020-{m:02d}-{d:02d}").date()
+    rows = [(day(1, 1), 1, 1.0, "a"), (day(2, 1), 1, 2.0, "a"), (day(2, 1), 1, 5.0, "b"), (day(1, 2), 1, 7.0, "c")]
+    s.write(spark.createDataFrame(rows, "trade_date date, symbol long, value double, factor string"))
+    s.trim_from(day(1, 15))
+    assert sorted((r.factor, r.value) for r in s.read().collect()) == [("a", 1.0), ("c", 7.0)]
+    s.trim_from(day(1, 1))
+    assert s._all() is None or s._all().count() == 0
