@@ -51,11 +51,11 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 
 def _shingles(line: Column) -> Column:
-    """Distinct shingle hashes of one line, for the exact comparison."""
+    """Shingle hashes of one line in order, for the exact comparison."""
     at = lambda b: F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(b) - 2 * K + 1), F.lit(2))
     # the outer transform binds the encoded line, which would else be encoded anew for every shingle
     one = F.transform(F.array(F.encode(line, "UTF-16BE")), lambda b: F.transform(at(b), lambda i: F.xxhash64(F.substring(b, i, F.lit(2 * K)))))
-    return F.array_distinct(F.element_at(one, 1))
+    return F.element_at(one, 1)
 
 
 def _mask(j: int) -> Column:
@@ -91,8 +91,8 @@ def _bits(a: str, b: str, similarity: float) -> Column:
 
 
 def _near(a: str, b: str, similarity: float) -> Column:
-    """Exact test of two sets of shingles."""
-    return F.size(F.array_intersect(f"s{a}", f"s{b}")) * (1 + similarity) + 1e-9 >= (F.col(f"n{a}") + F.col(f"n{b}")) * similarity
+    """Exact test of the shingles of two lines (``array_intersect`` takes each once)."""
+    return F.size(F.array_intersect(_shingles(F.col(f"line{a}")), _shingles(F.col(f"line{b}")))) * (1 + similarity) + 1e-9 >= (F.col(f"n{a}") + F.col(f"n{b}")) * similarity
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -106,7 +106,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 def sketched(lines: DataFrame) -> DataFrame:
     """``lines`` with n, the number of distinct shingles, and w0, w1, …: a bitmap of their hashes."""
-    s = lines.select("id", F.explode(_shingles(F.col("line"))).alias("h"))
+    s = lines.select("id", F.explode(F.array_distinct(_shingles(F.col("line")))).alias("h"))
     bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
     word = F.expr(f"shiftrightunsigned(h, 6) & {WORDS - 1}")
     return lines.join(s.groupBy("id").agg(F.count("*").alias("n"), *(F.bit_or(F.when(word == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{j}") for j in range(WORDS))), "id")
@@ -135,8 +135,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     def verified(pairs: DataFrame, t: DataFrame) -> DataFrame:
         """Of the pairs (ida, idb) of ``t`` the near ones."""
-        p = pairs.join(end(t, "a"), "ida").join(end(t, "b"), "idb").where(_fit("na", "nb", similarity) & _bits("a", "b", similarity))
-        return p.withColumn("sa", _shingles(F.col("linea"))).withColumn("sb", _shingles(F.col("lineb"))).where(_near("a", "b", similarity))
+        p = pairs.join(end(t, "a"), "ida").join(end(t, "b"), "idb")
+        return p.where(_fit("na", "nb", similarity) & _bits("a", "b", similarity) & _near("a", "b", similarity))
 
     # the star of each key: its least line against all others
     spoke = lines.select(F.col("id").alias("idb"), F.explode(F.array_distinct(F.transform("keys", lambda k: k["low"]))).alias("ida")).where("ida <> idb")
@@ -155,7 +155,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = named.join(open_, "id").select("id", "line", "n", "c", *words, F.transform("open", lambda k: k["key"]).alias("keys"), F.explode("open").alias("k")).select("id", "line", "n", "c", "keys", *words, "k.*").withColumn("deal", F.ceil(F.col("m") / SHARE).cast("int"))
 
     def side(rows: DataFrame, s: str) -> DataFrame:
-        d = rows.repartition("key", "share").withColumn("s", _shingles(F.col("line"))).select("key", "share", "main", "low", *(F.col(c).alias(c + s) for c in ("id", "n", "c", "s", "keys", *words)))
+        d = rows.select("key", "share", "main", "low", *(F.col(c).alias(c + s) for c in ("id", "n", "c", "line", "keys", *words)))
         return d if s == "a" else d.drop("main", "low")
 
     minor = side(rows.where("c <> main").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("deal") - 1))), "a")
@@ -163,7 +163,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     apart = (minor["ca"] != rest["cb"]) & ((rest["cb"] == minor["main"]) | (minor["ca"] < rest["cb"])) & (minor["ida"] != minor["low"]) & (rest["idb"] != minor["low"])
     same = (minor["key"] == rest["key"]) & (minor["share"] == rest["share"])
     once = F.array_min(F.array_intersect("keysa", "keysb")) == minor["key"]  # a pair is tested in its first common key
-    more = minor.join(rest, same & apart & _fit("na", "nb", similarity) & once & _bits("a", "b", similarity) & _near("a", "b", similarity)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    more = minor.join(rest, same & apart & _fit("na", "nb", similarity) & _bits("a", "b", similarity) & once & _near("a", "b", similarity)).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
     named = _relabel(named, more)
     single = named.groupBy(F.col("c").alias("root")).agg(F.count("*").alias("n")).where("n > 1").select("root")
     return staged(named.select(F.col("id").alias("h1"), "h2", F.col("c").alias("root")).join(single, "root").select("h1", "h2", "root"), done=(named,))
