@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, factor_queries, kernels, market
+from . import evaluation, factor_queries, kernels, market, panel_queries
 
-MODULES = (factor_queries, evaluation, market, kernels)
+MODULES = (factor_queries, evaluation, market, panel_queries, kernels)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

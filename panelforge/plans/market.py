@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 from panelforge.functions import financial
-from panelforge.plans.evaluation import R, pearson
+from panelforge.plans.evaluation import R
 from panelforge.plans.expression import Plan
 from panelforge.sources.panel import PANEL_SQL, dense, read
 
@@ -119,9 +119,9 @@ TEXTS: dict[str, str] = {
     "attr_period_returns": f"SELECT trade_date, {R('v / nullif(lag(v) OVER (ORDER BY t), 0e0) - 1')} AS ret FROM (SELECT t, trade_date, 1000000 + sum(close * shares) AS v FROM (SELECT t, trade_date, close, 10 + symbol % 5 AS shares FROM panel WHERE close IS NOT NULL) a GROUP BY t, trade_date) x",
     "attr_bhb": f"WITH {SIDES} SELECT trade_date, grp, {R('CASE WHEN rp IS NULL OR rb IS NULL THEN (wp * coalesce(rp, 0e0)) - wb * coalesce(rb, 0e0) ELSE (wp - wb) * rb END', 9)} AS allocation, {R('CASE WHEN rp IS NULL OR rb IS NULL THEN 0e0 ELSE wp * (rp - rb) END', 9)} AS selection FROM sides",
     "attr_brinson_fachler": f"WITH {LINK} SELECT t, grp, {R('allocation', 9)} AS allocation, {R('selection', 9)} AS selection FROM eff",
-    "attr_carino": f"WITH {LINK}, k AS (SELECT t, rp, rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per WHERE t <= 12), tot AS (SELECT exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k) SELECT e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON 1 = 1 GROUP BY e.grp",
-    "attr_wealth_link": f"WITH {LINK}, later AS (SELECT t, coalesce(sum(ln(1 + rp)) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS g FROM per WHERE t <= 12) SELECT e.grp, {R('sum((e.allocation + e.selection) * exp(g))', 8)} AS effect FROM eff e JOIN later l ON l.t = e.t GROUP BY e.grp",
-    # linking over every session, a calendar year each; the two above are held to t <= 12 by their SQL
+    "attr_carino": f"WITH {LINK}, k AS (SELECT t, rp, rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per), tot AS (SELECT exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k) SELECT e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON 1 = 1 GROUP BY e.grp",
+    "attr_wealth_link": f"WITH {LINK}, later AS (SELECT t, coalesce(sum(ln(1 + rp)) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS g FROM per) SELECT e.grp, {R('sum((e.allocation + e.selection) * exp(g))', 8)} AS effect FROM eff e JOIN later l ON l.t = e.t GROUP BY e.grp",
+    # linking within each calendar year
     "attr_carino_year": f"WITH {LINK}, k AS (SELECT p.t, c.y, p.rp, p.rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per p JOIN (SELECT DISTINCT t, year(trade_date) AS y FROM panel) c ON c.t = p.t), tot AS (SELECT y, exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k GROUP BY y) SELECT k.y, e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT y, CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON z.y = k.y GROUP BY k.y, e.grp",
     "attr_wealth_link_year": f"WITH {LINK}, later AS (SELECT p.t, c.y, coalesce(sum(ln(1 + p.rp)) OVER (PARTITION BY c.y ORDER BY p.t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS g FROM per p JOIN (SELECT DISTINCT t, year(trade_date) AS y FROM panel) c ON c.t = p.t) SELECT l.y, e.grp, {R('sum((e.allocation + e.selection) * exp(g))', 8)} AS effect FROM eff e JOIN later l ON l.t = e.t GROUP BY l.y, e.grp",
     "attr_onion": f"WITH {LINK} SELECT t, {R('sum(allocation)', 9)} AS allocation, {R('sum(selection)', 9)} AS selection, {R('sum(allocation + selection)', 9)} AS total FROM eff GROUP BY t",
@@ -136,7 +136,6 @@ TEXTS: dict[str, str] = {
     "crowd_dispersion": f"WITH {HL} SELECT trade_date, {R('disp')} AS disp, {R('disp / nullif(market, 0e0)')} AS rel FROM hl",
     "crowd_dispersion_spike": f"WITH {HL} SELECT trade_date, {R(f'0.5e0 * ({prior_z("m")}) + 0.5e0 * ({prior_z("c")})')} AS spike FROM (SELECT *, m - lag(m, 4) OVER (ORDER BY t) AS c FROM (SELECT *, CASE WHEN t >= 4 THEN avg(disp) {over(3)} END AS m FROM hl) x) y",
     "crowd_volatility": f"WITH {HL} SELECT trade_date, {R(f'stddev_samp(hl) {over(11)} * sqrt(252e0)')} AS vol, {R(f'avg(hl) {over(5)}', 9)} AS mom FROM hl",
-    "crowd_pairwise_corr": f"WITH {GROUPS}, mean AS (SELECT t, sum(ret) AS s, count(*) AS n FROM grp WHERE g = 'H' GROUP BY t) SELECT symbol, {R(pearson('ret', 'others', 8))} AS corr FROM (SELECT x.symbol, x.ret, (m.s - x.ret) / nullif(m.n - 1e0, 0e0) AS others FROM grp x JOIN mean m ON m.t = x.t WHERE x.g = 'H') y GROUP BY symbol",
     "crowd_temperature": f"WITH {HL} SELECT a.trade_date, {R('greatest(avg(CASE WHEN b.disp <= a.disp THEN 1e0 ELSE 0e0 END), 1 - avg(CASE WHEN b.disp <= a.disp THEN 1e0 ELSE 0e0 END))')} AS temperature FROM hl a JOIN hl b ON b.t < a.t GROUP BY a.trade_date HAVING count(*) >= 10",
     "crowd_market_exposure": f"WITH {GROUPS} SELECT trade_date, {R('sum(st * mv) / sum(mv)')} AS exposure FROM grp GROUP BY trade_date",
     "crowd_splice": f"WITH {HL} SELECT trade_date, {R('hl', 9)} AS hl, 'head' AS part FROM hl WHERE t < 60 UNION ALL SELECT trade_date, {R('hl', 9)}, 'tail' FROM hl WHERE t >= 60",
