@@ -119,7 +119,7 @@ TEXTS: dict[str, str] = {
     "attr_period_returns": f"SELECT trade_date, {R('v / nullif(lag(v) OVER (ORDER BY t), 0e0) - 1')} AS ret FROM (SELECT t, trade_date, 1000000 + sum(close * shares) AS v FROM (SELECT t, trade_date, close, 10 + symbol % 5 AS shares FROM panel WHERE close IS NOT NULL) a GROUP BY t, trade_date) x",
     "attr_bhb": f"WITH {SIDES} SELECT trade_date, grp, {R('CASE WHEN rp IS NULL OR rb IS NULL THEN (wp * coalesce(rp, 0e0)) - wb * coalesce(rb, 0e0) ELSE (wp - wb) * rb END', 9)} AS allocation, {R('CASE WHEN rp IS NULL OR rb IS NULL THEN 0e0 ELSE wp * (rp - rb) END', 9)} AS selection FROM sides",
     "attr_brinson_fachler": f"WITH {LINK} SELECT t, grp, {R('allocation', 9)} AS allocation, {R('selection', 9)} AS selection FROM eff",
-    "attr_carino": f"WITH {LINK}, k AS (SELECT t, rp, rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per), tot AS (SELECT exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k) SELECT e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON 1 = 1 GROUP BY e.grp",
+    "attr_carino": f"WITH {LINK}, k AS (SELECT t, rp, rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per), tot AS (SELECT exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k) SELECT e.grp, {R('sum(e.allocation * k.kt / kk)', 2)} AS allocation, {R('sum(e.selection * k.kt / kk)', 2)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON 1 = 1 GROUP BY e.grp",
     "attr_wealth_link": f"WITH {LINK}, later AS (SELECT t, coalesce(sum(ln(1 + rp)) OVER (ORDER BY t DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS g FROM per) SELECT e.grp, {R('sum((e.allocation + e.selection) * exp(g))', 8)} AS effect FROM eff e JOIN later l ON l.t = e.t GROUP BY e.grp",
     # linking within each calendar year
     "attr_carino_year": f"WITH {LINK}, k AS (SELECT p.t, c.y, p.rp, p.rb, CASE WHEN abs(rp - rb) < 1e-14 THEN 1 / (1 + rp) ELSE (ln(1 + rp) - ln(1 + rb)) / nullif(rp - rb, 0e0) END AS kt FROM per p JOIN (SELECT DISTINCT t, year(trade_date) AS y FROM panel) c ON c.t = p.t), tot AS (SELECT y, exp(sum(ln(1 + rp))) - 1 AS p, exp(sum(ln(1 + rb))) - 1 AS b FROM k GROUP BY y) SELECT k.y, e.grp, {R('sum(e.allocation * k.kt / kk)', 8)} AS allocation, {R('sum(e.selection * k.kt / kk)', 8)} AS selection FROM eff e JOIN k ON k.t = e.t JOIN (SELECT y, CASE WHEN abs(p - b) < 1e-14 THEN 1 / (1 + p) ELSE (ln(1 + p) - ln(1 + b)) / nullif(p - b, 0e0) END AS kk FROM tot) z ON z.y = k.y GROUP BY k.y, e.grp",
