@@ -97,28 +97,6 @@ def ew_moments(df: DataFrame, y: str, x: str, window: int = 252, half_life: floa
     return df.select("symbol", "t", y, x).groupBy("symbol").applyInPandas(kernel, "symbol long, t int, alpha double, beta double, ew_std double")
 
 
-def weighted_log_momentum(df: DataFrame, rows: int = 25) -> DataFrame:
-    """(symbol, t, score): (exp(250 slope) - 1) * R2 of the weighted log-price line over the last valid closes."""
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["close"] > 0].sort_values("t")
-        n, w, z = rows + 1, np.linspace(1, 2, rows + 1) ** 2, np.arange(rows + 1.0)
-        y, out = np.log(pdf["close"].to_numpy(float)), []
-        for i in range(len(y)):
-            if i + 1 < n:
-                out.append(None)
-                continue
-            v = y[i + 1 - n : i + 1]
-            mz, mv = np.average(z, weights=w), np.average(v, weights=w)
-            s = (w @ ((z - mz) * (v - mv))) / (w @ (z - mz) ** 2)
-            r = v - mv - s * (z - mz)
-            total = w @ (v - mv) ** 2
-            out.append(float((np.expm1(250 * s)) * (1 - (w @ r**2) / total)) if total > 0 and 250 * s < 700 else None)
-        return pdf[["symbol", "t"]].assign(score=out)
-
-    return df.select("symbol", "t", "close").groupBy("symbol").applyInPandas(kernel, "symbol long, t int, score double")
-
-
 def alarms(series: DataFrame, key: str = "series", hits: int = 3, within: int = 5, calm: int = 10, tail: float = 0.9) -> DataFrame:
     """(key, t, active): on after ``hits`` values at or above the tail in the last ``within``, off after ``calm`` quiet days."""
 

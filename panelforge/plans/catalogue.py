@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, factor_queries, kernels, market, panel_queries
+from . import evaluation, factor_queries, kernels, market, panel_queries, rotation
 
-MODULES = (factor_queries, evaluation, market, panel_queries, kernels)
+MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 

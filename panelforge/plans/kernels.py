@@ -48,10 +48,6 @@ def ew_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return regression.ew_moments(p.join(F.broadcast(market), "t"), "ret", "mkt", 24, 6, 8)  # one row a session
 
 
-def log_momentum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.weighted_log_momentum(dense(spark, sf_dir).where("close is not null"), 12)
-
-
 def alarm_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = dense(spark, sf_dir).groupBy("l1", "t").agg(F.stddev_samp("ret").alias("disp"))
     w = Window.partitionBy("l1").orderBy("t").rowsBetween(-12, -1)
@@ -94,7 +90,7 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "kernel_ols_residual": ols_residual, "kernel_style_returns": style_returns, "kernel_exposures": exposures, "kernel_pure_ic": pure_ic,
-    "kernel_nonlinear_ic": nonlinear_ic, "kernel_ew_beta": ew_beta, "kernel_log_momentum": log_momentum, "kernel_alarms": alarm_states,
+    "kernel_nonlinear_ic": nonlinear_ic, "kernel_ew_beta": ew_beta, "kernel_alarms": alarm_states,
     "kernel_backtest": simulation, "kernel_backtest_summary": simulation_summary, "kernel_allocators": allocation, "stream_event_bars": stream_bars,
 }
 _V = "v AS (SELECT trade_date, factor, symbol, f, s_size AS x, s_mom AS z FROM ev WHERE f IS NOT NULL AND s_size IS NOT NULL AND s_mom IS NOT NULL)"
