@@ -78,21 +78,15 @@ def ew_moments(df: DataFrame, y: str, x: str, window: int = 252, half_life: floa
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t")
         a, b = pdf[y].to_numpy(float), pdf[x].to_numpy(float)
-        decay = 0.5 ** (np.arange(window)[::-1] / half_life)
-        rows = []
-        for i in range(len(a)):
-            u, v, w = a[max(0, i - window + 1) : i + 1], b[max(0, i - window + 1) : i + 1], decay[-min(window, i + 1) :]
-            ok = np.isfinite(u) & np.isfinite(v)
-            if ok.sum() < least:
-                rows.append((None, None, None))
-                continue
-            u, v, w = u[ok], v[ok], w[ok] / w[ok].sum()
-            mu, mv = w @ u, w @ v
-            var = w @ (v - mv) ** 2
-            beta = (w @ ((u - mu) * (v - mv))) / var if var > 1e-20 else np.nan
-            rows.append((mu - beta * mv, beta, float(np.sqrt(w @ (u - mu) ** 2))))
-        out = pd.DataFrame(rows, columns=["alpha", "beta", "ew_std"])
-        return pd.concat([pdf[["symbol", "t"]].reset_index(drop=True), out], axis=1)
+        u, v = (np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(window - 1, np.nan), c)), window) for c in (a, b))
+        ok = np.isfinite(u) & np.isfinite(v)
+        w = ok * 0.5 ** (np.arange(window)[::-1] / half_life)
+        w = w / np.maximum(w.sum(1), 1e-300)[:, None]
+        mu, mv = ((w * np.where(ok, c, 0)).sum(1) for c in (u, v))
+        du, dv = np.where(ok, u - mu[:, None], 0), np.where(ok, v - mv[:, None], 0)
+        var, few = (w * dv * dv).sum(1), ok.sum(1) < least
+        beta = np.where(few | (var <= 1e-20), np.nan, (w * du * dv).sum(1) / np.maximum(var, 1e-20))
+        return pdf[["symbol", "t"]].assign(alpha=mu - beta * mv, beta=beta, ew_std=np.where(few, np.nan, np.sqrt((w * du * du).sum(1))))
 
     return df.select("symbol", "t", y, x).groupBy("symbol").applyInPandas(kernel, "symbol long, t int, alpha double, beta double, ew_std double")
 

@@ -11,7 +11,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 NAMES = [
     "alpha101_001_010", "alpha101_061_070", "factors_short", "factors_technical", "metric_rank_ic_summary", "metric_ic_decay", "metric_quantile", "metric_quantile_turnover",
     "metric_autocorr", "metric_tail_pair_accuracy", "metric_quality", "metric_factor_stats", "xs_winsor_z", "xs_nlsize", "reg_residual", "store_upsert_coalesce", "clean_sanitize",
-    "pit_announcement_asof", "pit_index_members", "universe_mask", "universe_registry", "attr_brinson_fachler", "attr_carino", "crowd_valuation_z", "crowd_pairwise_corr", "crowd_relative_volatility", "pit_ttm_ytd", "style_statement", "strategy_icir", "attr_benchmark_weights", "attr_wealth_link", "kernel_log_momentum", "rotation_adaptive_momentum", "rotation_targets", "rotation_unlike", "kernel_ols_residual", "kernel_nonlinear_ic", "stream_event_bars",
+    "pit_announcement_asof", "pit_index_members", "universe_mask", "universe_registry", "attr_brinson_fachler", "attr_carino", "crowd_valuation_z", "crowd_pairwise_corr", "crowd_relative_volatility", "pit_ttm_ytd", "style_statement", "strategy_icir", "attr_benchmark_weights", "attr_wealth_link", "kernel_style_returns", "kernel_exposures", "kernel_pure_ic", "kernel_ew_beta", "kernel_alarms", "kernel_log_momentum", "rotation_adaptive_momentum", "rotation_targets", "rotation_unlike", "kernel_ols_residual", "kernel_nonlinear_ic", "stream_event_bars",
 ]
 
 
