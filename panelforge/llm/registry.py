@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat_format, decontaminate, jaccard_join, language_id, license_scan, line_dedup, mixing, quality, suffix_dedup
+from . import ann, chat_format, decontaminate, html_extract, jaccard_join, language_id, license_scan, line_dedup, mixing, prefix_trie, quality, suffix_dedup, whitening
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_license_scan": license_scan.query,
     "op9_line_dedup": line_dedup.query,
     "op10_language_id": language_id.query,
+    "op11_whitening": whitening.query,
+    "op12_html_text": html_extract.query,
+    "op13_prefix_trie": prefix_trie.query,
 }
 ORACLES = {
     "op1_chat_format": chat_format.ORACLE_SQL,
     "op7_mix_sources": mixing.ORACLE_SQL,
     "op8_license_scan": license_scan.ORACLE_SQL,
+    "op13_prefix_trie": prefix_trie.ORACLE_SQL,
 }
