@@ -6,8 +6,8 @@ ranges, each range counts and sums its own part, and the parts' totals (one row
 
 Every node has an edge to the key of its parent.  A round adds to each node what the nodes pointing at it have gathered and
 then lets every node point where its target points; round k so covers the descendants less than 2^(k+1) levels below, and
-log2(depth) rounds cover all.  The sums combine before they are shuffled; targets of more than a thousandth of the nodes (a thousand
-at most) are looked up by broadcast, so a common first turn is no hot key.
+log2(depth) rounds cover all.  The sums combine before they are shuffled; targets of more than a thousandth of the nodes (so a thousand
+at most) are met in SALT copies, so a common first turn is no hot key.
 
 Order of turns: ``turn`` (null first), then role, then text; null role or text is empty, repeated rows are turns of their own.
 Rows without conv_id take no part; an empty table gives no node; other columns are ignored.  A node's list of ended
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._stage import discard, staged, table
+from ._stage import staged, table
 
 ID, UP = ["depth", "k1", "k2"], ["jd", "j1", "j2"]
 LANES = ["s1", "s2", "s3", "s4"]
-HEAVY = 2000  # nodes that point at one, at least, before it is looked up by broadcast
+HEAVY = 2000  # nodes that point at one, at least, before it is met in salted copies
+SALT = 32
 MODULUS, SHARED = 9, 5  # of the rebuilding rule
 
 
@@ -113,28 +114,37 @@ def ended(members: DataFrame) -> DataFrame:
     return members.select(*ID, "c").repartition(*ID).sortWithinPartitions(*ID, "c").mapInArrow(stream, "depth long, k1 long, k2 long, ends_sha256 string")
 
 
-def follow(nodes: DataFrame, many: DataFrame, limit: int, take: dict[str, str]) -> DataFrame:
-    """``nodes`` with columns of the node each one points at; ``many``(jd, j1, j2, many): how often a node is pointed at."""
-    target = nodes.select(*(F.col(a).alias(b) for a, b in zip(ID, UP, strict=True)), *(F.col(a).alias(b) for a, b in take.items()))
-    heavy = many.where(F.col("many") > limit).select(*UP)
-    few = F.broadcast(target.join(F.broadcast(heavy), UP).withColumn("found", F.lit(True)))
-    seen = nodes.join(few, UP, "left")
-    rest = seen.where("found is null").drop("found", *take.values()).join(target, UP, "left")
-    return seen.where("found").drop("found").unionByName(rest)
+def follow(nodes: DataFrame, heavy: list[int], take: dict[str, str]) -> DataFrame:
+    """``nodes`` with columns of the node each one points at; the targets whose key hashes to one of ``heavy`` are met in salted copies."""
+    dealt = lambda cols, salt: F.when(F.xxhash64(*cols).isin(heavy), salt).otherwise(F.lit(0)) if heavy else F.lit(0)
+    copies = F.when(F.xxhash64(*ID).isin(heavy), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0))) if heavy else F.array(F.lit(0))
+    target = nodes.select(*(F.col(a).alias(b) for a, b in zip(ID, UP, strict=True)), *(F.col(a).alias(b) for a, b in take.items()), F.explode(copies).alias("salt"))
+    asking = nodes.withColumn("salt", dealt(UP, F.pmod(F.xxhash64(*ID), F.lit(SALT)).cast("int")))
+    return asking.join(target, [*UP, "salt"], "left").drop("salt")
 
 
-def roll_up(nodes: DataFrame, sums: list[str]) -> DataFrame:
-    """Staged nodes(depth, k1, k2, jd, j1, j2, parent's columns, ...) -> ``sums`` added over every node's subtree, in rounds that double their reach."""
-    size, deepest = nodes.agg(F.count("*"), F.max("depth")).first()
+def gathered(nodes: DataFrame, sums: list[str], limit: int) -> tuple[DataFrame, list[int]]:
+    """What the nodes pointing at a node hold (staged: depth, k1, k2, many, more_...), and the hashed keys of those pointed at by more than ``limit``."""
+    got = nodes.where("j1 is not null").groupBy(*UP).agg(F.count("*").alias("many"), *(F.sum(s).alias(f"more_{s}") for s in sums))
+    got = staged(got.select(*(F.col(a).alias(b) for a, b in zip(UP, ID, strict=True)), "many", *(f"more_{s}" for s in sums)))
+    return got, [r[0] for r in got.where(F.col("many") > limit).select(F.xxhash64(*ID)).collect()]
+
+
+def roll_up(nodes: DataFrame, sums: list[str], size: int, deepest: int) -> DataFrame:
+    """Staged nodes(depth, k1, k2, jd, j1, j2, conv_id, ...) -> ``sums`` added over every node's subtree in rounds that double their reach; parent_conv_id."""
     limit, reach = max(HEAVY, size // 1000), 1
-    while reach <= (deepest or 0):
-        got = nodes.where("j1 is not null").groupBy(*UP).agg(F.count("*").alias("many"), *(F.sum(s).alias(f"more_{s}") for s in sums))
-        here = nodes.join(got.select(*(F.col(a).alias(b) for a, b in zip(UP, ID, strict=True)), *(f"more_{s}" for s in sums)), ID, "left")
-        here = here.select(*(c for c in nodes.columns if c not in sums), *((F.col(s) + F.coalesce(f"more_{s}", F.lit(0))).alias(s) for s in sums))
-        # the sums are those of this round, the pointers of the target those of the last
-        out = follow(here, got, limit, {"jd": "nd", "j1": "n1", "j2": "n2"})
-        out = out.select(*(c for c in nodes.columns if c not in UP), *(F.col(a).alias(b) for a, b in zip(("nd", "n1", "n2"), UP, strict=True)))
-        nodes = staged(out.select(*nodes.columns), done=(nodes,))
+    inputs, nodes = (nodes,), nodes.withColumn("parent_conv_id", F.lit(None).cast("long"))
+    while reach <= deepest:
+        got, heavy = gathered(nodes, sums, limit)
+        take = {"jd": "nd", "j1": "n1", "j2": "n2"} | ({"conv_id": "above"} if reach == 1 else {})
+        out = follow(nodes, heavy, take)
+        if reach == 1:
+            out = out.withColumn("parent_conv_id", F.col("above"))
+        out = out.join(got, ID, "left")
+        added = {s: (F.col(s) + F.coalesce(f"more_{s}", F.lit(0))).alias(s) for s in sums}
+        moved = {a: F.col(b).alias(a) for a, b in zip(UP, ("nd", "n1", "n2"), strict=True)}
+        nodes = staged(out.select(*(added.get(c, moved.get(c, F.col(c))) for c in nodes.columns)), done=(got, *inputs))
+        inputs = (nodes,)
         reach *= 2
     return nodes
 
@@ -144,12 +154,12 @@ def trie(rows: DataFrame, convs: DataFrame, inputs: tuple[DataFrame, ...] = ())
     every = staged(prefixes(rows, convs), done=inputs)
     nodes = every.groupBy(*ID).agg(F.min("c").alias("conv_id"), *(F.min(x).alias(x) for x in UP), F.count("*").alias("n_convs"), F.min("bytes").alias("bytes"))
     nodes = staged(nodes)
-    children = nodes.where("j1 is not null").groupBy(*UP).agg(F.count("*").alias("many"))
-    full = nodes.join(children.select(*(F.col(a).alias(b) for a, b in zip(UP, ID, strict=True)), F.col("many").alias("n_children")), ID, "left")
-    full = full.withColumn("n_children", F.coalesce("n_children", F.lit(0))).withColumn("n_leaves", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"))
-    full = full.withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("bytes")).drop("bytes")
-    full = staged(follow(full, children, max(HEAVY, nodes.count() // 1000), {"conv_id": "parent_conv_id"}), done=(nodes,))
-    full = roll_up(full, ["n_leaves", "saved_tokens"])
+    size, deepest = nodes.agg(F.count("*"), F.max("depth")).first()
+    children = nodes.where("j1 is not null").groupBy(*(F.col(a).alias(b) for a, b in zip(UP, ID, strict=True))).agg(F.count("*").alias("many"))
+    full = nodes.join(children, ID, "left").withColumn("n_children", F.coalesce("many", F.lit(0)))
+    leaf = F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long")
+    full = staged(full.withColumn("n_leaves", leaf).withColumn("saved_tokens", (F.col("n_convs") - 1) * F.col("bytes")).drop("bytes", "many"), done=(nodes,))
+    full = roll_up(full, ["n_leaves", "saved_tokens"], size, deepest or 0)
     ends = staged(ended(every.where("ends")), done=(every,))
     out = full.join(ends, ID, "left").withColumn("ends_sha256", F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)))
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
