@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import evaluation, exposure, factor_queries, kernels, market, panel_queries, rotation
+from . import evaluation, exposure, factor_queries, kernels, learned, market, panel_queries, rotation
 
-MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation, exposure)
+MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation, exposure, learned)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
