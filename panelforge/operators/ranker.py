@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,9 +30,11 @@ class Rolling:
     smooth: float = 0.4
     boost: boosting.Settings = field(default_factory=boosting.Settings)
 
+    step: int | None = None  # sessions between the dates it learns from; by default a quarter of the horizon
+
     @property
     def stride(self) -> int:
-        return max(1, self.horizon // 4)
+        return self.step or max(1, self.horizon // 4)
 
 
 def zscore(c: Column, day: str = "t") -> Column:
@@ -98,11 +102,16 @@ def rolling_scores(panel: DataFrame, factors: dict[str, int], dates: list[int],
     forests = boosting.fit(packed, cuts, r.boost)
     discard(rows), discard(packed)
     scored = boosting.predict(today.where("inside").select("t", "symbol", "model", "equal", *names), names, forests)
-    z = scored.withColumn("z", zscore(F.col("tree")))
-    mixed = F.when(F.col("z").isNull(), F.col("equal")).otherwise(F.when(F.col("equal").isNull(), F.col("z")).otherwise((1 - r.blend) * F.col("equal") + r.blend * F.col("z")))
+    return finished(today.select("t", "symbol"), scored.withColumnRenamed("tree", "raw"), r.blend, r.smooth)
+
+
+def finished(grid: DataFrame, scored: DataFrame, blend: float, smooth: float) -> DataFrame:
+    """(t, symbol, score, model) of all (t, symbol) in ``grid``: ``raw`` model scores as z-scores, blended with ``equal`` and smoothed; a date without a score breaks the smoothing."""
+    z = scored.withColumn("z", zscore(F.col("raw")))
+    mixed = F.when(F.col("z").isNull(), F.col("equal")).otherwise(F.when(F.col("equal").isNull(), F.col("z")).otherwise((1 - blend) * F.col("equal") + blend * F.col("z")))
     out = staged(z.select("t", "symbol", mixed.alias("score"), F.when(F.col("z").isNotNull(), F.col("model")).alias("model")))
-    grid = today.select("t", "symbol").join(out, ["t", "symbol"], "left")  # a date without a score breaks the smoothing
-    return smoothed(grid.select("t", "symbol", "score"), r.smooth).join(out.select("t", "symbol", "model"), ["t", "symbol"], "left")
+    whole = grid.join(out, ["t", "symbol"], "left").select("t", "symbol", "score")
+    return smoothed(whole, smooth).join(out.select("t", "symbol", "model"), ["t", "symbol"], "left")
 
 
 def picks(scores: DataFrame, n: int) -> DataFrame:
@@ -110,3 +119,44 @@ def picks(scores: DataFrame, n: int) -> DataFrame:
     k = F.row_number().over(Window.partitionBy("t").orderBy(F.desc("score"), "symbol"))
     top = scores.where("score is not null").withColumn("k", k).where(F.col("k") <= n)
     return top.withColumn("weight", 1 / F.count("*").over(Window.partitionBy("t"))).drop("k")
+
+
+def bounded_picks(scores: DataFrame, n: int, bound: float) -> DataFrame:
+    """scores(t, symbol, score, size) -> (t, symbol, weight, feasible, swaps): ``n`` symbols of each date with high scores and a mean size within +-``bound``.
+
+    From the ``n`` best, the holding with the most extreme size gives way to the best-scored symbol that brings the mean nearer to zero until the
+    bound holds; then the swap that gains most score inside the bound is made until no single swap is left.  Where no single swap
+    reaches it any more, ``feasible`` is false.  Symbols without score or size are not picked; ties to the smaller symbol.  A date is one group.
+    """
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["score", "symbol"], ascending=[False, True])
+        x, z = pdf["score"].to_numpy(float), pdf["size"].to_numpy(float)
+        k = min(n, len(x))
+        held, swaps = np.arange(len(x)) < k, 0
+        while abs(z[held].mean()) > bound:
+            now = z[held].mean()
+            drop = np.flatnonzero(held)[np.argmax(np.sign(now) * z[held])]
+            nearer = np.flatnonzero(~held & (np.abs(now + (z - z[drop]) / k) < abs(now) - 1e-12))  # so it ends
+            add = nearer[0] if len(nearer) else None
+            if add is None:  # any pair that helps
+                i, j = np.flatnonzero(held), np.flatnonzero(~held)
+                mean = np.abs(now + (z[j][None, :] - z[i][:, None]) / k)
+                if not mean.size or mean.min() >= abs(now) - 1e-12:
+                    break
+                a, b = np.unravel_index(mean.argmin(), mean.shape)
+                drop, add = i[a], j[b]
+            held[drop], held[add], swaps = False, True, swaps + 1
+        feasible = abs(z[held].mean()) <= bound
+        while feasible:
+            i, j = np.flatnonzero(held), np.flatnonzero(~held)
+            gain = x[j][None, :] - x[i][:, None]
+            mean = z[held].mean() + (z[j][None, :] - z[i][:, None]) / k
+            gain[(np.abs(mean) > bound) | (gain <= 1e-12)] = -np.inf
+            if not gain.size or not np.isfinite(gain.max()):
+                break
+            a, b = np.unravel_index(gain.argmax(), gain.shape)
+            held[i[a]], held[j[b]], swaps = False, True, swaps + 1
+        return pdf.loc[held, ["t", "symbol"]].assign(weight=1 / k, feasible=bool(feasible), swaps=swaps)
+
+    return scores.select("t", "symbol", "score", "size").dropna().groupBy("t").applyInPandas(kernel, "t int, symbol long, weight double, feasible boolean, swaps int")

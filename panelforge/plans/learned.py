@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators import boosting, exposure, ranker
+from panelforge.operators import boosting, exposure, neural, ranker
 from panelforge.plans.evaluation import _PLAN, FACTORS
 from panelforge.sources.panel import dense
 
@@ -51,5 +51,21 @@ def ranked_trees_neutral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ranker.rolling_scores(neutral(p), SIGNS, rebalances(p), ranker.Rolling(lookback=36, horizon=3, refit=12, boost=BOOST, blend=1.0, smooth=0.8)))
 
 
-QUERIES = {"strategy_ranked_trees": ranked_trees, "strategy_ranked_trees_neutral": ranked_trees_neutral}
+def network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hidden layers on the three factors with the clearest realised rank correlation."""
+    p = panel(spark, sf_dir)
+    rolling = ranker.Rolling(lookback=36, horizon=3, refit=12, step=3, blend=0.8, smooth=0.7, least_groups=8)
+    return rounded(neural.rolling_scores(p, SIGNS, rebalances(p), rolling, neural.Network(hidden=(8, 4), steps=30, select=3)))
+
+
+def size_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten symbols by momentum with a mean standardised size within a tenth."""
+    p = panel(spark, sf_dir)
+    z = exposure.standardise(p, {"size": "s_size"}, "size").select("t", "symbol", F.round("mom_5", 9).alias("score"), "size")
+    return ranker.bounded_picks(z, 10, 0.1)
+
+
+QUERIES = {
+    "strategy_ranked_trees": ranked_trees, "strategy_ranked_trees_neutral": ranked_trees_neutral, "strategy_neural": network, "strategy_size_bounded": size_bounded,
+}
 ORACLES: dict[str, str] = {}
