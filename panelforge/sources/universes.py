@@ -19,16 +19,16 @@ FALLBACKS = {
     "000016.SH": ("000300.SH",),
     "000688.SH": ("399006.SZ", "000510.SH", "000300.SH"),
 }
+BROAD = ("000985.SH", "000300.SH", "000001.SH")
+PREFIX = (("688", "star"), ("300", "gem"), ("301", "gem"), ("8", "bse"), ("4", "bse"), ("60", "main"), ("00", "main"), ("BJ8", "bse"), ("BJ4", "bse"), ("BJ9", "bse"), ("BJ", "bse"))
 NAMES = ("all", *INDEX, *BOARDS)
 
 
 def board(code: Column) -> Column:
-    """Board of a code such as SH600000; null stays null."""
-    digits = F.substring(F.regexp_replace(code, "[^0-9]", ""), 1, 6)
-    starts = lambda *p: F.greatest(*(F.startswith(digits, F.lit(x)) for x in p))
-    named = F.when(F.startswith(F.upper(code), F.lit("BJ")), "bse").when(F.startswith(digits, F.lit("688")), "star").when(starts("300", "301"), "gem")
-    named = named.when(starts("8", "4"), "bse").when(starts("60", "00"), "main").otherwise("other")
-    return F.when(code.isNotNull(), named)
+    """Board of a code such as SH600000: the one of the longest prefix that fits; null stays null."""
+    digits, exchange = F.regexp_replace(code, "[^0-9]", ""), F.upper(F.substring(code, 1, 2))
+    fits = F.filter(F.array(*(F.struct(F.length(F.lit(p)).alias("n"), F.lit(p).alias("p"), F.lit(b).alias("board")) for p, b in PREFIX)), lambda r: F.startswith(F.concat(exchange, digits), r["p"]) | F.startswith(digits, r["p"]))
+    return F.when(code.isNotNull(), F.coalesce(F.array_max(fits)["board"], F.lit("other")))
 
 
 def restricted(name: Column) -> Column:
@@ -59,11 +59,14 @@ def members(panel: DataFrame, name: str, constituents: DataFrame | None = None)
 
 
 def benchmark(preferred: str | None, available: Iterable[str]) -> str | None:
-    """The preferred index, else its first fallback with bars; without a preference the broadest one there is."""
-    have = sorted({a for a in available if a})
-    if preferred:
-        return next((b for b in (preferred, *FALLBACKS.get(preferred, ())) if b in have), preferred)
-    return next((b for b in ("000985.SH", "000300.SH", "000001.SH") if b in have), have[0] if have else None)
+    """The first of a preference list that has bars: the preferred index and its fallbacks, or the broad ones and then whatever there is.
+
+    A preferred index without bars and fallbacks stays.
+    """
+    have = {a for a in available if a}
+    wanted = (preferred, *FALLBACKS.get(preferred, ())) if preferred else (*BROAD, *sorted(have))
+    place = {b: k for k, b in reversed(list(enumerate(wanted)))}
+    return min(have & place.keys(), key=place.__getitem__, default=preferred or None)
 
 
 def default_benchmark(name: str) -> str | None:

@@ -140,3 +140,16 @@ def test_store_trim(spark, tmp_path):
     assert sorted((r.factor, r.value) for r in s.read().collect()) == [("a", 1.0), ("c", 7.0)]
     s.trim_from(day(1, 1))
     assert s._all() is None or s._all().count() == 0
+
+
+def test_distance_correlation_is_the_quadratic_form():
+    rng = np.random.default_rng(9)
+    for n in (10, 11, 64, 257):
+        for x, y in ((rng.normal(size=n), rng.normal(size=n)), (rng.integers(0, 3, n).astype(float), rng.integers(0, 4, n) * 1e3 + 1e6), (np.arange(n) - n / 2, (np.arange(n) - n / 2) ** 2)):
+            a, b = (np.abs(v[:, None] - v[None, :]) for v in (x, y))
+            a, b = (m - m.mean(0) - m.mean(1)[:, None] + m.mean() for m in (a, b))
+            want = np.sqrt((a * b).mean() / np.sqrt((a * a).mean() * (b * b).mean()))
+            assert abs(regression.distance_correlation(x, y) - want) < 1e-7
+    assert np.isnan(regression.distance_correlation(np.ones(20), np.arange(20.0))) and np.isnan(regression.distance_correlation(np.arange(9.0), np.arange(9.0)))
+    x = rng.normal(size=50_000)  # all pairs would be 20 GB
+    assert regression.distance_correlation(x, x * x) > 0.3
