@@ -93,7 +93,13 @@ def stream_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "d", "n", clean(F.col("total"), 4).alias("total"), clean(F.col("top"), 4).alias("top"))
 
 
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = incremental.run_sessions(spark, sf_dir)
+    return out.select("user_id", "start", "n", clean(F.col("total"), 4).alias("total"), clean(F.col("top"), 4).alias("top"))
+
+
 QUERIES = {
+    "stream_sessions": stream_sessions, "stream_deduplicated": incremental.run_deduplicated,
     "kernel_ols_residual": ols_residual, "kernel_style_returns": style_returns, "kernel_exposures": exposures, "kernel_pure_ic": pure_ic,
     "kernel_nonlinear_ic": nonlinear_ic, "kernel_ew_beta": ew_beta, "kernel_alarms": alarm_states,
     "kernel_backtest": simulation, "kernel_backtest_summary": simulation_summary, "kernel_allocators": allocation, "stream_event_bars": stream_bars,
@@ -143,5 +149,11 @@ ORACLES = {
     "kernel_alarms": f"WITH RECURSIVE {PANEL_SQL.strip()}, {_ALARM} SELECT CAST(l1 AS VARCHAR) AS series, t, active FROM walk",
     "kernel_ols_residual": f"WITH {frame_sql()}, {_V}, {_M} SELECT trade_date, factor, symbol, {R('f - my - (x - mx) * (xy * zz - zy * xz) / (xx * zz - xz * xz) - (z - mz) * (zy * xx - xy * xz) / (xx * zz - xz * xz)')} AS resid FROM v JOIN m USING (trade_date, factor) WHERE n >= 8",
     "kernel_nonlinear_ic": f"WITH {frame_sql()}, {_P}, {_D}, {_C} SELECT trade_date, factor, {R('sqrt(greatest(avg(a * b), 0) / sqrt(avg(a * a) * avg(b * b)))')} AS dcor FROM c GROUP BY trade_date, factor HAVING count(DISTINCT i) >= 10 AND sqrt(avg(a * a) * avg(b * b)) > 1e-15",
+    "stream_sessions": f"""WITH e AS (SELECT user_id, CAST(ts AS TIMESTAMP) AS ts, value FROM events),
+      m AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+      s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM m)
+      SELECT user_id, min(ts) AS start, count(*) AS n, {R('sum(value)', 4)} AS total, {R('max(value)', 4)} AS top FROM s GROUP BY user_id, k
+      HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) - INTERVAL 2 DAY FROM e)""",
+    "stream_deduplicated": "SELECT CAST(ts AS DATE) AS d, count(*) AS n, count(DISTINCT user_id) AS users FROM (SELECT DISTINCT user_id, ts FROM events) GROUP BY 1",
     "stream_event_bars": f"SELECT user_id, CAST(ts AS DATE) AS d, count(*) AS n, {R('sum(value)', 4)} AS total, {R('max(value)', 4)} AS top FROM events GROUP BY 1, 2",
 }
