@@ -170,3 +170,26 @@ def rolling_scores(panel: DataFrame, factors: dict[str, int], dates: list[int],
     weights = train(packed, chosen, net)
     discard(packed)
     return finished(today.select("t", "symbol"), predict(rows, names, chosen, weights, net), r.blend, r.smooth)
+
+
+def icir_scores(panel: DataFrame, factors: dict[str, int], dates: list[int], lookback: int = 252, horizon: int = 20, least: int = 30, least_days: int = 10, mask: str = "in_universe") -> tuple[DataFrame, DataFrame]:
+    """((t, symbol, score), (t, factor, weight)) on the rebalance ``dates`` of a dense panel: factors weighted by the ratio of mean and deviation of their realised rank correlations.
+
+    ``factors``: name -> sign.  Negative ratios weigh nothing, a constant positive correlation weighs 1e6; where no weight is positive, or
+    the history is shorter than lookback + horizon, weights are equal.  A symbol's score is the weighted mean over the factors it has.
+    """
+    spark, names = panel.sparkSession, list(factors)
+    base = staged(prepared(panel, factors, horizon, mask))
+    ics = rank_correlations(base.where("inside"), names, least)
+    calendar = base.select("t").distinct().select("t", F.explode(F.array(*map(F.lit, names))).alias("factor"))
+    back = Window.partitionBy("factor").orderBy("t").rangeBetween(1 - horizon - lookback, -horizon)
+    w = calendar.join(ics, ["t", "factor"], "left").select("t", "factor", F.count("ic").over(back).alias("n"), F.avg("ic").over(back).alias("mu"), F.stddev_samp("ic").over(back).alias("sd"))
+    ratio = F.when(F.col("sd") < 1e-12, F.when(F.col("mu") > 1e-12, 1e6).otherwise(0.0)).otherwise(F.greatest(F.col("mu") / F.nullif(F.col("sd"), F.lit(0.0)), F.lit(0.0)))
+    w = w.withColumn("raw", F.when((F.col("n") >= max(2, least_days)) & (F.col("t") >= lookback + horizon - 1), ratio).otherwise(0.0))
+    total = F.sum("raw").over(Window.partitionBy("t"))
+    w = w.select("t", "factor", F.when(total > 0, F.col("raw") / total).otherwise(1 / len(names)).alias("weight"))
+    w = w.join(F.broadcast(spark.createDataFrame([(t,) for t in dates], "t int")), "t")  # one row a rebalance date
+    z = F.explode(F.array(*(F.struct(F.lit(f).alias("factor"), F.col(f).alias("z")) for f in names))).alias("p")
+    rows = base.where("inside").select("t", "symbol", z).select("t", "symbol", "p.factor", "p.z").where("z is not null").join(w, ["t", "factor"])
+    score = F.try_divide(F.sum(F.col("weight") * F.col("z")), F.sum("weight"))
+    return rows.groupBy("t", "symbol").agg(score.alias("score")), w

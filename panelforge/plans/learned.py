@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import boosting, exposure, neural, ranker
-from panelforge.plans.evaluation import _PLAN, FACTORS
+from panelforge.plans.evaluation import _PLAN, FACTORS, R, frame_sql
 from panelforge.sources.panel import dense
 
 SIGNS = {"mom_5": 1, "reversal_1": 1, "volume_6": -1, "price_pos": 1}
@@ -65,7 +65,38 @@ def size_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranker.bounded_picks(z, 10, 0.1)
 
 
+LOOKBACK, HORIZON, LEAST, DAYS = 36, 3, 10, 8
+
+
+def _icir(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = panel(spark, sf_dir)
+    return neural.icir_scores(p, SIGNS, rebalances(p), LOOKBACK, HORIZON, LEAST, DAYS)
+
+
+def icir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _icir(spark, sf_dir)[0].where("score is not null").select("t", "symbol", F.expr(R("score")).alias("score"))
+
+
+def icir_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _icir(spark, sf_dir)[1].select("t", "factor", F.expr(R("weight")).alias("weight"))
+
+
+_NAMES = ", ".join(f"('{f}', {sign})" for f, sign in SIGNS.items())
+_ICIR = f"""WITH {frame_sql()}, fs AS (SELECT * FROM (VALUES {_NAMES}) v(factor, sign)),
+  b AS (SELECT t, symbol, factor, sign * f AS f FROM ev JOIN fs USING (factor) WHERE mv IS NOT NULL),
+  m AS (SELECT t, factor, avg(f) AS a, stddev_pop(f) AS d, count(f) AS n FROM b GROUP BY t, factor),
+  z AS (SELECT t, symbol, factor, CASE WHEN n < 2 OR d < 1e-12 THEN 0 ELSE (f - a) / d END AS z FROM b JOIN m USING (t, factor) WHERE f IS NOT NULL),
+  j AS (SELECT z.*, q.close / p.close - 1 AS y FROM z JOIN panel p ON p.symbol = z.symbol AND p.t = z.t JOIN panel q ON q.symbol = z.symbol AND q.t = z.t + {HORIZON} WHERE p.close > 0 AND q.close > 0),
+  k AS (SELECT t, factor, (rank() OVER (PARTITION BY t, factor ORDER BY z) + count(*) OVER (PARTITION BY t, factor ORDER BY z RANGE UNBOUNDED PRECEDING)) / 2 AS x, (rank() OVER (PARTITION BY t, factor ORDER BY y) + count(*) OVER (PARTITION BY t, factor ORDER BY y RANGE UNBOUNDED PRECEDING)) / 2 AS v FROM j),
+  i AS (SELECT t, factor, covar_pop(x, v) / nullif(stddev_pop(x) * stddev_pop(v), 0) AS ic FROM k GROUP BY t, factor HAVING count(*) >= {LEAST}),
+  g AS (SELECT c.t, fs.factor, count(ic) AS n, avg(ic) AS mu, stddev_samp(ic) AS sd FROM cal c JOIN fs ON c.t % {EVERY} = 0 LEFT JOIN i ON i.factor = fs.factor AND i.t BETWEEN c.t - {HORIZON + LOOKBACK - 1} AND c.t - {HORIZON} GROUP BY c.t, fs.factor),
+  r AS (SELECT t, factor, CASE WHEN n < {DAYS} OR t < {LOOKBACK + HORIZON - 1} THEN 0 WHEN sd < 1e-12 THEN CASE WHEN mu > 1e-12 THEN 1e6 ELSE 0 END ELSE greatest(mu / sd, 0) END AS raw FROM g),
+  w AS (SELECT t, factor, CASE WHEN sum(raw) OVER (PARTITION BY t) > 0 THEN raw / sum(raw) OVER (PARTITION BY t) ELSE 1e0 / {len(SIGNS)} END AS weight FROM r)"""
 QUERIES = {
     "strategy_ranked_trees": ranked_trees, "strategy_ranked_trees_neutral": ranked_trees_neutral, "strategy_neural": network, "strategy_size_bounded": size_bounded,
 }
-ORACLES: dict[str, str] = {}
+QUERIES |= {"strategy_icir": icir, "strategy_icir_weights": icir_weights}
+ORACLES = {
+    "strategy_icir": f"{_ICIR} SELECT t, symbol, {R('sum(weight * z) / nullif(sum(weight), 0)')} AS score FROM z JOIN w USING (t, factor) GROUP BY t, symbol HAVING sum(weight) > 0",
+    "strategy_icir_weights": f"{_ICIR} SELECT t, factor, {R('weight')} AS weight FROM w",
+}

@@ -71,14 +71,11 @@ PANEL: dict[str, str] = {
 DIRECTION = "(SELECT factor, avg(rank_ic) AS d FROM ics GROUP BY factor)"
 LONG, SHORT = f"(d >= 0 AND q = {Q}) OR (d < 0 AND q = 1)", f"(d >= 0 AND q = 1) OR (d < 0 AND q = {Q})"
 FAMILY = "substring(a.factor, 1, position('_' IN a.factor) - 1)"
-IR = f"CASE WHEN count(rank_ic) {W(25, 2)} >= 8 THEN greatest(avg(rank_ic) {W(25, 2)} / nullif(stddev_samp(rank_ic) {W(25, 2)}, 0e0), 0e0) END"
 
 EVAL: dict[str, str] = {
     "metric_icir_hold": f"SELECT trade_date, factor, {R(expanding('ic'))} AS ic_ir FROM (SELECT trade_date, t, factor, {pearson('f', 'r3')} AS ic FROM rk GROUP BY trade_date, t, factor) x",
     "metric_long_short_barra_corr": f"SELECT x.trade_date, x.factor, {R(f'max(CASE WHEN {LONG} THEN c END)')} AS long_corr, {R(f'max(CASE WHEN {SHORT} THEN c END)')} AS short_corr FROM (SELECT trade_date, factor, q, {pearson('x_', 'y_', 5)} AS c FROM {spearman('f', 's_size', 'qt', 'trade_date, factor, q')} y WHERE q IN (1, {Q}) GROUP BY trade_date, factor, q) x JOIN {DIRECTION} g ON g.factor = x.factor GROUP BY x.trade_date, x.factor",
     "sink_metric_summary": f"SELECT factor, metric, {R('avg(v)')} AS mean, {R('stddev_samp(v)')} AS std, {R('avg(v) / nullif(stddev_samp(v), 0e0)')} AS ir, {R('avg(CASE WHEN v > 0 THEN 1e0 ELSE 0e0 END)')} AS positive, count(*) AS n FROM (SELECT factor, 'ic' AS metric, ic AS v FROM ics UNION ALL SELECT factor, 'rank_ic', rank_ic FROM ics) x WHERE v IS NOT NULL GROUP BY factor, metric",
-    # weights: positive ratio of mean and deviation of the correlations realised by then
-    "strategy_icir": f"SELECT z.trade_date, z.symbol, {R('sum(w * z) / nullif(sum(w), 0e0)')} AS score FROM (SELECT t, factor, {IR} AS w FROM ics) w JOIN (SELECT trade_date, t, factor, symbol, {zscore('f')} AS z FROM ev WHERE f IS NOT NULL WINDOW d AS (PARTITION BY trade_date, factor)) z ON z.t = w.t AND z.factor = w.factor WHERE w.w > 0 AND z.z IS NOT NULL GROUP BY z.trade_date, z.symbol",
     "strategy_ic_scale": f"SELECT a.factor, {R('m')} AS ic, {R('s')} AS scale FROM (SELECT factor, median(rank_ic) AS m FROM ics WHERE rank_ic IS NOT NULL GROUP BY factor) a JOIN (SELECT factor, median(s) AS s FROM (SELECT trade_date, factor, stddev_samp(r) AS s FROM ev GROUP BY trade_date, factor) x WHERE s IS NOT NULL GROUP BY factor) b ON b.factor = a.factor",
     "query_family_evaluation": f"SELECT {FAMILY} AS family, {R('avg(a.m)')} AS mean_ic, {R('avg(b.leg)')} AS leg FROM (SELECT x.factor, avg(x.rank_ic) AS m FROM ics x JOIN (SELECT max(t) AS last_t FROM ics WHERE rank_ic IS NOT NULL) z ON x.t > z.last_t - 24 GROUP BY x.factor) a JOIN (SELECT factor, q, avg(m) AS leg FROM qr GROUP BY factor, q) b ON b.factor = a.factor AND b.q = CASE WHEN a.m >= 0 THEN {Q} ELSE 1 END GROUP BY {FAMILY}",
 }

@@ -88,3 +88,19 @@ def test_bounded_picks(spark, bound):
             best = max((sum(pool[s][0] for s in h) for h in combinations(pool, 4) if mean(h) <= bound))
             assert bound < 5 or abs(total - best) < 1e-12
     assert bound == 0 or out.feasible.mean() > 0.6
+
+
+def test_icir_weights(spark):
+    """Constant positive correlation, no positive one, and too little history."""
+    rows = []
+    for t in range(40):
+        for s in range(20):
+            rows.append((t, s, 100.0 * 1.01 ** (t * (s + 1)), True, float(s), -float(s)))
+    df = spark.createDataFrame(rows, COLS)
+    weights = lambda signs: {(r.t, r.factor): r.weight for r in neural.icir_scores(df, signs, [5, 30], 20, 2, 10, 8)[1].collect()}
+    assert weights({"a": 1, "b": 1}) == {(5, "a"): 0.5, (5, "b"): 0.5, (30, "a"): 1.0, (30, "b"): 0.0}
+    assert weights({"a": -1, "b": 1}) == {(t, f): 0.5 for t in (5, 30) for f in "ab"}
+    assert weights({"a": 1, "b": -1})[30, "b"] == 0.5
+    scores = {(r.t, r.symbol): r.score for r in neural.icir_scores(df, {"a": 1, "b": 1}, [30], 20, 2, 10, 8)[0].collect()}
+    z = (np.arange(20) - 9.5) / np.arange(20).std()
+    assert np.allclose([scores[30, s] for s in range(20)], z)
