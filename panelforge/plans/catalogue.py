@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import dimensions, evaluation, exposure, factor_queries, holding, kernels, learned, market, panel_queries, rotation
+from . import attribution, dimensions, evaluation, exposure, factor_queries, holding, kernels, learned, market, panel_queries, rotation
 
-MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation, exposure, learned, holding, dimensions)
+MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation, exposure, learned, holding, dimensions, attribution)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
