@@ -13,7 +13,7 @@ small, else joined in salted blocks.
 Text: scripts, styles, comments of the markup, menus, headers and footers of the page, sidebars, notices, adverts, forms and reader
 comments go (by tag, role, or a word of class or id; a list of links only is a menu); character references are decoded; a block is what
 stands between starts and ends of block tags, its white space (``br`` and cell borders too) becomes one space; blocks without text go.
-A surrounding that holds an article or main tag is none.  A header inside a container is part of the article.
+A surrounding that holds an article or main tag is none.  A header inside an article, or whose parent holds paragraphs itself, is part of the text.
 
 Defined results: null html, or none with text, gives an empty text; broken markup is read as far as it goes (open tags
 end where their parent does, an open comment or script reaches to the end of the page); repeated pages are rows of their own;
@@ -49,10 +49,11 @@ APART = frozenset("aside button dialog footer form head menu nav noscript object
 RAW = frozenset("script style title textarea xmp noframes".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 WORDS = frozenset(
-    "ad ads advert adverts advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
-    "login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paging popup promo promoted promotion related respond replies search "
-    "share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toolbar widget widgets".split()
+    "ad ads advert adverts alert advertisement advertisements advertising adsense banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer gdpr "
+    "login masthead menu modal nav navbar navigation newsletter notice notices pager pagination paging popup promo promoted promotion recommended related respond replies search "
+    "share sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription toast toolbar topbar trending widget widgets".split()
 )
+HEADERS = frozenset("header siteheader globalheader mainheader topheader".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select", "datalist"}}
 
@@ -68,16 +69,17 @@ _DIGITS = re.compile(r"\d+")
 class Node:
     """An element that bounds blocks; ``path`` is bounded, however deep the page."""
 
-    __slots__ = ("tag", "up", "path", "apart", "proper", "plain", "linked", "links", "parts", "depth")
+    __slots__ = ("tag", "up", "path", "apart", "head", "proper", "plain", "linked", "links", "parts", "depth", "texts")
 
-    def __init__(self, tag: str, up: Node | None, step: str, apart: bool):
-        self.tag, self.up, self.apart = tag, up, apart
+    def __init__(self, tag: str, up: Node | None, step: str, apart: bool, head: bool = False):
+        self.tag, self.up, self.apart, self.head = tag, up, apart, head
         path = f"{up.path}/{step}" if up else step
         self.path = path if len(path) <= 400 else "#" + hashlib.blake2b(path.encode(), digest_size=16).hexdigest()
         self.proper = tag in PROPER
         self.parts: list = []  # text pieces (None: a break) and elements in order
         self.plain = self.linked = self.links = 0  # characters outside and inside links (later: or apart), number of links
         self.depth = up.depth + 1 if up else 0
+        self.texts = False  # has paragraphs as children
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
@@ -102,6 +104,13 @@ def _apart(tag: str, attrs: dict[str, str]) -> bool:
     return False
 
 
+def _head(tag: str, attrs: dict[str, str]) -> bool:
+    """Is an element a header, of the page or of an article?"""
+    if tag == "header" or not attrs:
+        return tag == "header"
+    return tag in ("div", "section") and any("".join(_WORD.findall(n)).lower() in HEADERS for n in (attrs.get("class", "") + " " + attrs.get("id", "")).split())
+
+
 def parse(page: str) -> list[Node]:
     """The block elements of a page in page order, with their text; the first one is the page itself."""
     root = here = Node("", None, "", False)
@@ -151,8 +160,9 @@ def parse(page: str) -> list[Node]:
                 here = leave(_ended(here, ONLY_P, NOT_P))
             if tag in CLOSES:
                 here = leave(_ended(here, CLOSES[tag], FENCE[tag]))
-            node = Node(tag, here, _step(tag, attrs), _apart(tag, attrs))
+            node = Node(tag, here, _step(tag, attrs), _apart(tag, attrs), _head(tag, attrs))
             here.parts.append(node)
+            here.texts |= tag == "p"
             nodes.append(node)
             if not (m[3].endswith("/") and tag not in BLOCK):
                 opened[tag] += 1
@@ -183,6 +193,11 @@ def _ended(here: Node, tags, fence) -> Node:
     return at.up or here
 
 
+def _beside_text(n: Node) -> bool:
+    """Does the parent hold paragraphs itself, so that the header is that of a text?"""
+    return n.up.texts and n.up.tag not in ("", "html", "body")
+
+
 def measure(nodes: list[Node]) -> None:
     """Settles what is apart, then sums ``plain`` and ``linked`` (in links or apart) over every element."""
     words = [(n.plain, n.linked) for n in nodes]
@@ -199,7 +214,7 @@ def measure(nodes: list[Node]) -> None:
     inside = {}
     for n in nodes:
         inside[id(n)] = n.tag in PROPER or (n.up is not None and inside[id(n.up)])
-        n.apart = n.apart or (n.up is not None and n.up.apart) or (n.tag == "header" and not n.proper and not inside[id(n)])
+        n.apart = n.apart or (n.up is not None and n.up.apart) or (n.head and not n.proper and not inside[id(n)] and not _beside_text(n))
     for n, (plain, linked) in zip(nodes, words, strict=True):
         n.proper = inside[id(n)]
         n.plain, n.linked = (0, plain + linked) if n.apart else (plain, linked)

@@ -153,6 +153,15 @@ def test_html_text(spark):
     assert one[43] == "L" + "\nword word" * 20_000
 
 
+def test_headers_and_notices():
+    cut = lambda body: html_extract.extract(f"<html><body>{body}</body></html>", [])[0]
+    text = "<p>A text of some length.</p>"
+    assert cut(f"<div id='page'><div id='header'><h1>Site</h1></div><div id='content'><h2>T</h2>{text}</div><div class='alert'>Mind the gap</div></div>") == "T\nA text of some length."
+    assert cut(f"<div class='siteHeader'>Site</div><div class='post'><header><h1>T</h1></header>{text}<div class='copyright'>c</div></div>") == "T\nA text of some length."
+    assert cut(f"<header><p>Site</p></header><main><header><h1>T</h1></header>{text}</main>") == "T\nA text of some length."
+    assert cut(f"<div class='content'><h1>T</h1>{text}<ul><li><a href=1>x</a><li><a href=2>y</a><li><a href=3>z</a></ul><p>See <a href=4>this</a>, too.</p></div>") == "T\nA text of some length.\nSee this, too."
+
+
 def test_html_salted_join_and_empty(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"https://h{i % 3}.org/", page(f"T{i}"), "", 1) for i in range(30)], PAGES)
     near = sorted(map(tuple, html_extract.main_text(df).collect()))
