@@ -18,9 +18,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.select(*(F.when(F.abs(c) < float("inf"), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sparse bars: one row a symbol and month with trades."""
-    li = read(spark, sf_dir, "lineitem").select(
+def bars(spark: SparkSession, sf_dir: str, lines: str = "true") -> DataFrame:
+    """Sparse bars: one row a symbol and month with trades; of the ``lines`` that meet a condition."""
+    li = read(spark, sf_dir, "lineitem").where(lines).select(
         F.col("l_suppkey").alias("symbol"), F.trunc("l_shipdate", "month").alias("trade_date"), F.try_divide("l_extendedprice", "l_quantity").alias("px"),
         F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("a"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("k"),
@@ -43,11 +43,11 @@ def densify(df: DataFrame, symbol: str = "symbol", date: str = "trade_date") ->
     return grid.join(df, [symbol, date], "left")
 
 
-def dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense panel: symbol, trade_date, t, open, high, low, close, vol, amount, vwap, ret, mv, l1, l2, l3."""
+def dense(spark: SparkSession, sf_dir: str, lines: str = "true") -> DataFrame:
+    """The dense panel (of some ``lines``): symbol, trade_date, t, open, high, low, close, vol, amount, vwap, ret, mv, l1, l2, l3."""
     sup = read(spark, sf_dir, "supplier").join(F.broadcast(read(spark, sf_dir, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
     sup = sup.select(F.col("s_suppkey").alias("symbol"), F.col("n_regionkey").alias("l1"), F.col("s_nationkey").alias("l2"), (F.col("s_nationkey") % 3).alias("l3"), (F.abs("s_acctbal") + 1).alias("shares"))
-    p = densify(bars(spark, sf_dir)).join(sup, "symbol", "left")
+    p = densify(bars(spark, sf_dir, lines)).join(sup, "symbol", "left")
     w = Window.partitionBy("symbol").orderBy("t")
     p = p.withColumn("ret", F.try_divide("close", F.lag("close").over(w)) - 1)
     return p.select("symbol", "trade_date", "t", "open", "high", "low", "close", "vol", "amount", F.try_divide("amount", "vol").alias("vwap"), "ret", (F.col("close") * F.col("shares")).alias("mv"), "l1", "l2", "l3")
