@@ -71,3 +71,47 @@ def benchmark(preferred: str | None, available: Iterable[str]) -> str | None:
 
 def default_benchmark(name: str) -> str | None:
     return INDEX.get(name) or BOARD_BENCHMARK.get(name)
+
+
+def labelled(panel: DataFrame, constituents: DataFrame) -> DataFrame:
+    """``panel`` (code, trade_date, …) with ``universes``, the names of all universes a row is in: one pass over the panel for the thirteen.
+
+    Index members are those of the index's latest snapshot not after the day; an index without snapshots has no members here.
+    """
+    named = F.element_at(F.create_map(*(F.lit(v) for name, code in INDEX.items() for v in (code, name))), F.col("index_code"))
+    held = constituents.select(named.alias("universe"), "code", F.col("trade_date").alias("snap")).where("universe IS NOT NULL").distinct()
+    # sessions x indices, as few as the calendar
+    days = panel.select("trade_date").distinct().select(F.explode(F.array(*map(F.lit, INDEX))).alias("universe"), "trade_date", F.lit(None).cast(held.schema["snap"].dataType).alias("snap"))
+    days = days.unionByName(held.select("universe", F.col("snap").alias("trade_date"), "snap").distinct())
+    w = Window.partitionBy("universe").orderBy("trade_date").rangeBetween(Window.unboundedPreceding, 0)
+    snaps = days.withColumn("snap", F.max("snap").over(w)).where("snap IS NOT NULL").distinct()
+    indices = snaps.join(held, ["universe", "snap"]).groupBy("code", "trade_date").agg(F.collect_set("universe").alias("_in"))
+    own = board(F.col("code"))
+    always = F.when(own.isin(*BOARDS), F.array(F.lit("all"), own)).otherwise(F.array(F.lit("all")))
+    rows = panel.join(indices, ["code", "trade_date"], "left")
+    return rows.withColumn("universes", F.sort_array(F.concat(always, F.coalesce("_in", F.array().cast("array<string>"))))).drop("_in")
+
+
+def investable(panel: DataFrame, names: DataFrame, basics: DataFrame, min_sessions: int = 60, next_open: bool = False) -> DataFrame:
+    """Rows of the dense ``panel`` (code, trade_date, t, open) that may be bought.
+
+    Out go: days on which a span of ``names``(code, name, start, end; end inclusive, null bounds are open) restricts the share; the first ``min_sessions`` from the listing date of ``basics``(code,
+    list_date, delist_date), all before it, and shares listed after the last session; days on or before whose next session the share is delisted, so for such a share also the last session; days
+    without an open, or without the next one.  Shares without names or dates are not judged by them.
+    """
+    sessions = panel.select("trade_date", "t").distinct()
+    listed = basics.select("code", F.col("list_date").alias("trade_date")).where("trade_date IS NOT NULL").groupBy("code").agg(F.min("trade_date").alias("trade_date"))
+    # first session not before the listing: dates of both kinds in order, as of the next session; one row a share and session
+    order = Window.orderBy(F.desc("trade_date"), F.col("code").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    dates = listed.select("trade_date").distinct().select(F.lit("x").alias("code"), "trade_date", F.lit(None).cast("int").alias("t")).unionByName(sessions.select(F.lit(None).cast("string").alias("code"), "trade_date", F.col("t").cast("int").alias("t")))
+    first = dates.withColumn("_ipo", F.min("t").over(order)).where("code IS NOT NULL").select("trade_date", "_ipo")
+    ages = listed.join(first, "trade_date").select("code", F.coalesce("_ipo", F.lit(2**31 - 1)).cast("long").alias("_ipo"))
+    gone = basics.where("delist_date IS NOT NULL").groupBy("code").agg(F.min("delist_date").alias("_delist"))
+    by = Window.partitionBy("code").orderBy("t")
+    entry = F.lead("open").over(by) if next_open else F.col("open")
+    following = F.coalesce(F.lead("trade_date").over(by), F.lit("9999-12-31").cast("date"))
+    rows = panel.withColumns({"_entry": entry, "_next": following}).join(ages, "code", "left").join(gone, "code", "left")
+    ok = F.col("_entry").isNotNull() & (F.col("_entry") != 0) & (F.col("_ipo").isNull() | (F.col("t") >= F.col("_ipo") + min_sessions)) & (F.col("_delist").isNull() | (F.col("_next") < F.col("_delist")))
+    spans = names.where(restricted(F.col("name"))).select(F.col("code").alias("_code"), F.col("start").alias("_from"), F.col("end").alias("_to"))
+    held = (F.col("code") == F.col("_code")) & (F.col("_from").isNull() | (F.col("_from") <= F.col("trade_date"))) & (F.col("_to").isNull() | (F.col("trade_date") <= F.col("_to")))
+    return rows.where(ok).join(spans, held, "left_anti").select(*panel.columns)
