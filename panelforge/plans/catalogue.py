@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import attribution, dimensions, evaluation, exposure, factor_queries, holding, incremental, kernels, learned, market, panel_queries, rotation, universe
+from . import attribution, dimensions, evaluation, exposure, factor_queries, holding, incremental, kernels, learned, market, panel_queries, ratios, rotation, universe
 
-MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation, exposure, learned, holding, dimensions, attribution, incremental, universe)
+MODULES = (factor_queries, evaluation, market, panel_queries, kernels, rotation, exposure, learned, holding, dimensions, attribution, incremental, universe, ratios)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 
