@@ -19,6 +19,18 @@ def fee(notional: float, sell: bool, commission: float = COMMISSION, stamp: floa
     return max(notional * (commission + stamp * sell), least) if notional > 0 else 0.0
 
 
+def affordable(n: float, price: float, cash: float, lot: int = LOT) -> float:
+    """The most shares in whole lots, ``n`` at most, that ``cash`` pays with the fee; halving, as a step of one lot is lost in the digits of very large orders."""
+    fits = lambda k: k * lot * price + fee(k * lot * price, False) <= cash
+    low, high = 0, max(int(n // lot), 0)
+    if fits(high):
+        return float(high * lot)
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if fits(mid) else (low, mid)
+    return float(low * lot)
+
+
 def fill(shares: np.ndarray, cash: float, target: np.ndarray, opens: np.ndarray, up: np.ndarray, down: np.ndarray, lot: int = LOT):
     """(shares, cash, trades) after trading from ``shares`` to the target weights at the opens; trades: (asset, signed shares, price, fee)."""
     price = np.nan_to_num(opens)
@@ -36,11 +48,8 @@ def fill(shares: np.ndarray, cash: float, target: np.ndarray, opens: np.ndarray,
     need = sum((want[i] - shares[i]) * price[i] + fee((want[i] - shares[i]) * price[i], False) for i in buys)
     scale = min(1.0, cash / need) if need > 0 else 0.0
     for i in buys:
-        n = np.floor((want[i] - shares[i]) * scale / lot) * lot
+        n = affordable(float(np.floor((want[i] - shares[i]) * scale / lot) * lot), float(price[i]), float(cash), lot)
         c = fee(n * price[i], False)
-        while n > 0 and n * price[i] + c > cash:
-            n -= lot
-            c = fee(n * price[i], False)
         if n > 0:
             cash -= n * price[i] + c
             shares[i] += n

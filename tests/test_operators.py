@@ -108,6 +108,18 @@ def test_fill_rules():
     assert shares[0] == 0  # at the upper limit nothing is bought
 
 
+def test_fill_of_very_large_orders_ends():
+    none = np.array([np.nan] * 3)
+    for cash in (1e6, 1e12, 3.7e19, 1e26):  # one lot less changes nothing in the digits of the larger ones
+        shares, left, trades = backtest.fill(np.zeros(3), cash, np.full(3, 1 / 3), np.array([7.3, 11.1, 1234.5]), none, none, 1)
+        assert len(trades) == 3 and left >= 0 and left < cash * 1e-2
+    for n, price, cash in ((500.0, 7.3, 2000.0), (400.0, 10.0, 3.0), (1000.0, 2.5, 2400.0)):
+        step = n
+        while step > 0 and step * price + backtest.fee(step * price, False) > cash:
+            step -= 100
+        assert backtest.affordable(n, price, cash, 100) == step
+
+
 def test_store_round_trip(spark, tmp_path):
     s = FactorStore(spark, f"file://{tmp_path}/store")
     cols = "trade_date date, symbol long, value double, factor string"
