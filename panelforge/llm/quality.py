@@ -6,8 +6,9 @@ likelihood, i.e. the logistic loss on the pair's feature difference.  A document
 dot product; the score is the logistic of strength minus the threshold, a quantile of the training
 strengths (the share of bad rows).
 
-Fitted on at most ``SAMPLE`` labelled rows of each label, whole texts, smallest hash of doc_id
-first; that is the only bound.  Labels, language, source and id are never features.
+Fitted on every labelled row that may be learned from, whole texts: rows are dealt into buckets by hash, each row meets
+``PAIRS`` opponents of its bucket, and every Newton step adds the buckets' sums over a tree, so no task or driver
+holds all rows.  The threshold is an exact order statistic.  Labels, language, source and id are never features.
 
 Defined results: null text is empty and scored as such; rows with null label are not learned from;
 with no row of one of the labels every score is 0.5; repeated rows of documents are scored alike, of
@@ -17,15 +18,20 @@ labels count once (largest quality); no documents give no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._stage import table
+from ._stage import discard, staged, table
 from ._text import LOWER, SPACE, pieces, prefix_hash, span_hash, word_spans
 
-SAMPLE = 4000
-PAIRS = 8  # opponents drawn for each row of the sample
+BUCKET = 4000  # rows among which pairs are formed; more, where fewer than RARE of a label would be among them
+RARE = 64
+BROADCAST = 1_000_000  # labels up to so many are sent to the texts, more are joined by shuffle
+CHUNK = 16_384  # pairs worked on at once
+NEAR = 50_000  # strengths around the quantile that are looked at one by one
+PAIRS = 8  # opponents drawn for each labelled row
 STEPS = 60
 RIDGE = 1e-3
 MARKS = [33, 34, 35, 36, 37, 38, 39, 40, 41, 42, 44, 45, 46, 47, 58, 59, 60, 61, 62, 63, 64, 91, 93, 95, 123, 124, 125]
@@ -76,72 +82,124 @@ def features(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Ranker:
     """Bradley-Terry weights, centring, and the strength at which the score is one half."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, seed: int = 7):
-        self.mean, self.std = x.mean(0), x.std(0) + 1e-9
-        z = self.expand(x)
-        self.w = np.zeros(z.shape[1])
-        good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-        self.cut, self.scale = 0.0, 0.0
-        if not len(good) or not len(bad):
-            return
-        rng = np.random.default_rng(seed)
-        a = np.concatenate((np.repeat(good, PAIRS), rng.choice(good, PAIRS * len(bad))))
-        b = np.concatenate((rng.choice(bad, PAIRS * len(good)), np.repeat(bad, PAIRS)))
-        d = z[a] - z[b]
-        for _ in range(STEPS):  # Newton steps on the mean logistic loss
-            p = 1 / (1 + np.exp(np.clip(d @ self.w, -40, 40)))
-            g = d.T @ p / len(d) - RIDGE * self.w
-            q = (p * (1 - p))[:, None]
-            step = np.linalg.solve((d * q).T @ d / len(d) + RIDGE * np.eye(len(g)), g)
-            self.w += step
-            if np.abs(step).max() < 1e-6:
-                break
-        s = z @ self.w
-        # every label weighs as in the labelled population, of which the bad share is the quantile
-        self.strength = np.sort(s)
-        self.scale = 1.0
-
-    def threshold(self, x: np.ndarray, y: np.ndarray, bad: float) -> None:
-        """Cut at the quantile of the strengths that leaves the share ``bad`` of the population below."""
-        if not self.scale:
-            return
-        s = self.expand(x) @ self.w
-        share = np.where(y == 0, bad / max((y == 0).sum(), 1), (1 - bad) / max((y == 1).sum(), 1))
-        o = np.argsort(s, kind="stable")
-        run = np.cumsum(share[o])
-        i = min(int(np.searchsorted(run, bad)), len(o) - 2)
-        self.cut = float((s[o[i]] + s[o[i + 1]]) / 2)
+    def __init__(self, mean: np.ndarray, std: np.ndarray):
+        self.mean, self.std, self.cut = mean, std, 0.0
+        self.w = np.zeros(2 * len(mean))
 
     def expand(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((x - self.mean) / self.std, -6, 6)
         return np.concatenate((z, np.abs(z)), 1)
 
+    def strength(self, x: np.ndarray) -> np.ndarray:
+        return self.expand(x) @ self.w
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * (self.expand(x) @ self.w - self.cut), -40, 40)))
+        return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.cut, -40, 40)))
+
+
+def slopes(model: Ranker, x: np.ndarray, y: np.ndarray, seed: int) -> tuple:
+    """(pairs, gradient, curvature) of the logistic loss over the pairs of one bucket, the same pairs in every step."""
+    good, bad, size = np.flatnonzero(y == 1), np.flatnonzero(y == 0), len(model.w)
+    n, g, h = 0, np.zeros(size), np.zeros((size, size))
+    if not len(good) or not len(bad):
+        return n, g, h
+    rng = np.random.default_rng((7, seed))
+    a = np.concatenate((np.repeat(good, PAIRS), rng.choice(good, PAIRS * len(bad))))
+    b = np.concatenate((rng.choice(bad, PAIRS * len(good)), np.repeat(bad, PAIRS)))
+    z = model.expand(x)
+    for i in range(0, len(a), CHUNK):
+        d = z[a[i : i + CHUNK]] - z[b[i : i + CHUNK]]
+        p = 1 / (1 + np.exp(np.clip(d @ model.w, -40, 40)))
+        n, g, h = n + len(d), g + d.T @ p, h + (d * (p * (1 - p))[:, None]).T @ d
+    return n, g, h
+
+
+def total(rows, f, add=lambda a, b: tuple(x + y for x, y in zip(a, b, strict=True))):
+    """``f(x, y, bucket)`` of every bucket, added within partitions and then over a tree."""
+
+    def part(items):
+        out = None
+        for r in items:
+            y = np.frombuffer(r.y, np.int32)
+            one = f(np.frombuffer(r.x).reshape(len(y), -1), y, r.bucket)
+            out = one if out is None else add(out, one)
+        return [] if out is None else [out]
+
+    return rows.mapPartitions(part).treeReduce(add)
+
+
+def ordered(rows, model: Ranker, k: int) -> float:
+    """The strength with ``k`` others before it, exactly: counts in ever finer bins, the last few one by one."""
+    low, high = total(rows, lambda x, y, b: (model.strength(x).min(), model.strength(x).max()), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])))
+    while True:
+        edges = np.linspace(low, high, 1025)
+
+        def count(x, y, b, edges=edges):
+            s = model.strength(x)
+            return (s < edges[0]).sum(), np.histogram(s, edges)[0]
+
+        before, bins = total(rows, count)
+        if bins.sum() <= NEAR or edges[1] <= edges[0]:
+            if edges[1] <= edges[0]:
+                return float(low)  # equal to the last digit
+
+            def near(x, y, b, low=low, high=high):
+                s = model.strength(x)
+                return ([s[(s >= low) & (s <= high)]],)
+
+            found = np.sort(np.concatenate(total(rows, near)[0]))
+            return float(found[k - before])
+        j = int(np.searchsorted(np.cumsum(bins), k - before, "right"))
+        low, high = edges[j], edges[j + 1]
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn) -> Ranker | None:
-    """Ranker from the labelled rows that ``learn`` (a condition on doc_id) allows."""
-    lab = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    """Ranker from every labelled row that ``learn`` (a condition on doc_id) allows."""
+    lab = labels.where(learn & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     share = {r[0]: r[1] for r in lab.groupBy("quality").count().collect()}
     if len(share) < 2:
         return None
-    w = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    pick = lab.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= SAMPLE).select("doc_id", "quality")
+    buckets = max(1, min(sum(share.values()) // BUCKET, min(share.values()) // RARE))
 
     def describe(batches):
         for batch in batches:
             for part, data, off in pieces(batch):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(features(data, off)), pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("doc_id", "text", "quality").mapInArrow(describe, "doc_id long, quality int, x array<double>")
-    got = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select("doc_id", "r.*").collect()  # SAMPLE rows a label at most
-    got.sort(key=lambda r: r[0])
-    if len({r[1] for r in got}) < 2:
+    def pack(key, pdf):
+        pdf = pdf.sort_values("doc_id")
+        return pd.DataFrame({"bucket": [key[0]], "x": [np.stack(pdf["x"]).astype(float).tobytes()], "y": [pdf["quality"].to_numpy(np.int32).tobytes()]})
+
+    some = F.broadcast(lab) if sum(share.values()) <= BROADCAST else lab
+    rows = docs.select("doc_id", "text").join(some, "doc_id").select("doc_id", "text", "quality").mapInArrow(describe, "doc_id long, quality int, x array<double>")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).select(F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).alias("bucket"), "doc_id", "r.*")
+    table_ = staged(rows.groupBy("bucket").applyInPandas(pack, "bucket long, x binary, y binary"))
+    try:
+        if table_.isEmpty():
+            return None
+        return learned(table_.rdd)
+    finally:
+        discard(table_)
+
+
+def learned(rows) -> Ranker | None:
+    """Ranker from buckets (bucket, x, y)."""
+    n, bad, mean = total(rows, lambda x, y, b: (len(y), int((y == 0).sum()), x.sum(0)))
+    if bad in (0, n):
         return None
-    x, y = np.array([r[2] for r in got]), np.array([r[1] for r in got])
-    model = Ranker(x, y)
-    model.threshold(x, y, share[0] / (share[0] + share[1]))
+    mean = mean / n
+    model = Ranker(mean, np.sqrt(total(rows, lambda x, y, b: (((x - mean) ** 2).sum(0),))[0] / n) + 1e-9)
+    for _ in range(STEPS):  # Newton steps on the mean logistic loss
+        pairs, g, h = total(rows, lambda x, y, b: slopes(model, x, y, b))
+        if not pairs:
+            return None
+        step = np.linalg.solve(h / pairs + RIDGE * np.eye(len(g)), g / pairs - RIDGE * model.w)
+        model.w = model.w + step
+        if np.abs(step).max() < 1e-6:
+            break
+    # the quantile of the strengths that leaves the share of bad rows below
+    i = min(bad - 1, n - 2)
+    model.cut = (ordered(rows, model, i) + ordered(rows, model, i + 1)) / 2
     return model
 
 

@@ -252,6 +252,22 @@ def test_quality(spark, docs, none):
     assert quality.rank(none, lab).count() == 0
 
 
+def test_quality_learns_from_every_row(spark, monkeypatch):
+    """4,200 rows a label: all of them move the means and the quantile, which equal NumPy's over the whole table."""
+    rng = np.random.default_rng(5)
+    n = 4200
+    df = spark.createDataFrame([(i, " ".join(rng.choice(["one", "Two", "three!", "4"], rng.integers(3, 9)))) for i in range(2 * n)], "doc_id long, text string")
+    lab = spark.createDataFrame([(i, i % 2) for i in range(2 * n)], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "BUCKET", 1000)
+    monkeypatch.setattr(quality, "NEAR", 100)
+    model = quality.fit(df, lab, F.lit(True))
+    texts = [r.text.encode() for r in df.orderBy("doc_id").collect()]
+    x = quality.features(np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(v) for v in texts]))))
+    np.testing.assert_allclose(model.mean, x.mean(0), rtol=1e-9, atol=1e-12)
+    s = np.sort(model.strength(x))
+    assert abs(model.cut - (s[n - 1] + s[n]) / 2) < 1e-9
+
+
 def test_decontaminate(spark, docs, none):
     rng = np.random.default_rng(1)
     words = [f"w{i}" for i in range(300)]
