@@ -17,6 +17,7 @@ from panelforge.plans.evaluation import BASE, QR, Q, R, W, expanding, frame, fra
 from panelforge.plans.market import ASOF, GROUPS, INDEX, S, prior_z
 from panelforge.sources import universes
 from panelforge.sources.panel import PANEL_SQL, dense
+from panelforge.sources.stage import staged
 
 
 def combine(parts: dict[str, float]) -> str:
@@ -103,8 +104,10 @@ def universe_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every universe the derived codes and constituents (the 40 largest each sixth session) give."""
     head = F.element_at(F.array(*map(F.lit, PREFIX)), F.pmod("symbol", F.lit(len(PREFIX))).cast("int") + 1)
     p = dense(spark, sf_dir).where("close is not null").select(F.concat(head, F.lpad(F.col("symbol").cast("string"), 6, "0")).alias("code"), "trade_date", "t", "mv", "symbol")
+    p = staged(p)  # read once by every universe; the panel is not built again for each
     held = p.where("t % 6 = 0 and mv is not null").withColumn("k", F.row_number().over(Window.partitionBy("t").orderBy(F.desc("mv"), "symbol"))).where("k <= 40")
     held = held.select(F.lit(universes.INDEX["hs300"]).alias("index_code"), "code", "trade_date")
+    held = staged(held)
     return reduce(DataFrame.union, (universes.members(p, n, held).select(F.lit(n).alias("universe"), "code", "trade_date") for n in ("all", "hs300", *universes.BOARDS)))
 
 

@@ -56,3 +56,10 @@ def test_result_store(spark, tmp_path):
     assert [r["run"] for r in store.runs().collect()] == ["one"]
     write_json(rows, str(tmp_path / "j"))
     assert '"value":null' in "".join(p.read_text() for p in (tmp_path / "j").glob("*.json"))
+
+
+def test_registry_builds_the_panel_once(spark):
+    from panelforge.plans.panel_queries import universe_registry
+
+    plan = universe_registry(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_suppkey" not in plan  # every universe reads the written panel, none the lines again
