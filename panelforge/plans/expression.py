@@ -2,9 +2,8 @@
 
 A formula is a Python expression over panel fields and the operators below.  Equal sub-expressions of all
 formulas of a plan are computed once.  Window operators are levelled by nesting depth; a level computes its
-symbol windows (partition symbol, order t) together, then its date windows, then its group windows, so the
-number of shuffles follows the depth, not the number of factors.  Recursions (EMA and the like) run as one
-grouped pandas kernel a level, per symbol.
+symbol windows and recursions (EMA and the like; partition symbol, order t) together, then its date and group windows, so the
+number of shuffles follows the depth, not the number of factors.
 
 Missing values are null: arithmetic passes them on, comparisons with them are false, division by zero
 and logarithms of non-positive numbers give null.
@@ -14,8 +13,11 @@ from __future__ import annotations
 
 import ast
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from panelforge.operators import windows
 
 FIELDS = {"O": "open", "H": "high", "L": "low", "C": "close", "V": "vol", "A": "amount", "R": "ret", "vwap": "vwap", "cap": "mv", "t": "t", "L1": "l1", "L2": "l2", "L3": "l3"}
 
@@ -123,29 +125,46 @@ class Plan:
 
     # ---- DataFrame ----
 
-    def columns(self, panel: DataFrame) -> DataFrame:
-        """The panel with one column a formula."""
-        df = panel
-        for depth in sorted(self.levels):
-            for kind in "srxg":
-                nodes = [n for n in self.levels[depth] if n.kind == kind]
-                if not nodes:
-                    continue
-                if kind == "r":
-                    df = _recursions(df, nodes)
-                    continue
-                ready = {}
-                for n in nodes:
-                    for j, a in enumerate(n.args):
-                        if a.op not in ("field",) and not a.name:
-                            ready[f"{n.name}_{j}"] = _num(a)
-                df = df.withColumns(ready) if ready else df
-                df = df.withColumns({n.name: _window(n, [F.col(_ref(n, j, a)) for j, a in enumerate(n.args)]) for n in nodes}).drop(*ready)
-        return df.select(*panel.columns, *(_num(r).alias(k) for k, r in self.roots.items()))
+    def columns(self, panel: DataFrame, keep: list[str] | None = None) -> DataFrame:
+        """The panel (or ``keep`` of its columns) with one column a formula.
+
+        A step computes the symbol windows and recursions of a level, or its date and group windows: one exchange, one Arrow kernel
+        (``operators/windows.py``).  Between steps go only the columns that a later one reads; a formula is computed as soon as its parts are there.
+        """
+        keep = panel.columns if keep is None else keep
+        steps = [(key, [n for n in self.levels[depth] if n.kind in kinds]) for depth in sorted(self.levels) for key, kinds in (("symbol", "sr"), ("trade_date", "xg"))]
+        steps = [(key, nodes) for key, nodes in steps if nodes]
+        reads = [{"symbol", "trade_date", "t"}.union(*(_refs(a) for n in nodes for a in n.args)) for _, nodes in steps]
+        waiting = {f"_root{i}": r for i, r in enumerate(self.roots.values())}
+        df, done = panel, []
+        for i, (key, nodes) in enumerate(steps):
+            later = set(keep).union(*reads[i + 1 :], *(_refs(r) for r in waiting.values()))
+            kept = [c for c in df.columns if c in later or c in ("symbol", "trade_date", "t") or c in done]
+            args = {f"{n.name}_{j}": F.col(_ref(n, j, a)) if a.op == "field" or a.name else _num(a) for n in nodes for j, a in enumerate(n.args)}
+            groups = [f"{n.name}_1" for n in nodes if n.op == "indneu"]
+            # the numbers travel as one array: Spark measures an Arrow batch column by column with every row it adds
+            kinds = dict(df.dtypes)
+            plain, doubles = [c for c in kept if kinds[c] != "double"], [c for c in kept if kinds[c] == "double"]
+            numbers = {c: F.col(c) for c in doubles} | {k: c.cast("double") for k, c in args.items() if k not in groups}
+            df = df.select(*plain, *(args[g].alias(g) for g in groups), F.array(*numbers.values()).alias("_v"))
+            spec = [(n.op, n.value, [f"{n.name}_{j}" for j in range(len(n.args))]) for n in nodes]
+            made = doubles + [n.name for n in nodes]
+            schema = T.StructType([*(df.schema[c] for c in plain), T.StructField("_v", T.ArrayType(T.DoubleType()))])
+            df = df.repartition(key).sortWithinPartitions(*(("symbol", "t") if key == "symbol" else (key,)))
+            df = df.mapInArrow(windows.kernel(key, spec, plain, list(numbers), len(doubles)), schema)
+            df = df.select(*plain, *(F.get("_v", F.lit(j)).alias(c) for j, c in enumerate(made)))
+            # 10 digits: constant windows and exact +-1 must not depend on the order of summation
+            rounded = {n.name: F.round(n.name, 10) for n in nodes if n.op in ("corr", "rcorr", "cov")}
+            df = df.withColumns(rounded) if rounded else df
+            ready = {k: r for k, r in waiting.items() if r.depth and _refs(r) <= set(df.columns)}
+            df = df.withColumns({k: _num(r) for k, r in ready.items()}) if ready else df
+            waiting = {k: r for k, r in waiting.items() if k not in ready}
+            done += ready
+        return df.select(*keep, *((F.col(k) if k in done else _num(r)).alias(name) for k, (name, r) in zip((f"_root{i}" for i in range(len(self.roots))), self.roots.items(), strict=True)))
 
     def long(self, panel: DataFrame, digits: int = 6) -> DataFrame:
         """symbol, trade_date, factor, value (rounded), where the close and the value are present."""
-        wide = self.columns(panel).where("close is not null")
+        wide = self.columns(panel, ["symbol", "trade_date", "close"]).where("close is not null")
         pairs = F.explode(F.array(*(F.struct(F.lit(k).alias("factor"), F.col(k).alias("value")) for k in self.roots))).alias("p")
         out = wide.select("symbol", "trade_date", pairs).select("symbol", "trade_date", "p.factor", clean(F.col("p.value"), digits).alias("value"))
         return out.where("value is not null")
@@ -185,6 +204,13 @@ def sql_clean(c: str, digits: int = 6) -> str:
     return f"CASE WHEN abs({c}) < 1e5 THEN {r(digits)} WHEN abs({c}) < 1e9 THEN floor({c} + 0.37) WHEN abs({c}) < 1e15 THEN floor({c} / 1e4 + 0.5) * 1e4 END"
 
 
+def _refs(n: Node) -> set[str]:
+    """Columns that a node is computed from, once its windows are there."""
+    if n.name or n.op == "field":
+        return {n.name or n.value}
+    return set().union(*(_refs(a) for a in n.args))
+
+
 def _ref(n: Node, j: int, a: Node) -> str:
     return a.value if a.op == "field" else a.name or f"{n.name}_{j}"
 
@@ -273,81 +299,6 @@ def _sql(n: Node) -> str:
     }[n.op].format(*a)
 
 
-def _window(n: Node, a: list[Column]) -> Column:
-    w, x = n.value, a[0]
-    by = Window.partitionBy("symbol").orderBy("t")
-    o = by.rowsBetween(1 - w, 0) if n.kind == "s" and isinstance(w, int) else None
-    day = Window.partitionBy("trade_date")
-    full = lambda c, v=x: F.when(F.count(v).over(o) == w, c)
-    if n.op in ("corr", "rcorr", "cov"):
-        y = a[1]
-        both = x.isNotNull() & y.isNotNull()
-        x, y = F.when(both, x), F.when(both, y)
-        cov = F.covar_samp(x, y).over(o)
-        if n.op == "cov":
-            return full(F.round(cov, 10), x)
-        # 10 digits: constant windows and exact +-1 must not depend on the order of summation
-        den = F.stddev_samp(x).over(o) * F.stddev_samp(y).over(o)
-        return full(F.when(den > 1e-12 * F.greatest(F.abs(F.avg(x).over(o) * F.avg(y).over(o)), F.lit(1e-12)), F.round(F.try_divide(cov, den), 10)), x)
-    if n.op in ("ts_argmax", "ts_argmin"):
-        low = n.op == "ts_argmin"
-        best = F.max(F.when(x.isNotNull(), F.struct((-x if low else x).alias("v"), (-F.col("t")).alias("i")))).over(o)
-        return F.when(F.col("t") >= w - 1, (w - best["i"] - F.col("t")).cast("double"))
-    if n.op in ("age_max", "age_min"):
-        low = n.op == "age_min"
-        best = F.max(F.when(x.isNotNull(), F.struct((-x if low else x).alias("v"), F.col("t").alias("i")))).over(o)
-        return full((F.col("t") - best["i"]).cast("double"))
-    if n.op == "ts_rank":
-        l = F.collect_list(x).over(o)
-        return F.when(x.isNotNull(), F.size(F.filter(l, lambda v: v < x)) + (F.size(F.filter(l, lambda v: v == x)) + 1) / 2)
-    if n.op == "decay":
-        weights = F.array(*(F.lit(float(i)) for i in range(1, w + 1)))
-        l = F.collect_list(x).over(o)
-        dot = F.aggregate(F.zip_with(l, weights, lambda u, v: u * v), F.lit(0.0), lambda s, u: s + u)
-        return F.when(F.size(l) == w, dot / (w * (w + 1) / 2))
-    if n.op == "mad":
-        l, m = F.collect_list(x).over(o), F.avg(x).over(o)
-        return full(F.aggregate(l, F.lit(0.0), lambda s, v: s + F.abs(v - m)) / w)
-    if n.op == "mdd":
-        l = F.collect_list(x).over(o)
-        start = F.struct(F.lit(0.0).alias("peak"), F.lit(0.0).alias("mdd"))
-        step = lambda s, v: F.struct(F.greatest(s["peak"], v).alias("peak"), F.greatest(s["mdd"], 1 - v / F.greatest(s["peak"], v)).alias("mdd"))
-        return full(F.aggregate(l, start, step, lambda s: s["mdd"]))
-    if n.op == "slope":
-        return full(F.regr_slope(x, F.when(x.isNotNull(), F.col("t").cast("double"))).over(o))
-    if n.op in ("rskew", "rkurt"):
-        c = F.lit(float(w))
-        if n.op == "rskew":
-            return full(F.skewness(x).over(o) * F.sqrt(c * (c - 1)) / (c - 2))
-        return full((c - 1) / ((c - 2) * (c - 3)) * ((c + 1) * F.kurtosis(x).over(o) + 6))
-    if n.op == "product":
-        return F.when(F.col("t") >= w - 1, F.product(x).over(o))
-    if n.op == "lag":
-        return F.lag(x, w).over(by)
-    if n.op == "lead":
-        return F.lead(x, w).over(by)
-    if n.op == "cumsum":
-        return F.sum(F.coalesce(x, F.lit(0.0))).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    if n.op == "ffill":
-        return F.last(x, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    if n.op == "rank":
-        order = day.orderBy(x.asc_nulls_last())
-        return F.when(x.isNotNull(), (F.rank().over(order) + F.count(x).over(order.rangeBetween(Window.unboundedPreceding, 0))) / 2 / F.count(x).over(day))
-    if n.op == "rank_desc":
-        return F.when(x.isNotNull(), 1 - F.rank().over(day.orderBy(x.desc_nulls_last())) / F.count(x).over(day))
-    if n.op == "scale":
-        return F.try_divide(w * x, F.sum(F.abs(x)).over(day))
-    if n.op in ("xmean", "xsum"):
-        return (F.avg if n.op == "xmean" else F.sum)(x).over(day)
-    if n.op == "indneu":
-        return F.when(a[1].isNotNull(), x - F.avg(x).over(Window.partitionBy("trade_date", a[1])))
-    f = {"sum": F.sum, "avg": F.avg, "sd": F.stddev_samp, "ts_min": F.min, "ts_max": F.max}.get(n.op)
-    if f:
-        return f(x).over(o)
-    f = {"rsum": F.sum, "rmean": F.avg, "ma": F.avg, "psd": F.stddev_pop, "pvar": F.var_pop, "rmax": F.max, "rmin": F.min, "rmedian": lambda c: F.percentile(c, 0.5)}[n.op]
-    return full(f(x).over(o))
-
-
 def _sql_window(n: Node, a: list[str]) -> str:
     w, x = n.value, a[0]
     by = "PARTITION BY symbol ORDER BY t"
@@ -420,33 +371,3 @@ def _sql_window(n: Node, a: list[str]) -> str:
         return f"{f}({x}) {o}"
     f = {"rsum": "sum", "rmean": "avg", "ma": "avg", "psd": "stddev_pop", "pvar": "var_pop", "rmax": "max", "rmin": "min", "rmedian": "median"}[n.op]
     return full(f"{f}({x}) {o}")
-
-
-def _recursions(df: DataFrame, nodes: list[Node]) -> DataFrame:
-    """Recursive operators of one level, one pandas kernel per symbol over (t, inputs) only, joined back by (symbol, t)."""
-    cols = {f"{n.name}_{j}": _num(a) for n in nodes for j, a in enumerate(n.args)}
-    spec = [(n.op, n.value, n.name, len(n.args)) for n in nodes]
-    schema = "symbol long, t int, " + ", ".join(f"{s[2]} double" for s in spec)
-
-    def kernel(key, pdf):
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("t")
-        out = pd.DataFrame({"symbol": pdf["symbol"], "t": pdf["t"].astype("int32")})
-        for op, w, name, _ in spec:
-            x = pdf[f"{name}_0"].astype(float)
-            if op == "dma":
-                a = pdf[f"{name}_1"].astype(float).clip(0, 1).to_numpy()
-                v, c, ys = x.to_numpy(), np.nan, []
-                for i in range(len(v)):
-                    if np.isfinite(v[i]) and np.isfinite(a[i]):
-                        c = v[i] if np.isnan(c) else a[i] * v[i] + (1 - a[i]) * c
-                    ys.append(c)
-                out[name] = ys
-            else:
-                out[name] = x.ewm(alpha=2 / (w + 1) if op == "ema" else 1 / w, adjust=False, min_periods=w).mean()
-        return out.astype(object).where(out.notna(), None)
-
-    part = df.select("symbol", "t", *(c.alias(k) for k, c in cols.items()))
-    return df.join(part.groupBy("symbol").applyInPandas(kernel, schema), ["symbol", "t"])
