@@ -11,8 +11,8 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from panelforge.functions import financial
 from panelforge.plans.evaluation import R
@@ -169,12 +169,25 @@ def relations(spark: SparkSession, sf_dir: str, text: str) -> dict[str, DataFram
     return got
 
 
-def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = forms(TEXTS[name], "spark")
+def bound(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    text = forms(text, "spark")
     got = relations(spark, sf_dir, text)
     return spark.sql(_with([f"{n} AS (SELECT * FROM {{{n}}})" for n in got], text), **got)
 
 
+def run(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return bound(spark, sf_dir, TEXTS[name])
+
+
+def temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the sessions before whose dispersion was no larger; a window over one row a session, where the text's join makes Spark compute the groups once for each pair of partitions."""
+    hl = bound(spark, sf_dir, f"WITH {HL} SELECT t, trade_date, disp FROM hl")
+    before = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
+    d = hl.select("trade_date", "disp", F.count("*").over(before).alias("n"), F.collect_list("disp").over(before).alias("past")).where("n >= 10")
+    share = F.size(F.filter("past", lambda x: x <= F.col("disp"))) / F.col("n")
+    return d.select("trade_date", share.alias("share")).select("trade_date", F.expr(R("greatest(share, 1 - share)")).alias("temperature"))
+
+
 def oracle(name: str) -> str:
     return _with([PANEL_SQL.strip(), f"st AS ({ST['duck']})"], forms(TEXTS[name], "duck"))
 
@@ -200,5 +213,6 @@ def statement_oracle(name: str) -> str:
 
 QUERIES = {k: (lambda spark, sf_dir, k=k: run(spark, sf_dir, k)) for k in TEXTS}
 ORACLES = {k: oracle(k) for k in TEXTS}
+QUERIES["crowd_temperature"] = temperature
 QUERIES |= {k: (lambda spark, sf_dir, k=k: statement_factors(spark, sf_dir, k)) for k in _FAMILIES}
 ORACLES |= {k: statement_oracle(k) for k in _FAMILIES}

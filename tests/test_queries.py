@@ -47,3 +47,9 @@ def test_linking_covers_every_year(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalogue.oracle_sql()) <= set(catalogue.queries())
+
+
+def test_temperature_reads_the_groups_once(spark, duck):
+    test_matches_sql(spark, duck, "crowd_temperature")
+    reads = {q: catalogue.queries()[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") for q in ("crowd_temperature", "crowd_dispersion")}
+    assert reads["crowd_temperature"] == reads["crowd_dispersion"]
