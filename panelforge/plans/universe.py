@@ -11,7 +11,7 @@ from panelforge.plans.expression import clean, sql_clean
 from panelforge.sources import universes
 from panelforge.sources.market import MarketTable
 from panelforge.sources.panel import PANEL_SQL, dense, read
-from panelforge.sources.stage import shared_dir
+from panelforge.sources.stage import discard, shared_dir, staged
 
 HEADS = ("SH60", "SZ00", "SZ300", "SH688", "BJ83", "SH90")
 
@@ -24,13 +24,14 @@ def coded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def market_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two deliveries (a later one without opens, which amends closes and brings a factor) and index rows, read back adjusted from 1996 on."""
-    p = coded(spark, sf_dir).where("close IS NOT NULL")
+    p = staged(coded(spark, sf_dir).where("close IS NOT NULL").select("code", "trade_date", "t", "open", "high", "close", "vol", "l1"))  # every upsert reads its batch twice
     table = MarketTable(spark, f"{shared_dir(spark)}/market-{uuid.uuid4().hex}")
     table.upsert(p.where("t < 50").select(F.col("code").alias("symbol"), "trade_date", "open", "close", "vol"))
     later = p.where("t >= 40").select(F.col("code").alias("symbol"), "trade_date", F.lit(None).cast("double").alias("open"), F.col("high").alias("close"), "vol", F.when(F.col("vol") > 60, 1 + F.col("t") / 100).alias("adj_factor"))
     table.upsert(later)
     levels = p.groupBy("l1", "trade_date").agg(F.max("close").alias("close")).select(F.concat(F.lit("index_"), "l1").alias("symbol"), "trade_date", "close")
     table.upsert(levels)
+    discard(p)
     out = table.read(["open", "close", "vol"], "1996-01-01", None, None, True, "hfq")
     return out.select("symbol", "trade_date", *(clean(F.col(c)).alias(c) for c in ("open", "close", "vol")))
 

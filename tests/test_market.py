@@ -79,3 +79,15 @@ def test_labels_equal_members_of_each_universe(spark):
     got = rows(universes.labelled(panel, held).selectExpr("explode(universes) as u", "code", "trade_date"), "u", "code", "trade_date")
     want = [(n, *r) for n in ("all", "hs300", "zz500", *universes.BOARDS) for r in rows(universes.members(panel, n, held), "code", "trade_date")]
     assert got == sorted(want, key=str)
+
+
+def test_market_query_builds_the_panel_once(spark, monkeypatch):
+    plans, upsert = [], MarketTable.upsert
+
+    def seen(self, rows, order=None):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        upsert(self, rows, order)
+
+    monkeypatch.setattr(MarketTable, "upsert", seen)
+    assert universe.market_table(spark, SF).count() > 0
+    assert len(plans) == 3 and not any("l_extendedprice" in p for p in plans)
