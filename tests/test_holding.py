@@ -98,3 +98,10 @@ def test_continued_runs_are_the_whole_run(spark, packed, n):
     for s in ("s0", "s1"):
         mine = [r for r in last if r.strategy == s]
         assert abs(sum(r.weight for r in mine) - 1) < 1e-12 and all(r.t == 29 for r in mine)
+
+
+def test_sessions_of_the_panel_are_written_once(spark):
+    from panelforge.plans.holding import sessions
+
+    s = sessions(spark, "/root/testdata/sf0.001")
+    assert s.count() > 0 and "l_extendedprice" not in s._jdf.queryExecution().optimizedPlan().toString()
