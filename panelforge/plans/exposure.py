@@ -9,6 +9,7 @@ from panelforge.operators import exposure, rotation
 from panelforge.plans.evaluation import R, frame, frame_sql
 from panelforge.plans.rotation import _POINTS
 from panelforge.sources.panel import dense
+from panelforge.sources.stage import discard, staged
 
 STYLES = {"size": "s_size", "momentum": "s_mom", "volatility": "s_vol"}
 COLUMNS = [*STYLES, "nlsize"]
@@ -16,11 +17,13 @@ INDUSTRY = "l1"
 
 
 def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The evaluation frame with standardised styles; the universe is every symbol with a value that day."""
-    ev = frame(spark, sf_dir)
+    """The evaluation frame with standardised styles, written once; the universe is every symbol with a value that day."""
+    ev = staged(frame(spark, sf_dir).select("symbol", "trade_date", "t", "l1", "mv", *STYLES.values(), "factor", "f", "r"))
     day = ev.where("factor = 'mom_5'").select("symbol", "trade_date", "mv", *STYLES.values())  # the styles are the same beside every factor
     z = exposure.standardise(day, STYLES, "size", F.col("mv").isNotNull())
-    return ev.join(z.select("symbol", "trade_date", *COLUMNS, "cap"), ["symbol", "trade_date"])
+    out = staged(ev.drop(*STYLES.values()).join(z.select("symbol", "trade_date", *COLUMNS, "cap"), ["symbol", "trade_date"]))
+    discard(ev)
+    return out
 
 
 def rounded(df: DataFrame, *columns: str) -> DataFrame:

@@ -134,3 +134,10 @@ def test_neutral_score(data):
     whole = p[p.value.notna()].sort_values(["day", "symbol"])
     kept = few[few.value.notna()].sort_values(["day", "symbol"])
     assert np.allclose(whole.y, kept.y)
+
+
+def test_the_standardised_frame_is_written_once(spark):
+    from panelforge.plans.exposure import standardised
+
+    ev = standardised(spark, "/root/testdata/sf0.001")
+    assert ev.count() > 0 and "l_extendedprice" not in ev._jdf.queryExecution().optimizedPlan().toString()
