@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from panelforge.operators import boosting, exposure, neural, ranker
 from panelforge.plans.evaluation import _PLAN, FACTORS, R, frame_sql
 from panelforge.sources.panel import dense
+from panelforge.sources.stage import discard, staged
 
 SIGNS = {"mom_5": 1, "reversal_1": 1, "volume_6": -1, "price_pos": 1}
 BOOST = boosting.Settings(trees=12, rate=0.1, least=20)
@@ -19,9 +20,9 @@ EVERY = 3
 
 
 def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Factors side by side; the universe is every symbol with a value that session."""
+    """Factors side by side, written once; the universe is every symbol with a value that session."""
     wide = _PLAN.columns(dense(spark, sf_dir))
-    return wide.select("symbol", "trade_date", "t", "l1", "close", "mv", "s_size", "s_mom", "s_vol", *FACTORS, F.col("mv").isNotNull().alias("in_universe"))
+    return staged(wide.select("symbol", "trade_date", "t", "l1", "close", "mv", "s_size", "s_mom", "s_vol", *FACTORS, F.col("mv").isNotNull().alias("in_universe")))
 
 
 def rebalances(p: DataFrame) -> list[int]:
@@ -38,10 +39,12 @@ def ranked_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def neutral(p: DataFrame) -> DataFrame:
-    """Factors without their linear part in size and cubed size."""
-    z = exposure.standardise(p, {"size": "s_size"}, "size")
+    """Factors without their linear part in size and cubed size; written after each, since a regression reads its rows three times."""
+    z = staged(exposure.standardise(p, {"size": "s_size"}, "size").select("symbol", "t", "close", "in_universe", *SIGNS, "size", "nlsize"))
     for f in SIGNS:
-        z = exposure.neutralised(z, f, ["size", "nlsize"], ["t"])
+        done = staged(exposure.neutralised(z, f, ["size", "nlsize"], ["t"]))
+        discard(z)
+        z = done
     return z
 
 

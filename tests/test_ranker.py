@@ -158,3 +158,11 @@ def test_too_little_history(spark):
     assert out.model.isna().all() and out.score.notna().sum() == 2 * 39
     top = ranker.picks(spark.createDataFrame(out[["t", "symbol", "score"]].dropna()), 5).toPandas()
     assert len(top) == 10 and np.allclose(top.weight, 0.2)
+
+
+def test_neutral_factors_are_written_once(spark):
+    from panelforge.plans import learned
+
+    z = learned.neutral(learned.panel(spark, "/root/testdata/sf0.001"))
+    plan = z._jdf.queryExecution().optimizedPlan().toString()
+    assert z.count() > 0 and "l_extendedprice" not in plan and "Join" not in plan
