@@ -9,10 +9,12 @@ The suffix order is built by a distributed merge sort that knows common prefixes
 2. Duplicate detection: fingerprints of the anchors' K-grams are counted exactly (``_shared``); an anchor met in one text
    only cannot repeat and its suffix is not exchanged.
 3. Each task sorts the suffixes of its remaining anchors (by fingerprint, then bytes, as far as their windows reach), folds equal
-   ones to the earliest document, and sends front-coded runs (common prefix with the one before, then the rest) to ranges.
-4. A range merges the runs with a loser tree that keeps for each run the common prefix with the last winner and compares
-   bytes only past it.  Neighbours that share their K-gram are a block; in a block each window belongs to its first document.  A block has
-   at most one entry of each distinct suffix from a run, however many documents hold it.
+   ones to the earliest document, and sends front-coded runs (common prefix with the one before, then the rest) to ranges, which
+   are cut so that each gets about as many anchors.
+4. A range deals its strings into blocks by fingerprint, leaves out blocks of one document, and merges the runs of a block with
+   a loser tree that keeps for each run the common prefix with the last winner and compares bytes only past it (strings that are
+   all equal are in order).  In suffix order, strings that agree after the anchor are neighbours; with the bytes before it each window
+   is told, and belongs to its first document.  A block has at most one entry of each distinct suffix from a run, however many documents hold it.
 5. The windows that start in an earlier document are united to spans, cut out and hashed.
 
 Texts equal to an earlier one are removed whole (if long enough) without being indexed.
@@ -152,7 +154,6 @@ def merge(runs: list[tuple[list[bytes], list[int]]]):
 
 _META = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("lo", "<i8"), ("left", "u1"), ("windows", "u1"), ("lcp", "<u2"), ("size", "<u2")])
 _RUN = "r int, doc_id long, tie long, lo long, hi long, meta binary, tails binary"
-_RUN_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 _SPAN = "doc_id long, tie long, lo long, hi long"
 
 
@@ -162,45 +163,173 @@ def _lcp(a: bytes, b: bytes) -> int:
     return n if u == v else n - ((int.from_bytes(u) ^ int.from_bytes(v)).bit_length() + 7) // 8
 
 
+def entries(data: np.ndarray, fp: np.ndarray, place: np.ndarray, lo: np.ndarray, hi: np.ndarray, doc: np.ndarray, tie: np.ndarray, shift: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of bytes, meta) of anchors: fingerprint and suffix, then the bytes before the anchor, each with zeros past its end."""
+    meta = np.zeros(len(fp), _META)
+    meta["doc"], meta["tie"], meta["lo"] = doc, tie, lo + shift
+    meta["left"], meta["windows"], meta["size"] = place - lo, hi - lo + 1, 6 + hi + length - place
+    wide = _width(length)
+    out = np.zeros((len(fp), wide + length - K), np.uint8)
+    out[:, :6] = fp.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:]
+    to = np.arange(length)
+    out[:, 6 : 6 + length] = np.where(to < meta["size"][:, None] - 6, data[np.minimum(place[:, None] + to, len(data) - 1)], 0)
+    to = np.arange(length - K)
+    out[:, wide:] = np.where(to < meta["left"][:, None], data[lo[:, None] + to], 0)
+    return out, meta
+
+
+def _width(length: int) -> int:
+    return (6 + length + 7) // 8 * 8
+
+
+def bounds(ranges: int, length: int) -> np.ndarray:
+    """Fingerprints that begin the ranges after the first, so that all get about as many anchors.
+
+    An anchor has the least hash of a window, so small fingerprints are far more frequent: a place of hash u is one with
+    probability (1 - u)^m (1 + m u) for m + 1 K-grams to a window.  Made once, so that all tasks cut alike.
+    """
+    m = length - K
+    u = np.linspace(0, 1, (1 << 16) + 1)
+    share = (1 - (1 - u) ** (m + 1) - m / (m + 2) * (1 - (1 - u) ** (m + 2))) * (m + 2) / 2
+    return (np.interp(np.arange(1, ranges) / ranges, share, u) * (1 << 48)).astype(np.int64)
+
+
+def front_coded(held: list[tuple[np.ndarray, np.ndarray]], cuts: np.ndarray, length: int) -> pa.RecordBatch:
+    """A sorted run: equal entries folded to the earliest document (the others' spans are done), the rest front-coded by range."""
+    rows, meta = np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])
+    wide = _width(length)
+    fp = rows[:, :6].astype(np.int64) @ (1 << np.arange(40, -1, -8, dtype=np.int64))
+    order = np.argsort(fp, kind="stable")
+    twice = np.diff(fp[order], prepend=-1) == 0
+    twice[:-1] |= twice[1:]
+    some = order[twice]  # only entries that share a fingerprint are compared further
+    left = np.zeros((len(some), (length - K + 7) // 8 * 8), np.uint8)
+    left[:, : length - K] = rows[some, wide:]
+    words = np.concatenate([rows[some, :wide].view(">u8"), meta["size"][some, None], meta["left"][some, None], left.view(">u8")], axis=1).astype(np.uint64)
+    order[twice] = some[np.lexsort((meta["doc"][some], *words.T[::-1]))]
+    rows, meta = rows[order], meta[order]
+    same = (rows[1:] == rows[:-1]).all(axis=1) & (meta["size"][1:] == meta["size"][:-1]) & (meta["left"][1:] == meta["left"][:-1])
+    head = np.maximum.accumulate(np.where(np.concatenate(([True], ~same)), np.arange(len(rows)), 0))
+    done = meta["doc"] != meta["doc"][head]  # all their windows start in the run's earlier document
+    late, rows, meta = meta[done], rows[~done], meta[~done]
+    r = np.searchsorted(cuts, fp[order][~done], "right")
+    edge = np.concatenate(([0], np.flatnonzero(np.diff(r)) + 1, [len(r)]))
+    differ = rows[1:, :wide] != rows[:-1, :wide]
+    size = meta["size"].astype(np.int64)
+    meta["lcp"][1:] = np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), wide), np.minimum(size[1:], size[:-1]))
+    meta["lcp"][edge[:-1]] = 0
+    to = np.arange(rows.shape[1])
+    sent = ((to >= meta["lcp"][:, None]) & (to < size[:, None])) | ((to >= wide) & (to < wide + meta["left"][:, None].astype(np.int64)))
+    tails = rows[sent]
+    at = np.concatenate(([0], np.cumsum(size - meta["lcp"] + meta["left"])))[edge]
+    runs = [(int(r[a]), meta[a:b].tobytes(), tails[x:y].tobytes()) for a, b, x, y in zip(edge[:-1], edge[1:], at[:-1], at[1:], strict=True)]
+    n, none = len(runs), len(late)
+    spans = [late["doc"], late["tie"], late["lo"], late["lo"] + late["windows"] - 1 + length]
+    columns = [pa.array([x[0] for x in runs] + [None] * none, pa.int32())]
+    columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) for c in spans]
+    columns += [pa.array([x[j] for x in runs] + [None] * none, pa.binary()) for j in (1, 2)]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _RUN.split(", ")])
+
+
+def _decode(meta: np.ndarray, tails: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """Front-coded strings as rows of bytes, zeros past their ends; ``start``: where each one's tail begins."""
+    out = np.zeros((len(meta), width), np.uint8)
+    lcp, size, row = meta["lcp"].astype(np.int64), meta["size"], np.arange(len(meta))
+    for c in range(width):
+        # a byte inside the common prefix is that of the last string whose tail reaches this column
+        src = np.maximum.accumulate(np.where(lcp <= c, row, 0))
+        out[:, c] = np.where(c < size, tails[np.minimum(start[src] + c - lcp[src], len(tails) - 1)], 0)
+    return out
+
+
+def _lefts(meta: np.ndarray, tails: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """The bytes before the anchors, nearest first, as numbers: equal in the first a bytes means equal classes in column a."""
+    left = meta["left"].astype(np.int64)
+    back = np.arange(width)
+    rows = np.where(back < left[:, None], tails[np.clip((start + left)[:, None] - 1 - back, 0, len(tails) - 1)], 0).astype(np.uint8)
+    out = np.zeros((len(meta), width + 1), np.int32)
+    for a in range(width):
+        _, out[:, a + 1] = np.unique(out[:, a].astype(np.int64) << 8 | rows[:, a], return_inverse=True)
+    return out
+
+
+def _order(blocks: np.ndarray, strings: np.ndarray, size: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Merges the runs of each block (bounds in ``blocks``): (order, common prefix with the string before; 0 where a block begins)."""
+    n = len(strings)
+    order, common = np.arange(n), np.zeros(n, np.int64)
+    head = np.repeat(blocks[:-1], np.diff(blocks))
+    same = (strings == strings[head]).all(axis=1) & (size == size[head])
+    common[:] = size
+    common[blocks[:-1]] = 0
+    for x in np.flatnonzero(~np.logical_and.reduceat(same, blocks[:-1])).tolist():
+        a, b = int(blocks[x]), int(blocks[x + 1])
+        raw = [strings[i, : size[i]].tobytes() for i in range(a, b)]
+        edge = [0, *(np.flatnonzero(np.diff(run[a:b])) + 1).tolist(), b - a]
+        runs = [(raw[i:j], [0, *map(_lcp, raw[i : j - 1], raw[i + 1 : j])]) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        for at, (r, i, c) in enumerate(merge(runs), a):
+            order[at], common[at] = a + edge[r] + i, c
+    return order, common
+
+
+def merged_spans(t: pa.Table, length: int) -> pa.Table:
+    """The runs of a range -> spans [lo, hi) of the windows that an earlier document holds.
+
+    Strings are dealt into blocks by the fingerprint they begin with; blocks of one document are left out, and a block is merged
+    unless its strings are all equal.  A window takes ``a`` bytes before the anchor's K-gram and the rest after it; in suffix order
+    the strings that agree in the rest are neighbours, so a window is told by their class there and the class of the ``a`` bytes.
+    """
+    w = length - K + 1
+    meta = np.concatenate([np.frombuffer(x.as_py(), _META) for x in t.column("meta")])
+    tails = np.frombuffer(b"".join(x.as_py() for x in t.column("tails")), np.uint8)
+    run = np.repeat(np.arange(t.num_rows), [len(x.as_py()) // _META.itemsize for x in t.column("meta")])
+    fresh = meta["size"].astype(np.int64) - meta["lcp"]
+    start = np.concatenate(([0], np.cumsum(fresh + meta["left"])))[:-1]
+    strings = _decode(meta, tails, start, int(meta["size"].max()))
+    fp = strings[:, :6].astype(np.int64) @ (1 << np.arange(40, -1, -8, dtype=np.int64))
+
+    def blocks_of(x):
+        return np.concatenate(([0], np.flatnonzero(np.diff(x)) + 1, [len(x)]))
+
+    keep = np.argsort(fp, kind="stable")
+    edge = blocks_of(fp[keep])
+    doc = meta["doc"][keep]
+    many = np.minimum.reduceat(doc, edge[:-1]) < np.maximum.reduceat(doc, edge[:-1])
+    keep = keep[np.repeat(many, np.diff(edge))]
+    if not len(keep):
+        return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "tie", "lo", "hi")})
+    meta, strings = meta[keep], strings[keep]
+    order, common = _order(blocks_of(fp[keep]), strings, meta["size"].astype(np.int64), run[keep])
+    meta, at = meta[order], keep[order]
+    before = _lefts(meta, tails, start[at] + fresh[at], w - 1)
+    left, right, doc = meta["left"].astype(np.int64), meta["size"].astype(np.int64) - K - 6, meta["doc"]
+    gone = np.zeros((len(meta), w + 1), bool)
+    for a in range(w):
+        some = np.flatnonzero((left >= a) & (right >= w - 1 - a))
+        if len(some):
+            key = np.cumsum(common < K + 6 + w - 1 - a)[some] << 32 | before[some, a]
+            by = np.argsort(key, kind="stable")
+            edge = blocks_of(key[by])
+            least = np.empty(len(some), np.int64)
+            least[by] = np.repeat(np.minimum.reduceat(doc[some[by]], edge[:-1]), np.diff(edge))
+            gone[some, left[some] - a] = least < doc[some]
+    step = np.diff(gone.astype(np.int8), axis=1, prepend=0)
+    i, lo = np.nonzero(step == 1)
+    _, hi = np.nonzero(step == -1)  # the last column is never set, so every run of windows ends
+    return pa.table({"doc_id": doc[i], "tie": meta["tie"][i], "lo": meta["lo"][i] + lo, "hi": meta["lo"][i] + hi - 1 + length})
+
+
 def spans(texts: DataFrame, length: int) -> DataFrame:
     """texts(doc_id, tie, text, tokens, n_bytes) -> removed spans [lo, hi) by (doc_id, tie), staged; ``tokens``: fingerprints worth comparing."""
     ranges = max(shuffles(texts.sparkSession), (texts.agg(F.sum("n_bytes")).first()[0] or 0) // RANGE)
+    cuts = bounds(ranges, length)
 
     def sort_runs(batches):
-        entries: list[tuple] = []
+        held: list[tuple] = []
         size = 0
-
-        def flush():
-            nonlocal entries, size
-            entries.sort()
-            out: list[tuple] = []
-            done: list[tuple] = []
-            block: dict[int, list] = {}
-            prev = None
-            for e in entries:
-                if prev is not None and e[0] == prev[0] and e[1] == prev[1] and e[2] != prev[2]:
-                    done.append((None, e[2], e[3], e[4], e[4] + e[5] - 1 + length, None, None))  # all its windows start in the run's earlier document
-                    continue
-                prev = e
-                block.setdefault(int.from_bytes(e[0][:6]) * ranges >> 48, []).append(e)
-            for r, es in block.items():
-                meta = np.zeros(len(es), _META)
-                tails, last = [], b""
-                for i, (t, left, doc, tie, lo, windows) in enumerate(es):
-                    c = _lcp(last, t)
-                    meta[i] = (doc, tie, lo, len(left), windows, c, len(t))
-                    tails.append(t[c:])
-                    tails.append(left)
-                    last = t
-                out.append((r, None, None, None, None, meta.tobytes(), b"".join(tails)))
-            entries, size = [], 0
-            rows = out + done
-            return pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate(_RUN_KINDS)], [c.split()[0] for c in _RUN.split(", ")])
-
         for batch in batches:
             for part, data, off in pieces(batch, "text"):
                 ids, ties, toks = (part.column(part.schema.get_field_index(c)) for c in ("doc_id", "tie", "tokens"))
-                ids, ties = ids.to_pylist(), ties.to_pylist()
+                ids, ties = ids.to_numpy(zero_copy_only=False), ties.to_numpy(zero_copy_only=False)
                 want = [np.frombuffer(x.as_py(), np.uint64) for x in toks]
                 for s, d, o in segments(data, off, length):
                     h, place, lo, hi, doc = anchors(d, o, length)
@@ -212,72 +341,17 @@ def spans(texts: DataFrame, length: int) -> DataFrame:
                         w = want[x]
                         if a.stop > a.start and len(w):
                             keep[a] = w[np.minimum(np.searchsorted(w, fp[a]), len(w) - 1)] == fp[a]
-                    raw = d.tobytes()
-                    for f, p, b, e, x in zip(fp[keep].tolist(), place[keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), doc[keep].tolist(), strict=True):
-                        entries.append((f.to_bytes(6) + raw[p : e + length], raw[b:p], ids[x], ties[x], b - int(o[x]) + s, e - b + 1))
-                        size += 160
+                    if keep.any():
+                        held.append(entries(d, fp[keep], place[keep], lo[keep], hi[keep], ids[doc[keep]], ties[doc[keep]], s - o[doc[keep]], length))
+                        size += held[-1][0].nbytes
                     if size >= RUN:
-                        yield flush()
-        if entries:
-            yield flush()
+                        yield front_coded(held, cuts, length)
+                        held, size = [], 0
+        if held:
+            yield front_coded(held, cuts, length)
 
     def combine(t: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"doc_id": [], "tie": [], "lo": [], "hi": []}
-        runs, metas, lefts = [], [], []
-        for row in t.to_pylist():
-            meta = np.frombuffer(row["meta"], _META)
-            strings, left, at, last = [], [], 0, b""
-            for c, n, m in zip(meta["lcp"].tolist(), meta["size"].tolist(), meta["left"].tolist(), strict=True):
-                last = last[:c] + row["tails"][at : at + n - c]
-                strings.append(last)
-                at += n - c
-                left.append(row["tails"][at : at + m])
-                at += m
-            runs.append((strings, meta["lcp"].tolist()))
-            metas.append(list(zip(meta["doc"].tolist(), meta["tie"].tolist(), meta["lo"].tolist(), meta["windows"].tolist(), strict=True)))
-            lefts.append(left)
-
-        def emit(doc, tie, lo, hi):
-            out["doc_id"].append(doc)
-            out["tie"].append(tie)
-            out["lo"].append(lo)
-            out["hi"].append(hi)
-
-        def close(block):
-            docs = {metas[r][i][0] for r, i in block}
-            if len(docs) < 2:
-                return
-            whole: dict[bytes, int] = {}
-            texts = []
-            for r, i in block:
-                doc, _, _, n = metas[r][i]
-                s = lefts[r][i] + runs[r][0][i][6:]
-                texts.append(s)
-                for j in range(n):
-                    w = s[j : j + length]
-                    if whole.get(w, doc) >= doc:
-                        whole[w] = doc
-            for (r, i), s in zip(block, texts, strict=True):
-                doc, tie, lo, n = metas[r][i]
-                start = None
-                for j in range(n):
-                    if whole[s[j : j + length]] < doc:
-                        start = j if start is None else start
-                    elif start is not None:
-                        emit(doc, tie, lo + start, lo + j - 1 + length)
-                        start = None
-                if start is not None:
-                    emit(doc, tie, lo + start, lo + n - 1 + length)
-
-        block: list[tuple[int, int]] = []
-        for r, i, common in merge(runs):
-            if block and common < K + 6:
-                close(block)
-                block = []
-            block.append((r, i))
-        if block:
-            close(block)
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
+        return merged_spans(t, length)
 
     sent = staged(texts.mapInArrow(sort_runs, _RUN))
     done = sent.where("r is null").select("doc_id", "tie", "lo", "hi")

@@ -4,6 +4,7 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pyspark.sql import functions as F
@@ -115,6 +116,49 @@ def test_merge_never_goes_wrong():
     assert got == sorted(x for r in runs for x in r[0])
 
 
+def test_runs_and_ranges_against_windows(monkeypatch):
+    """Removed windows by runs and ranges equal a dictionary of windows; the tree sees only blocks of several documents and strings."""
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"ab\0c", np.uint8)
+    pool = [bytes(rng.choice(letters, 90)) for _ in range(6)]
+    docs = []
+    for i in range(60):
+        t = bytearray(bytes(rng.choice(letters, rng.integers(0, 40))) + pool[rng.integers(6)] + bytes(rng.choice(letters, 30)) + pool[rng.integers(6)][: rng.integers(30, 90)])
+        t[rng.integers(len(t))] = 120
+        docs.append((i // 2 * 3 - 20, i, bytes(t)))  # two texts to an id, negative ids too
+    first = {}
+    for d, _, t in docs:
+        for i in range(len(t) - 49):
+            first[t[i : i + 50]] = min(d, first.get(t[i : i + 50], d))
+    want = {(tie, i) for d, tie, t in docs for i in range(len(t) - 49) if first[t[i : i + 50]] < d}
+    cuts = suffix_dedup.bounds(4, 50)
+    batches = []
+    for part in (docs[::3], docs[1::3], docs[2::3]):
+        held = []
+        for d, tie, t in part:
+            data = np.frombuffer(t, np.uint8)
+            h, place, lo, hi, own = suffix_dedup.anchors(data, np.array([0, len(t)]), 50)
+            held.append(suffix_dedup.entries(data, h[place] >> np.uint64(16), place, lo, hi, np.full(len(own), d), np.full(len(own), tie), np.zeros(len(own), np.int64), 50))
+        batches.append(suffix_dedup.front_coded(held, cuts, 50))
+    rows = [r for b in batches for r in b.to_pylist()]
+    merged = []
+    tree = suffix_dedup.merge
+    monkeypatch.setattr(suffix_dedup, "merge", lambda runs: merged.extend(x for r in runs for x in r[0]) or tree(runs))
+    spans = [r for r in rows if r["r"] is None]
+    for k in {r["r"] for r in rows} - {None}:
+        spans += suffix_dedup.merged_spans(pa.Table.from_pylist([r for r in rows if r["r"] == k]), 50).to_pylist()
+    assert {(s["tie"], i) for s in spans for i in range(s["lo"], s["hi"] - 49)} == want and want
+    entries = sum(len(r["meta"]) // suffix_dedup._META.itemsize for r in rows if r["r"] is not None)
+    assert 0 < len(merged) < entries / 2, (len(merged), entries)
+
+
+def test_ranges_get_about_as_many_anchors():
+    data = np.random.default_rng(4).integers(97, 123, 400_000).astype(np.uint8)
+    h, place, *_ = suffix_dedup.anchors(data, np.array([0, len(data)]), 50)
+    held = np.bincount(np.searchsorted(suffix_dedup.bounds(64, 50), (h[place] >> np.uint64(16)).astype(np.int64), "right"), minlength=64)
+    assert held.max() < 1.3 * held.mean(), held  # the first 64th of the fingerprints has 16 times the mean
+
+
 def test_long_texts_in_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 100)
     rng = np.random.default_rng(2)
