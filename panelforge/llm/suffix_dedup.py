@@ -29,6 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -225,7 +226,8 @@ def front_coded(held: list[tuple[np.ndarray, np.ndarray]], cuts: np.ndarray, len
     runs = [(int(r[a]), meta[a:b].tobytes(), tails[x:y].tobytes()) for a, b, x, y in zip(edge[:-1], edge[1:], at[:-1], at[1:], strict=True)]
     n, none = len(runs), len(late)
     spans = [late["doc"], late["tie"], late["lo"], late["lo"] + late["windows"] - 1 + length]
-    columns = [pa.array([x[0] for x in runs] + [None] * none, pa.int32())]
+    # spans that are done pass through the ranges, dealt evenly, so that the runs need not be written besides their exchange
+    columns = [pa.array([x[0] for x in runs] + (np.arange(none) % (len(cuts) + 1)).tolist(), pa.int32())]
     columns += [pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(c, pa.int64())]) for c in spans]
     columns += [pa.array([x[j] for x in runs] + [None] * none, pa.binary()) for j in (1, 2)]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _RUN.split(", ")])
@@ -279,6 +281,10 @@ def merged_spans(t: pa.Table, length: int) -> pa.Table:
     the strings that agree in the rest are neighbours, so a window is told by their class there and the class of the ``a`` bytes.
     """
     w = length - K + 1
+    done = t.filter(pc.is_null(t.column("meta"))).select(["doc_id", "tie", "lo", "hi"])
+    t = t.filter(pc.is_valid(t.column("meta")))
+    if not t.num_rows:
+        return done
     meta = np.concatenate([np.frombuffer(x.as_py(), _META) for x in t.column("meta")])
     tails = np.frombuffer(b"".join(x.as_py() for x in t.column("tails")), np.uint8)
     run = np.repeat(np.arange(t.num_rows), [len(x.as_py()) // _META.itemsize for x in t.column("meta")])
@@ -296,7 +302,7 @@ def merged_spans(t: pa.Table, length: int) -> pa.Table:
     many = np.minimum.reduceat(doc, edge[:-1]) < np.maximum.reduceat(doc, edge[:-1])
     keep = keep[np.repeat(many, np.diff(edge))]
     if not len(keep):
-        return pa.table({c: pa.array([], pa.int64()) for c in ("doc_id", "tie", "lo", "hi")})
+        return done
     meta, strings = meta[keep], strings[keep]
     order, common = _order(blocks_of(fp[keep]), strings, meta["size"].astype(np.int64), run[keep])
     meta, at = meta[order], keep[order]
@@ -315,7 +321,7 @@ def merged_spans(t: pa.Table, length: int) -> pa.Table:
     step = np.diff(gone.astype(np.int8), axis=1, prepend=0)
     i, lo = np.nonzero(step == 1)
     _, hi = np.nonzero(step == -1)  # the last column is never set, so every run of windows ends
-    return pa.table({"doc_id": doc[i], "tie": meta["tie"][i], "lo": meta["lo"][i] + lo, "hi": meta["lo"][i] + hi - 1 + length})
+    return pa.concat_tables([done, pa.table({"doc_id": doc[i], "tie": meta["tie"][i], "lo": meta["lo"][i] + lo, "hi": meta["lo"][i] + hi - 1 + length})])
 
 
 def spans(texts: DataFrame, length: int) -> DataFrame:
@@ -353,9 +359,7 @@ def spans(texts: DataFrame, length: int) -> DataFrame:
     def combine(t: pa.Table) -> pa.Table:
         return merged_spans(t, length)
 
-    sent = staged(texts.mapInArrow(sort_runs, _RUN))
-    done = sent.where("r is null").select("doc_id", "tie", "lo", "hi")
-    return staged(sent.where("r is not null").groupBy("r").applyInArrow(combine, _SPAN).union(done), done=(sent,))
+    return staged(texts.mapInArrow(sort_runs, _RUN).groupBy("r").applyInArrow(combine, _SPAN))
 
 
 def dedup(docs: DataFrame, length: int = LENGTH) -> DataFrame:
