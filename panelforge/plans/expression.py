@@ -1,9 +1,9 @@
 """Factor expressions: parsed once, planned in window stages, compiled to DataFrames or to SQL.
 
 A formula is a Python expression over panel fields and the operators below.  Equal sub-expressions of all
-formulas of a plan are computed once.  Window operators are levelled by nesting depth; a level computes its
-symbol windows and recursions (EMA and the like; partition symbol, order t) together, then its date and group windows, so the
-number of shuffles follows the depth, not the number of factors.
+formulas of a plan are computed once.  Window operators are levelled: symbol windows and recursions (EMA and the like; partition symbol,
+order t) and date and group windows take turns, and a turn computes all that nests without the other kind in between.  So the
+number of shuffles follows how often the two alternate, not the number of factors nor their depth.
 
 Missing values are null: arithmetic passes them on, comparisons with them are false, division by zero
 and logarithms of non-positive numbers give null.
@@ -30,6 +30,11 @@ class Node:
         self.kind = KINDS.get(op, "p")
         inner = max((a.depth for a in args), default=0)
         self.depth = inner + (self.kind != "p")
+        # turn: even ones are of symbol windows, odd ones of date windows; -1 before any
+        self.turn = max((a.turn for a in args), default=-1)
+        if self.kind != "p":
+            across = int(self.kind in "xg")
+            self.turn = max(self.turn, across) + (max(self.turn, across) % 2 != across)
         self.name = ""
 
     def key(self):
@@ -128,12 +133,15 @@ class Plan:
     def columns(self, panel: DataFrame, keep: list[str] | None = None) -> DataFrame:
         """The panel (or ``keep`` of its columns) with one column a formula.
 
-        A step computes the symbol windows and recursions of a level, or its date and group windows: one exchange, one Arrow kernel
-        (``operators/windows.py``).  Between steps go only the columns that a later one reads; a formula is computed as soon as its parts are there.
+        A step computes the nodes of one depth in a turn by one Arrow kernel (``operators/windows.py``); a turn is one exchange, as its rows
+        lie by symbol, or by date, already.  Between steps go only the columns that a later one reads; a formula is computed as soon as its parts are there.
         """
         keep = panel.columns if keep is None else keep
-        steps = [(key, [n for n in self.levels[depth] if n.kind in kinds]) for depth in sorted(self.levels) for key, kinds in (("symbol", "sr"), ("trade_date", "xg"))]
-        steps = [(key, nodes) for key, nodes in steps if nodes]
+        found: dict[tuple[int, int], list[Node]] = {}
+        for depth in sorted(self.levels):
+            for n in self.levels[depth]:
+                found.setdefault((n.turn, depth), []).append(n)
+        steps = [("trade_date" if turn % 2 else "symbol", found[turn, depth]) for turn, depth in sorted(found)]
         reads = [{"symbol", "trade_date", "t"}.union(*(_refs(a) for n in nodes for a in n.args)) for _, nodes in steps]
         waiting = {f"_root{i}": r for i, r in enumerate(self.roots.values())}
         df, done = panel, []
@@ -150,7 +158,8 @@ class Plan:
             spec = [(n.op, n.value, [f"{n.name}_{j}" for j in range(len(n.args))]) for n in nodes]
             made = doubles + [n.name for n in nodes]
             schema = T.StructType([*(df.schema[c] for c in plain), T.StructField("_v", T.ArrayType(T.DoubleType()))])
-            df = df.repartition(key).sortWithinPartitions(*(("symbol", "t") if key == "symbol" else (key,)))
+            if not i or steps[i - 1][0] != key:
+                df = df.repartition(key).sortWithinPartitions(*(("symbol", "t") if key == "symbol" else (key,)))
             df = df.mapInArrow(windows.kernel(key, spec, plain, list(numbers), len(doubles)), schema)
             df = df.select(*plain, *(F.get("_v", F.lit(j)).alias(c) for j, c in enumerate(made)))
             # 10 digits: constant windows and exact +-1 must not depend on the order of summation

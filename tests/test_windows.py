@@ -66,3 +66,17 @@ def test_any_cut_of_the_batches(key):
     for size in (1, 2, 7, 20):
         parts = [batch.slice(i, size) for i in range(0, len(ids), size)]
         assert pa.Table.from_batches(list(run(iter(parts)))).to_pylist() == whole
+
+
+def test_a_turn_is_one_exchange_however_deep_it_nests(spark):
+    df = frame(spark, 3)
+    deep = {"x": "rank(decay(ts_rank(ema(V,3),4),3))", "y": "corr(rank(decay(ma(C,2),2)),V,4)"}
+    plan = Plan(deep).columns(df, ["symbol", "t"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 3  # symbols, dates, symbols; before: one a depth, six
+    whole = Plan(deep).columns(df).toPandas().sort_values(["symbol", "t"], ignore_index=True)
+    step = df
+    for name, text in (("v1", "ema(V,3)"), ("v2", "ts_rank(v1,4)"), ("v3", "decay(v2,3)"), ("c1", "ma(C,2)"), ("c2", "decay(c1,2)"), ("c3", "rank(c2)"), ("x", "rank(v3)"), ("y", "corr(c3,V,4)")):
+        step = Plan({name: text}).columns(step)
+    got = step.toPandas().sort_values(["symbol", "t"], ignore_index=True)
+    assert whole["x"].notna().any() and whole["y"].notna().any()
+    pd.testing.assert_frame_equal(whole[["x", "y"]], got[["x", "y"]])
