@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from panelforge.functions import alpha101, price
 from panelforge.plans.expression import Plan
 from panelforge.sources.panel import PANEL_SQL, dense
+from panelforge.sources.stage import staged
 
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def values(spark: SparkSession, sf_dir: str, formulas: dict[str, str], defs: dict[str, str] | None = None) -> DataFrame:
+    """The panel is written once; formulas that compare no symbols don't go through the exchanges by date of those that do."""
+    panel = staged(dense(spark, sf_dir))
+    across = {k for k, r in Plan(formulas, defs).roots.items() if r.turn > 0}
+    parts = [{k: f for k, f in formulas.items() if (k in across) == side} for side in (False, True)]
+    first, *rest = (Plan(part, defs).long(panel) for part in parts if part)
+    return first.union(rest[0]) if rest else first
+
+
 def add(name: str, formulas: dict[str, str], defs: dict[str, str] | None = None) -> None:
-    QUERIES[name] = lambda spark, sf_dir: Plan(formulas, defs).long(dense(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: values(spark, sf_dir, formulas, defs)
     ORACLES[name] = Plan(formulas, defs).long_sql(PANEL_SQL)
 
 

@@ -53,3 +53,16 @@ def test_temperature_reads_the_groups_once(spark, duck):
     test_matches_sql(spark, duck, "crowd_temperature")
     reads = {q: catalogue.queries()[q](spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Relation [l_orderkey") for q in ("crowd_temperature", "crowd_dispersion")}
     assert reads["crowd_temperature"] == reads["crowd_dispersion"]
+
+
+def test_formulas_of_a_symbol_alone_pass_no_exchange_by_date(spark):
+    from panelforge.functions import price
+    from panelforge.plans.expression import Plan
+    from panelforge.sources.panel import dense
+
+    got = catalogue.queries()["factors_extra"](spark, SF)
+    pd.testing.assert_frame_equal(canon(got.toPandas()), canon(Plan(price.EXTRA, price.DEFS).long(dense(spark, SF)).toPandas()))
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("l_extendedprice" in line for line in lines)  # the panel is written once
+    by_date = [i for i, line in enumerate(lines) if "RepartitionByExpression [trade_date" in line]
+    assert len(by_date) == 1 and lines[by_date[0] + 1].count("#") <= 8, lines[by_date[0] + 1]  # before: all of the more than sixty formulas
