@@ -29,7 +29,7 @@ class Settings:
     ridge: float = 2.0
     bins: int = 32
     top: int = 50
-    group: int = 512  # rows of a date that a model learns from at most (documented sample: the outer grades first)
+    group: int | None = None  # where given, rows of a date that a model learns from at most (a sample: the outer grades first); else all
     grades: int = 5
     accuracy: int = 10_000  # of the quantile sketch
 
@@ -73,19 +73,41 @@ def gradients(score: np.ndarray, grade: np.ndarray, top: int) -> tuple[np.ndarra
     if best <= 0:
         return g, h
     head = min(top, n)
-    i, j = np.nonzero(np.arange(n)[None, :] > np.arange(head)[:, None])
-    apart = y[i] != y[j]
-    i, j = i[apart], j[apart]
-    up, down = np.where(y[i] > y[j], i, j), np.where(y[i] > y[j], j, i)
-    change = (gain[up] - gain[down]) * np.abs(discount[up] - discount[down]) / best
-    diff = s[up] - s[down]
-    if s[0] != s[-1]:
-        change = change / (0.01 + np.abs(diff))
-    p = 1 / (1 + np.exp(np.clip(diff, -60, 60)))
-    pull, curve = p * change, p * (1 - p) * change
-    gs = np.bincount(down, pull, n) - np.bincount(up, pull, n)
-    hs = np.bincount(up, curve, n) + np.bincount(down, curve, n)
-    total = 2 * pull.sum()
+    flat = s[0] == s[-1]
+
+    def pairs(i, j):
+        """(pull, curve) of rows i with rows j after them but for the difference of discounts; a pull is negative where i has the higher grade."""
+        above = np.where(y[i] > y[j], 1.0, -1.0)
+        diff, change = above * (s[i] - s[j]), above * (gain[i] - gain[j]) / best
+        if not flat:
+            change = change / (0.01 + np.abs(diff))
+        p = 1 / (1 + np.exp(np.clip(diff, -60, 60)))
+        return -above * p * change, p * (1 - p) * change
+
+    gs, hs = np.zeros(n), np.zeros(n)
+    i, j = np.triu_indices(head, 1)
+    pull, curve = (v * (discount[i] - discount[j]) for v in pairs(i, j))
+    gs[:head] = np.bincount(i, pull, head) - np.bincount(j, pull, head)
+    hs[:head] = np.bincount(i, curve, head) + np.bincount(j, curve, head)
+    total = 2 * np.abs(pull).sum()
+    if n > head:
+        # below the head only score and grade count, but for the discount: equal rows are one class, so the work is head * classes, and its memory is bounded
+        level = np.cumsum(np.append(False, s[head + 1 :] != s[head:-1]))
+        low = y.min()
+        _, first, kind = np.unique(level * (int(y.max() - low) + 1) + (y[head:] - low), return_index=True, return_inverse=True)
+        below, many, sums = head + first, np.bincount(kind), np.bincount(kind, discount[head:])
+        part, step = np.zeros((4, len(first))), max(1, 2**18 // len(first))
+        for k in range(0, head, step):
+            i = np.arange(k, min(k + step, head))
+            pull, curve = pairs(i[:, None], below[None, :])
+            apart = discount[i][:, None] * many - sums
+            gs[i] += (pull * apart).sum(1)
+            hs[i] += (curve * apart).sum(1)
+            total += 2 * (np.abs(pull) * apart).sum()
+            part += pull.sum(0), discount[i] @ pull, curve.sum(0), discount[i] @ curve
+        p, pd, c, cd = part[:, kind]
+        gs[head:] = p * discount[head:] - pd
+        hs[head:] = cd - c * discount[head:]
     if total > 0:
         scale = np.log2(1 + total) / total
         gs, hs = gs * scale, hs * scale
@@ -99,8 +121,9 @@ def learn_rows(panel: DataFrame, features: list[str], label: str, s: Settings) -
     day = Window.partitionBy("model", "t")
     rank = F.row_number().over(day.orderBy(label, "symbol")) - 1
     rows = rows.withColumn("n", F.count("*").over(day)).where("n >= 8").withColumn("grade", F.floor(rank * s.grades / F.col("n")).cast("int"))
-    outer = F.when(F.col("grade").isin(0, s.grades - 1), 0).otherwise(1)
-    rows = rows.withColumn("k", F.row_number().over(day.orderBy(outer, F.xxhash64("symbol", "t"), "symbol"))).where(F.col("k") <= s.group)
+    if s.group is not None:
+        outer = F.when(F.col("grade").isin(0, s.grades - 1), 0).otherwise(1)
+        rows = rows.withColumn("k", F.row_number().over(day.orderBy(outer, F.xxhash64("symbol", "t"), "symbol"))).where(F.col("k") <= s.group)
     return rows.select("model", "t", "symbol", F.array(*(F.col(f).cast("double") for f in features)).alias("x"), "grade")
 
 
@@ -116,9 +139,13 @@ def pack(rows: DataFrame, cuts: dict[int, list[list[float]]]) -> DataFrame:
 
     def binned(batches):
         for b in batches:
-            models, x = b.column(0).to_pylist(), b.column(3).to_pylist()
-            bins = [bytes(int(np.searchsorted(e, v)) for e, v in zip(cuts[m], row, strict=True)) for m, row in zip(models, x, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(bins, pa.binary()), b.column(4)], ["model", "t", "symbol", "bins", "grade"])
+            models, x = np.asarray(b.column(0)), np.asarray(b.column(3).flatten()).reshape(b.num_rows, -1)
+            bins = np.zeros(x.shape, np.uint8)
+            for m in np.unique(models):
+                at = models == m
+                for f, e in enumerate(cuts[m]):
+                    bins[at, f] = np.searchsorted(e, x[at, f])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([bytes(row) for row in bins], pa.binary()), b.column(4)], ["model", "t", "symbol", "bins", "grade"])
 
     kinds = dict(rows.dtypes)
     small = rows.mapInArrow(binned, f"model {kinds['model']}, t {kinds['t']}, symbol {kinds['symbol']}, bins binary, grade int")
@@ -127,8 +154,10 @@ def pack(rows: DataFrame, cuts: dict[int, list[list[float]]]) -> DataFrame:
 
 
 def _packed(batch: pa.RecordBatch):
-    for model, bins, grade in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-        yield model, np.frombuffer(b"".join(bins), np.uint8).reshape(len(grade), -1), np.array(grade)
+    for k, model in enumerate(batch.column(0).to_pylist()):
+        bins, grade = batch.column(2).slice(k, 1).flatten(), np.asarray(batch.column(3).slice(k, 1).flatten())
+        ends = np.frombuffer(bins.buffers()[1], np.int32)[bins.offset : bins.offset + len(bins) + 1]
+        yield model, np.frombuffer(bins.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(len(grade), -1), grade
 
 
 def histograms(packed: DataFrame, forests: dict[int, Forest], growing: dict[int, dict[int, tuple[int, int]]], open_nodes: dict[int, list[int]], s: Settings) -> DataFrame:

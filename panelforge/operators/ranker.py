@@ -61,7 +61,7 @@ def plan(counts: dict[int, int], dates: list[int], factors: int, r: Rolling) ->
     for t in dates:
         if last is None or t - last >= r.refit:
             known = [d for d in range(t - r.horizon, t - r.horizon - r.lookback, -r.stride) if counts.get(d, 0) >= 8][: r.most_groups]
-            rows = sum(min(counts[d], r.boost.group) for d in known)
+            rows = sum(min(counts[d], r.boost.group or counts[d]) for d in known)
             if t >= r.lookback + r.horizon - 1 and len(known) >= r.least_groups and rows >= max(r.least_rows, 80 * factors):
                 models[t], last = known, t
         if last is not None:

@@ -166,3 +166,24 @@ def test_neutral_factors_are_written_once(spark):
     z = learned.neutral(learned.panel(spark, "/root/testdata/sf0.001"))
     plan = z._jdf.queryExecution().optimizedPlan().toString()
     assert z.count() > 0 and "l_extendedprice" not in plan and "Join" not in plan
+
+
+def test_a_model_learns_from_every_row_of_a_date(spark):
+    df = spark.createDataFrame(learn_table(days=1, symbols=901, models=(1,)), "model int, t int, symbol long, a double, b double, y double")
+    rows = boosting.learn_rows(df, FEATURES, "y", boosting.Settings())
+    assert rows.count() == 900  # one has no feature; before: 512
+    assert [r["count"] for r in rows.groupBy("grade").count().orderBy("grade").collect()] == [180] * 5
+
+
+def test_gradients_of_a_large_date_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    small = rng.normal(size=90), rng.integers(0, 5, 90)
+    assert all(np.allclose(x, y) for x, y in zip(boosting.gradients(*small, 50), brute_gradients(*small, 50), strict=True))
+    score, grade = rng.normal(size=40_000), rng.integers(0, 5, 40_000)
+    tracemalloc.start()
+    g, _ = boosting.gradients(score, grade, 50)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert abs(g.sum()) < 1e-9 and peak < 50 * 40_000 * 8 * 4, peak  # before: a dozen arrays of head * rows numbers
