@@ -105,3 +105,19 @@ def test_sessions_of_the_panel_are_written_once(spark):
 
     s = sessions(spark, "/root/testdata/sf0.001")
     assert s.count() > 0 and "l_extendedprice" not in s._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("n", [1, 3])
+def test_a_holding_stays_at_any_place(spark, n):
+    """Listing the front and what can be held gives the walk over lists of every candidate."""
+    rng = np.random.default_rng(7)
+    sessions, symbols = 16, 60
+    rows = [(t, s, 1.0 + float(rng.random()) * 0.2, bool(rng.random() < 0.9), bool(rng.random() < 0.9)) for t in range(sessions) for s in range(symbols)]
+    d = spark.createDataFrame(rows, "t int, symbol long, score double, strong boolean, weak boolean").withColumn("strategy", F.lit("x")).withColumn("open", F.lit(10.0)).withColumn("close", F.lit(10.0))
+    votes = spark.createDataFrame([(t, 3 * (t == 8), 0, 3) for t in range(sessions)], "t int, below int, above int, valid int")
+    strategies = spark.createDataFrame([("x", 0)], "strategy string, defensive long")
+    walk = lambda front, depth: sorted(map(str, holding.walk(holding.packed(d, d, votes, strategies, F.lit(True), front), holding.Rules(n=n, least_hold=1, depth=depth)).collect()))
+    few = walk(6, None)
+    assert few == walk(1000, None)
+    # where only the ten best may stay, more is sold; before, the list ended there and nothing else was possible
+    assert few != walk(10, 10) == walk(1000, 10)
